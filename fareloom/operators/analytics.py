@@ -22,6 +22,7 @@ from fareloom.functions.times import (
 from fareloom.operators import corpus
 from fareloom.operators.corpus import TRIPS, rows
 from fareloom.operators.ordering import GROUP_ROWS, Carried, grouped_percentiles
+from fareloom.operators.selection import percentile_of
 from fareloom.sources.names import find_column
 
 YEAR, MONTH = "year", "month"
@@ -297,25 +298,15 @@ def write_daily_summary(trips: DataFrame, path: str, c: TripColumns = TRIPS) ->
 def range_profile(trips: DataFrame, first: str, last: str, c: TripColumns = TRIPS) -> DataFrame:
     """a_range_profile: one row of statistics for a day range, median included."""
     kept = in_range(trips, first, last, c).select(c.distance, c.fare, c.total)
-    carried = Carried(
-        {
-            "distance_u": fixed(c.distance),
-            "distance_n": F.col(c.distance).isNotNull().cast("bigint"),
-            "fare_u": fixed(c.fare),
-            "fare_n": F.col(c.fare).isNotNull().cast("bigint"),
-            "total_u": fixed(c.total),
-        },
-        {"min_fare": F.col(c.fare)},
-        {"max_fare": F.col(c.fare)},
-    )
-    return grouped_percentiles(kept, [], c.fare, {"median_fare": 0.5}, carried).select(
-        F.coalesce(F.col(GROUP_ROWS), F.lit(0)).alias("trips"),
-        _mean("distance").alias("avg_distance"),
-        _mean("fare").alias("avg_fare"),
-        "median_fare",
-        "min_fare",
-        "max_fare",
-        from_fixed(F.col("total_u")).alias("total_revenue"),
+    median = F.lit(percentile_of(kept, c.fare, 0.5)).cast("double")
+    return kept.agg(
+        rows().alias("trips"),
+        mean_of(c.distance).alias("avg_distance"),
+        mean_of(c.fare).alias("avg_fare"),
+        median.alias("median_fare"),
+        F.min(c.fare).alias("min_fare"),
+        F.max(c.fare).alias("max_fare"),
+        total_of(c.total).alias("total_revenue"),
     )
 
 

@@ -24,14 +24,8 @@ from fareloom.functions.times import (
     month_of,
     weekday_sun0,
 )
-from fareloom.operators.ordering import (
-    GROUP_ROWS,
-    ROWS,
-    Carried,
-    grouped_percentiles,
-    percent_ranked,
-    tile_shares,
-)
+from fareloom.operators.ordering import GROUP_ROWS, grouped_percentiles
+from fareloom.operators.selection import tile_totals, top_share_bound
 
 TRIPS = TripColumns()
 
@@ -246,16 +240,12 @@ def fee_impact(trips: DataFrame, c: TripColumns = TRIPS) -> DataFrame:
 def revenue_quintiles(trips: DataFrame, c: TripColumns = TRIPS, tiles: int = 5) -> DataFrame:
     """q13: rows and mean amount per NTILE of the amount."""
     paid = trips.where(F.col(c.total) > 0).select(c.total)
-    shares = tile_shares(paid, {c.total: "asc"}, tiles)
-    count = F.sum("rows_in_tile")
-    return (
-        shares.groupBy(F.col("tile").alias("tier"))
-        .agg(
-            count.alias("trips"),
-            (from_fixed(F.sum(fixed(c.total) * F.col("rows_in_tile"))) / count).alias("avg_amt"),
-        )
-        .orderBy("tier")
-    )
+    totals = tile_totals(paid, {c.total: "asc"}, tiles, {"units": fixed(c.total)})
+    return totals.select(
+        F.col("tile").alias("tier"),
+        F.col("rows_in_tile").alias("trips"),
+        (from_fixed(F.col("units")) / F.col("rows_in_tile")).alias("avg_amt"),
+    ).orderBy("tier")
 
 
 def heatmap(trips: DataFrame, c: TripColumns = TRIPS) -> DataFrame:
@@ -327,13 +317,10 @@ def cumulative_revenue(trips: DataFrame, c: TripColumns = TRIPS) -> DataFrame:
 def top5pct_vs_rest(trips: DataFrame, c: TripColumns = TRIPS, share: float = 0.05) -> DataFrame:
     """q20: rows with PERCENT_RANK ≤ share from the top, against the rest."""
     paid = trips.where(F.col(c.total) > 0).select(c.total)
-    ranked = percent_ranked(paid, c.total, descending=True)
-    count = F.sum(ROWS)
+    bound = top_share_bound(paid, c.total, share)
+    tier = bins.flag(F.col(c.total) >= F.lit(bound), "Top 5%", "Rest")
     return (
-        ranked.groupBy(bins.flag(F.col("percent_rank") <= share, "Top 5%", "Rest").alias("tier"))
-        .agg(
-            count.alias("trips"),
-            (from_fixed(F.sum(fixed(c.total) * F.col(ROWS))) / count).alias("avg_fare"),
-        )
+        paid.groupBy(tier.alias("tier"))
+        .agg(rows().alias("trips"), mean_of(c.total).alias("avg_fare"))
         .orderBy(F.desc_nulls_last("avg_fare"))
     )

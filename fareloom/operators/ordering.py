@@ -1,9 +1,8 @@
-"""Exact ranks over a whole table or over groups of any size.
+"""Exact positions of values in sorted groups of any size.
 
-``ntile``, ``percent_rank`` and exact percentiles need the position of a value
-in its sorted group. The built-in window functions put a group into one task
-(all rows, when there is no PARTITION BY), and the built-in exact percentile
-holds a group's distinct values in one buffer. Here the work is spread out:
+The built-in window functions put a group into one task, and the built-in exact
+percentile holds a group's distinct values in one buffer. Here the work is
+spread out:
 
 1. Count equal values: ``groupBy(group, value).count()``. Partial aggregation
    runs before the shuffle, so a value that fills a third of the table travels
@@ -36,14 +35,6 @@ GROUP_ROWS = "group_rows"
 SLICE = "slice_id"
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Equality on ``keys`` that also matches NULL with NULL, still a hash-joinable condition."""
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
-
-
 def join_on_keys(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"
 ) -> DataFrame:
@@ -130,12 +121,18 @@ class Carried:
         )
 
 
+# Up to this many distinct (group, value) pairs, all groups together fit one
+# aggregation buffer; the pairs are counted, not estimated.
+BUFFERED_PAIRS = 1_000_000
+
+
 def grouped_percentiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     levels: Mapping[str, float],
     carried: Carried = Carried(),
+    buffered_pairs: int = BUFFERED_PAIRS,
 ) -> DataFrame:
     """Exact continuous percentiles of ``value`` per group (PERCENTILE_CONT).
 
@@ -143,8 +140,31 @@ def grouped_percentiles(
     in a percentile, but their rows count in ``group_rows`` and in ``carried``.
     Output: keys, ``group_rows`` (all rows of the group), one column per level
     and the carried aggregates.
+
+    The source is read once, down to distinct (group, value) pairs. Few pairs
+    go to the built-in weighted percentile, many take the sliced way.
     """
-    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias(ROWS), *carried.partial())
+    for level in levels.values():
+        if not 0.0 <= level <= 1.0:
+            raise ValueError(f"percentile level {level} is outside [0, 1]")
+    pairs = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias(ROWS), *carried.partial())
+    counted = stage(pairs, "value-counts")
+    if counted.count() > buffered_pairs:
+        return _sliced_percentiles(counted, keys, value, levels, carried)
+    return counted.groupBy(*keys).agg(
+        F.sum(ROWS).alias(GROUP_ROWS),
+        *[F.percentile(value, p, F.col(ROWS)).alias(n) for n, p in levels.items()],
+        *carried.final(),
+    )
+
+
+def _sliced_percentiles(
+    counted: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    levels: Mapping[str, float],
+    carried: Carried,
+) -> DataFrame:
     sliced = slice_values(counted, keys, [F.col(value).asc_nulls_first()])
     # NULLs sort first, so a group's NULL rows are a prefix to step over.
     totals = sliced.values.groupBy(*keys).agg(
@@ -192,8 +212,6 @@ def grouped_percentiles(
 
 def _target(name: str, level: float) -> Column:
     """Positions on both sides of the percentile point and the share of the upper one."""
-    if not 0.0 <= level <= 1.0:
-        raise ValueError(f"percentile level {level} is outside [0, 1]")
     point = F.lit(float(level)) * (F.col("all_rows") - F.col("null_rows") - 1).cast("double")
     low = F.floor(point)
     return F.struct(
@@ -209,63 +227,16 @@ def _interpolated(name: str) -> Column:
 
 
 def _attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on the group keys; without keys both sides are one group, matched on a constant."""
+    """Join on the group keys. Without keys ``right`` is one row, taken in as a scalar subquery."""
     if keys:
         return join_on_keys(left, right, keys, how)
-    only = "only_group"
-    joined = join_on_keys(
-        left.withColumn(only, F.lit(1)), right.withColumn(only, F.lit(1)), [only], how
-    )
-    return joined.drop(only)
-
+    return with_scalars(left, right)
 
-def tile_shares(df: DataFrame, order: Mapping[str, str], tiles: int) -> DataFrame:
-    """NTILE(``tiles``) over the whole table, as (distinct values, tile, rows).
 
-    ``order`` maps the ordering columns to ``"asc"``/``"desc"``. Copies of one
-    value are interchangeable for anything computed from the ordering columns,
-    so a value whose copies straddle a tile edge is split by row count: it
-    appears once per tile (at most ``tiles`` times) with the rows it has there.
-    Output: ordering columns, ``tile``, ``rows_in_tile``.
-    """
-    columns = list(order)
-    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias(ROWS))
-    by = [F.col(c).desc() if d == "desc" else F.col(c).asc() for c, d in order.items()]
-    placed = slice_values(counted, [], by).intervals()
-
-    # The first N mod k tiles hold one row more than the others.
-    size = F.expr(f"{GROUP_ROWS} div {int(tiles)}")
-    longer = F.col(GROUP_ROWS) % F.lit(int(tiles))
-    in_longer = longer * (size + 1)
-
-    def tile_of(position: Column) -> Column:
-        early = F.floor(position / (size + 1))
-        late = longer + F.floor((position - in_longer) / F.nullif(size, F.lit(0)))
-        return F.when(position < in_longer, early).otherwise(late).cast("bigint") + 1
-
-    def first_of(tile: Column) -> Column:
-        return (tile - 1) * size + F.least(tile - 1, longer)
-
-    first, last = F.col(BEFORE), F.col(BEFORE) + F.col(ROWS)
-    spread = placed.select(
-        *columns,
-        first.alias("first"),
-        last.alias("last"),
-        GROUP_ROWS,
-        F.explode(F.sequence(tile_of(first), tile_of(last - 1))).alias("tile"),
+def with_scalars(left: DataFrame, one_row: DataFrame) -> DataFrame:
+    """``left`` with the columns of a one-row frame on every row, without a join."""
+    columns = one_row.columns
+    row = one_row.select(F.struct(*columns).alias("row")).scalar()
+    return left.withColumn("__row", row).select(
+        *left.columns, *[F.col("__row")[c].alias(c) for c in columns]
     )
-    tile = F.col("tile")
-    overlap = F.least(F.col("last"), first_of(tile + 1)) - F.greatest(F.col("first"), first_of(tile))
-    return spread.select(*columns, "tile", overlap.alias("rows_in_tile"))
-
-
-def percent_ranked(df: DataFrame, value: str, descending: bool = False) -> DataFrame:
-    """PERCENT_RANK over the whole table, as (distinct value, rows_equal, percent_rank).
-
-    Equal values share a rank, so one row per distinct value says it all.
-    """
-    counted = df.groupBy(value).agg(F.count(F.lit(1)).alias(ROWS))
-    by = F.col(value).desc() if descending else F.col(value).asc()
-    placed = slice_values(counted, [], [by]).intervals()
-    rank = F.col(BEFORE).cast("double") / F.nullif(F.col(GROUP_ROWS) - 1, F.lit(0))
-    return placed.select(value, ROWS, F.coalesce(rank, F.lit(0.0)).alias("percent_rank"))

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fareloom.columns import TripColumns
-from fareloom.functions.numbers import fixed, from_fixed, mean_of, round2, total_of
+from fareloom.functions.numbers import mean_of, round2, total_of
 from fareloom.functions.times import day_of, year_of
 from fareloom.operators.corpus import TRIPS, rows
-from fareloom.operators.ordering import GROUP_ROWS, Carried, grouped_percentiles, join_on_keys
+from fareloom.operators.selection import percentile_of
 
 
 def table_fingerprint(trips: DataFrame, c: TripColumns = TRIPS) -> DataFrame:
@@ -43,27 +43,15 @@ def data_stats(trips: DataFrame, c: TripColumns = TRIPS) -> DataFrame:
 
 def quality_profile(trips: DataFrame, c: TripColumns = TRIPS) -> DataFrame:
     """v_quality_profile: rows, distinct counts, means and the exact 95th percentile fare."""
-    distinct = trips.agg(
+    p95 = F.lit(percentile_of(trips, c.fare, 0.95)).cast("double")
+    return trips.agg(
+        rows().alias("total_rows"),
         F.count_distinct(c.vendor).alias("vendors"),
         F.count_distinct(c.pickup_zone).alias("pickup_locations"),
         F.count_distinct(c.dropoff_zone).alias("dropoff_locations"),
+        mean_of(c.fare).alias("avg_fare"),
         mean_of(c.distance).alias("avg_distance"),
-    )
-    carried = Carried(
-        {"fare_u": fixed(c.fare), "fare_n": F.col(c.fare).isNotNull().cast("bigint")}
-    )
-    fares = grouped_percentiles(trips.select(c.fare), [], c.fare, {"p95_fare": 0.95}, carried)
-    one = "only_row"
-    return join_on_keys(
-        distinct.withColumn(one, F.lit(1)), fares.withColumn(one, F.lit(1)), [one]
-    ).select(
-        F.coalesce(F.col(GROUP_ROWS), F.lit(0)).alias("total_rows"),
-        "vendors",
-        "pickup_locations",
-        "dropoff_locations",
-        (from_fixed(F.col("fare_u")) / F.nullif(F.col("fare_n"), F.lit(0))).alias("avg_fare"),
-        "avg_distance",
-        "p95_fare",
+        p95.alias("p95_fare"),
     )
 
 

@@ -13,7 +13,8 @@ from fareloom.functions.numbers import fixed, from_fixed, mean_of, over, round2,
 from fareloom.functions.times import month_of
 from fareloom.operators import corpus
 from fareloom.operators.corpus import TRIPS, rows
-from fareloom.operators.ordering import GROUP_ROWS, grouped_percentiles, join_on_keys, tile_shares
+from fareloom.operators.ordering import GROUP_ROWS, grouped_percentiles, join_on_keys
+from fareloom.operators.selection import percentile_of, tile_totals
 
 
 def top_zones(trips: DataFrame, c: TripColumns = TRIPS, n: int = 10) -> DataFrame:
@@ -116,24 +117,26 @@ def quintile_profile(trips: DataFrame, c: TripColumns = TRIPS, tiles: int = 5) -
     Equal amounts are ordered by distance, which fixes the mean distance of
     every tile without needing a unique row key.
     """
-    shares = tile_shares(
-        trips.select(c.total, c.distance), {c.total: "desc", c.distance: "asc"}, tiles
+    known = {
+        "distance_n": F.col(c.distance).isNotNull().cast("bigint"),
+        "total_n": F.col(c.total).isNotNull().cast("bigint"),
+    }
+    totals = tile_totals(
+        trips.select(c.total, c.distance),
+        {c.total: "desc", c.distance: "asc"},
+        tiles,
+        {"distance_u": fixed(c.distance), "total_u": fixed(c.total), **known},
     )
-    count, weight = F.sum("rows_in_tile"), F.col("rows_in_tile")
 
-    def weighted_mean(name: str):
-        known = F.sum(F.when(F.col(name).isNotNull(), weight))
-        return from_fixed(F.sum(fixed(name) * weight)) / known
+    def mean(prefix: str):
+        return from_fixed(F.col(f"{prefix}_u")) / F.nullif(F.col(f"{prefix}_n"), F.lit(0))
 
-    return (
-        shares.groupBy(F.col("tile").alias("revenue_quintile"))
-        .agg(
-            count.alias("trips"),
-            round2(weighted_mean(c.distance)).alias("avg_distance"),
-            round2(weighted_mean(c.total)).alias("avg_total"),
-        )
-        .orderBy("revenue_quintile")
-    )
+    return totals.select(
+        F.col("tile").alias("revenue_quintile"),
+        F.col("rows_in_tile").alias("trips"),
+        round2(mean("distance")).alias("avg_distance"),
+        round2(mean("total")).alias("avg_total"),
+    ).orderBy("revenue_quintile")
 
 
 def ratecode_median_stddev(trips: DataFrame, c: TripColumns = TRIPS) -> DataFrame:
@@ -150,11 +153,10 @@ def ratecode_median_stddev(trips: DataFrame, c: TripColumns = TRIPS) -> DataFram
 def top5pct_threshold(trips: DataFrame, c: TripColumns = TRIPS, level: float = 0.95) -> DataFrame:
     """b20: amounts at or above the global 95th percentile against the rest.
 
-    The threshold is a scalar subquery: one row, evaluated once, and usable as
-    a pushed-down bound.
+    The threshold is found first and enters the plan as a literal.
     """
-    threshold = grouped_percentiles(trips.select(c.total), [], c.total, {"p": level}).select("p")
-    segment = bins.flag(F.col(c.total) >= threshold.scalar(), "Top 5%", "Bottom 95%")
+    bound = F.lit(percentile_of(trips, c.total, level)).cast("double")
+    segment = bins.flag(F.col(c.total) >= bound, "Top 5%", "Bottom 95%")
     return (
         trips.select(segment.alias("revenue_segment"), c.distance, c.total)
         .groupBy("revenue_segment")

@@ -137,14 +137,14 @@ def reload_sources(new: DataFrame, table: str, pickup: str) -> DataFrame:
     sources = stage(incoming.select(SOURCE_FILE).distinct(), "source-names")
     merged = incoming
     affected = incoming.select(_partition_key().alias("k")).distinct()
-    if path_exists(spark, table):
+    if not list_files(spark, table).isEmpty():
         current = spark.read.parquet(table)
         holding = current.join(sources, SOURCE_FILE, "left_semi").select(_partition_key().alias("k"))
         affected = affected.union(holding.distinct()).distinct()
         # Month keys: a few hundred numbers, needed as literals for partition pruning.
         keys = [r["k"] for r in affected.collect()]
         untouched = current.where(_partition_key().isin(keys)).join(sources, SOURCE_FILE, "left_anti")
-        merged = untouched.select(*incoming.columns).unionByName(incoming)
+        merged = untouched.unionByName(incoming, allowMissingColumns=True)
     else:
         keys = [r["k"] for r in affected.collect()]
     ready = scratch_path(spark, "publish")

@@ -10,11 +10,12 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fareloom.operators.ordering import (
-    Carried,
-    grouped_percentiles,
-    percent_ranked,
-    tile_shares,
+from fareloom.operators.ordering import Carried, grouped_percentiles
+from fareloom.operators.selection import (
+    percentile_of,
+    select_positions,
+    tile_totals,
+    top_share_bound,
 )
 
 
@@ -29,54 +30,88 @@ def skewed(spark, n=4000, seed=1):
     return spark.createDataFrame(rows, "g string, x double, y double").repartition(5)
 
 
+def cents(name):
+    return F.floor(F.col(name) * 100 + 0.5)
+
+
+def sums():
+    return {"x_u": cents("x"), "y_u": cents("y"), "n_x": F.col("x").isNotNull().cast("bigint")}
+
+
+def tiles_of(df, order, tiles):
+    return sorted(tuple(r) for r in tile_totals(df, order, tiles, sums()).collect())
+
+
 def naive_tiles(df, tiles, *order):
     ranked = df.select("*", F.ntile(tiles).over(Window.orderBy(*order)).alias("t"))
-    return {
-        (r["t"], r["x"], r["y"]): r["n"]
-        for r in ranked.groupBy("t", "x", "y").agg(F.count(F.lit(1)).alias("n")).collect()
-    }
+    grouped = ranked.groupBy("t").agg(F.count(F.lit(1)), *[F.sum(e) for e in sums().values()])
+    return sorted(tuple(r) for r in grouped.collect())
 
 
-@pytest.mark.parametrize("tiles", [1, 2, 5, 7, 100])
-def test_tiles_equal_ntile(spark, many_slices, tiles):
-    df = skewed(spark).where("x is not null")
-    got = {
-        (r["tile"], r["x"], r["y"]): r["rows_in_tile"]
-        for r in tile_shares(df, {"x": "desc", "y": "asc"}, tiles).collect()
-    }
-    assert got == naive_tiles(df, tiles, F.desc("x"), F.asc("y"))
+@pytest.mark.parametrize("tiles", [1, 2, 5, 7, 40])
+def test_tiles_equal_ntile(spark, tiles):
+    df = skewed(spark)
+    want = naive_tiles(df, tiles, F.desc_nulls_last("x"), F.asc("y"))
+    assert tiles_of(df, {"x": "desc", "y": "asc"}, tiles) == want
 
 
 def test_tiles_with_fewer_rows_than_tiles(spark):
     df = spark.createDataFrame([(3.0, 0.0), (1.0, 0.0), (1.0, 0.0)], "x double, y double")
-    got = {
-        (r["tile"], r["x"], r["y"]): r["rows_in_tile"]
-        for r in tile_shares(df, {"x": "asc", "y": "asc"}, 5).collect()
-    }
-    assert got == naive_tiles(df, 5, "x", "y") == {(1, 1.0, 0.0): 1, (2, 1.0, 0.0): 1, (3, 3.0, 0.0): 1}
+    got = tiles_of(df, {"x": "asc", "y": "asc"}, 5)
+    assert got == naive_tiles(df, 5, "x", "y") and [r[0] for r in got] == [1, 2, 3]
 
 
 def test_tiles_of_nothing(spark):
-    assert tile_shares(skewed(spark).where("x > 1e9"), {"x": "asc"}, 5).count() == 0
+    assert tiles_of(skewed(spark).where("x > 1e9"), {"x": "asc"}, 5) == []
+
+
+@pytest.mark.parametrize("limit", [0, 10**9])
+def test_selected_positions_equal_sorted_list(spark, many_slices, limit):
+    """limit 0 sends the edge rows the range-partitioned way."""
+    df = skewed(spark).where("x is not null")
+    ordered = sorted((r["x"], -r["y"]) for r in df.select("x", "y").collect())
+    spots = [0, 17, 1000, 2000, 2001, len(ordered) - 1]
+    shares = [s / len(ordered) for s in spots]
+    total, got = select_positions(df, {"x": "asc", "y": "desc"}, shares, lambda n: spots, limit)
+    assert total == len(ordered)
+    assert [(s.position, s.sort_values) for s in got] == [(p, ordered[p]) for p in spots]
+
+
+def test_positions_far_from_the_hint(spark):
+    """A misleading sketch costs time, not exactness."""
+    df = skewed(spark).where("x is not null")
+    ordered = sorted(r["x"] for r in df.select("x").collect())
+    _, got = select_positions(df, {"x": "asc"}, [0.0], lambda n: [n // 5, n - 2])
+    assert [s.sort_values[0] for s in got] == [ordered[len(ordered) // 5], ordered[-2]]
 
 
-@pytest.mark.parametrize("descending", [False, True])
-def test_percent_rank_equals_window(spark, many_slices, descending):
+@pytest.mark.parametrize("share", [0.0, 0.05, 0.31, 0.5, 1.0])
+def test_top_share_equals_percent_rank(spark, share):
     df = skewed(spark).where("x is not null")
-    order = F.desc("x") if descending else F.asc("x")
-    window = F.percent_rank().over(Window.orderBy(order)).alias("p")
-    want = {(r["x"], r["p"]) for r in df.select("x", window).distinct().collect()}
-    got = percent_ranked(df, "x", descending).collect()
-    assert {(r["x"], r["percent_rank"]) for r in got} == want
-    assert sum(r["rows_equal"] for r in got) == df.count()
+    ranked = df.select("x", F.percent_rank().over(Window.orderBy(F.desc("x"))).alias("p"))
+    want = ranked.where(F.col("p") <= share).agg(F.min("x"), F.count("x")).first()
+    bound = top_share_bound(df, "x", share)
+    assert (bound, df.where(F.col("x") >= bound).count()) == tuple(want)
 
 
-def test_percent_rank_of_one_row(spark):
+def test_top_share_of_one_row_and_of_nothing(spark):
     df = spark.createDataFrame([(4.0,)], "x double")
-    assert [tuple(r) for r in percent_ranked(df, "x").collect()] == [(4.0, 1, 0.0)]
+    assert top_share_bound(df, "x", 0.05) == 4.0
+    assert top_share_bound(df.where("x > 5"), "x", 0.05) is None
+
+
+@pytest.mark.parametrize("level", [0.0, 0.05, 0.5, 0.95, 1.0])
+def test_percentile_of_column_equals_builtin(spark, level):
+    df = skewed(spark)
+    assert percentile_of(df, "x", level) == pytest.approx(
+        df.agg(F.percentile("x", level).alias("p")).first()["p"], rel=1e-12
+    )
+    assert percentile_of(df.where("x is null"), "x", level) is None
 
 
-def test_percentiles_equal_builtin(spark, many_slices):
+@pytest.mark.parametrize("buffered", [0, 10**9])
+def test_percentiles_equal_builtin(spark, many_slices, buffered):
+    """buffered 0 forces the sliced way."""
     df = skewed(spark)
     levels = {"p0": 0.0, "p37": 0.37, "p50": 0.5, "p90": 0.9, "p100": 1.0}
     want = df.groupBy("g").agg(
@@ -84,7 +119,7 @@ def test_percentiles_equal_builtin(spark, many_slices):
         F.sum("y").alias("s"),
         *[F.percentile("x", p).alias(n) for n, p in levels.items()],
     )
-    got = grouped_percentiles(df, ["g"], "x", levels, Carried({"s": F.col("y")}))
+    got = grouped_percentiles(df, ["g"], "x", levels, Carried({"s": F.col("y")}), buffered)
     by_group = {r["g"]: r for r in got.collect()}
     expected = want.collect()
     assert len(by_group) == len(expected) == 4
@@ -95,11 +130,12 @@ def test_percentiles_equal_builtin(spark, many_slices):
             assert mine[name] == pytest.approx(row[name], rel=1e-12)
 
 
-def test_percentiles_of_whole_table_and_all_null_group(spark):
+@pytest.mark.parametrize("buffered", [0, 10**9])
+def test_percentiles_of_whole_table_and_all_null_group(spark, buffered):
     df = spark.createDataFrame([("a", None), ("a", None), ("b", 1.0), ("b", 2.0)], "g string, x double")
-    got = {r["g"]: (r["group_rows"], r["m"]) for r in grouped_percentiles(df, ["g"], "x", {"m": 0.5}).collect()}
+    got = {r["g"]: (r["group_rows"], r["m"]) for r in grouped_percentiles(df, ["g"], "x", {"m": 0.5}, buffered_pairs=buffered).collect()}
     assert got == {"a": (2, None), "b": (2, 1.5)}
-    whole = grouped_percentiles(df, [], "x", {"m": 0.5}).collect()
+    whole = grouped_percentiles(df, [], "x", {"m": 0.5}, buffered_pairs=buffered).collect()
     assert [(r["group_rows"], r["m"]) for r in whole] == [(4, 1.5)]
 
 
@@ -115,8 +151,4 @@ def test_percentile_level_is_checked(spark):
 )
 def test_any_small_input(spark, values, tiles):
     df = spark.createDataFrame([(v, 0.0) for v in values], "x double, y double")
-    got = {
-        (r["tile"], r["x"], 0.0): r["rows_in_tile"]
-        for r in tile_shares(df, {"x": "asc"}, tiles).collect()
-    }
-    assert got == naive_tiles(df, tiles, "x")
+    assert tiles_of(df, {"x": "asc"}, tiles) == naive_tiles(df, tiles, "x")
