@@ -23,5 +23,7 @@ def local_session(cpus: int | None = None, memory: str = "8g", app: str = "farel
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Small shuffles become few tasks, by size, instead of one task per core.
+        .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
         .getOrCreate()
     )
