@@ -246,13 +246,11 @@ def batch_imported(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def file_months(spark: SparkSession, sf: str) -> DataFrame:
+    """The file every trip would come from; names are parsed once each, not once per row."""
     name = F.concat(F.lit("yellow_tripdata_"), F.date_format(PICKUP, "yyyy-MM"), F.lit(".parquet"))
-    return (
-        lineitem_trips(spark, sf)
-        .select(files.file_month(name).alias("file_date"))
-        .groupBy("file_date")
-        .agg(rows().alias("trips"))
-    )
+    per_day = lineitem_trips(spark, sf).groupBy(F.to_date(PICKUP).alias(PICKUP)).agg(rows().alias("n"))
+    per_file = per_day.groupBy(name.alias("file_name")).agg(F.sum("n").alias("trips"))
+    return per_file.select(files.file_month("file_name").alias("file_date"), "trips")
 
 
 def manifest_summary(spark: SparkSession, sf: str) -> DataFrame:

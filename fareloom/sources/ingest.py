@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from fareloom.columns import TRIP_SCHEMA
 from fareloom.sinks.writers import MONTH, YEAR, with_month_partition
 from fareloom.sources.files import SOURCE_FILE, file_month, list_files, read_drifting, read_footers
-from fareloom.staging import path_exists, remove_path, scratch_path, stage
+from fareloom.staging import path_exists, remove_path, stage
 
 SUCCESS, FAILED, SKIPPED, PENDING = "success", "failed", "skipped", "pending"
 
@@ -133,50 +133,48 @@ def reload_sources(new: DataFrame, table: str, pickup: str) -> DataFrame:
     if SOURCE_FILE not in new.columns:
         raise ValueError(f"rows to load need a {SOURCE_FILE} column")
     incoming = stage(with_month_partition(new, pickup), "incoming")
+    affected = incoming.select(_partition_key().alias("k")).distinct()
+    if list_files(spark, table).isEmpty():
+        _by_month(incoming, pickup).write.mode("overwrite").partitionBy(YEAR, MONTH).parquet(table)
+        return _month_counts(incoming)
+
+    current = spark.read.parquet(table)
     # Staged, so its true (small) size lets Spark broadcast it.
     sources = stage(incoming.select(SOURCE_FILE).distinct(), "source-names")
-    merged = incoming
-    affected = incoming.select(_partition_key().alias("k")).distinct()
-    if not list_files(spark, table).isEmpty():
-        current = spark.read.parquet(table)
-        holding = current.join(sources, SOURCE_FILE, "left_semi").select(_partition_key().alias("k"))
-        affected = affected.union(holding.distinct()).distinct()
-        # Month keys: a few hundred numbers, needed as literals for partition pruning.
-        keys = [r["k"] for r in affected.collect()]
-        untouched = current.where(_partition_key().isin(keys)).join(sources, SOURCE_FILE, "left_anti")
-        merged = untouched.unionByName(incoming, allowMissingColumns=True)
-    else:
-        keys = [r["k"] for r in affected.collect()]
-    ready = scratch_path(spark, "publish")
-    _write_months(merged, ready, pickup)
-    published = spark.read.schema(merged.schema).parquet(ready)
-    _write_months(published, table, pickup)
-    left = stage(
-        published.groupBy(_partition_key().alias("month_key")).agg(F.count(F.lit(1)).alias("rows")),
-        "published-months",
+    holding = current.join(sources, SOURCE_FILE, "left_semi").select(_partition_key().alias("k"))
+    # Month keys: a few hundred numbers, needed as literals for partition pruning.
+    keys = [r["k"] for r in affected.union(holding.distinct()).distinct().collect()]
+    untouched = current.where(_partition_key().isin(keys)).join(sources, SOURCE_FILE, "left_anti")
+    merged = untouched.unionByName(incoming, allowMissingColumns=True)
+    # Scratch holds the months clustered and sorted, so publishing needs no second shuffle.
+    ready = stage(_by_month(merged, pickup), "publish")
+    (
+        ready.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(YEAR, MONTH)
+        .parquet(table)
     )
+    left = _month_counts(ready)
     for key in set(keys) - {r["month_key"] for r in left.collect()}:
         remove_path(spark, f"{table}/{_partition_dir(key)}")
     return left
 
 
+def _by_month(df: DataFrame, pickup: str) -> DataFrame:
+    """Rows gathered by month (big months split by AQE), in pickup order inside a task."""
+    return df.hint("rebalance", YEAR, MONTH).sortWithinPartitions(YEAR, MONTH, pickup)
+
+
+def _month_counts(df: DataFrame) -> DataFrame:
+    return df.groupBy(_partition_key().alias("month_key")).agg(F.count(F.lit(1)).alias("rows"))
+
+
 def _partition_dir(key: int) -> str:
     if key < 0:
         return f"{YEAR}=__HIVE_DEFAULT_PARTITION__/{MONTH}=__HIVE_DEFAULT_PARTITION__"
     return f"{YEAR}={key // 100}/{MONTH}={key % 100}"
 
 
-def _write_months(df: DataFrame, path: str, pickup: str) -> None:
-    (
-        df.hint("rebalance", YEAR, MONTH)
-        .sortWithinPartitions(YEAR, MONTH, pickup)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(YEAR, MONTH)
-        .parquet(path)
-    )
-
-
 def stage_run(
     df: DataFrame, staging: str, run_id: str, writer_id: str, pickup: str
 ) -> None:

@@ -41,7 +41,7 @@ def partition_profile(df: DataFrame, pickup: str, yearly_up_to: int = 3) -> Data
 
 
 def suggest_partitioning(
-    df: DataFrame, pickup: str, max_partitions: int = 10_000, relative_error: float = 0.01
+    df: DataFrame, pickup: str, max_partitions: int = 10_000, relative_error: float = 0.05
 ) -> DataFrame:
     """e_suggest_partitioning: cardinality of the date-part layouts of a timestamp column.
 
@@ -56,12 +56,16 @@ def suggest_partitioning(
             for name, column in (("year", year), ("month", month), ("day", day))
         ]
     )
+    # One row from here on: the three cardinalities, turned into three rows.
+    names = {"year": "year", "year,month": "month", "year,month,day": "day"}
     layouts = F.array(
-        F.struct(F.lit("year").alias("layout"), F.col("year").alias("partitions"), F.lit(1).alias("depth")),
-        F.struct(F.lit("year,month").alias("layout"), F.col("month").alias("partitions"), F.lit(2).alias("depth")),
-        F.struct(F.lit("year,month,day").alias("layout"), F.col("day").alias("partitions"), F.lit(3).alias("depth")),
+        *[
+            F.struct(F.lit(n).alias("layout"), F.col(c).alias("partitions"), F.lit(i).alias("depth"))
+            for i, (n, c) in enumerate(names.items())
+        ]
     )
     fits = F.filter(layouts, lambda x: x["partitions"] <= max_partitions)
-    return counted.select(layouts.alias("layouts"), F.array_max(F.transform(fits, lambda x: x["depth"])).alias("best")).select(
-        F.inline("layouts"), "best"
-    ).select("layout", "partitions", (F.col("depth") == F.col("best")).alias("suggested"))
+    deepest = F.array_max(F.transform(fits, lambda x: x["depth"]))
+    return counted.select(deepest.alias("best"), F.inline(layouts)).select(
+        "layout", "partitions", F.col("depth").eqNullSafe(F.col("best")).alias("suggested")
+    )
