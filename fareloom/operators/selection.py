@@ -28,6 +28,7 @@ from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fareloom.operators.ordering import BEFORE, GROUP_ROWS, ROWS, slice_values
 
@@ -84,6 +85,9 @@ def select_positions(
     ``shares`` says roughly where they lie (0 … 1); ``positions`` gives them
     once the row count is known.
     """
+    for name in order:
+        if isinstance(df.schema[name].dataType, (T.LongType, T.DecimalType, T.StringType)):
+            raise TypeError(f"order by {name}: only types a double holds exactly can be selected on")
     sort = _sort_columns(order)
     names = list(sort)
     rows = df.select(*[c.alias(n) for n, c in sort.items()])

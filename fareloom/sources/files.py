@@ -63,60 +63,53 @@ def file_month(name: str | Column) -> Column:
     return F.when(year != "", F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date"))
 
 
-def _footer(path: str) -> dict:
-    import pyarrow.parquet as pq
-    from pyarrow import fs
-
-    if path.startswith("file:"):
-        filesystem, inner = fs.LocalFileSystem(), "/" + path[len("file:") :].lstrip("/")
-    else:
-        filesystem, inner = fs.FileSystem.from_uri(path)
-    with filesystem.open_input_file(inner) as handle:
-        meta = pq.ParquetFile(handle).metadata
-        nulls, known, stored, raw = 0, True, 0, 0
-        for g in range(meta.num_row_groups):
-            for c in range(meta.row_group(g).num_columns):
-                chunk = meta.row_group(g).column(c)
-                stored += chunk.total_compressed_size
-                raw += chunk.total_uncompressed_size
-                if chunk.is_stats_set and chunk.statistics.has_null_count:
-                    nulls += chunk.statistics.null_count
-                else:
-                    known = False
+def read_footers(files: DataFrame) -> DataFrame:
+    """Rows, NULLs, sizes and schema of every file, from footers read inside tasks.
+
+    No data page is touched. An unreadable file gets an ``error`` instead.
+    The helpers are nested so they travel with the task: executors need
+    pyarrow, not this package.
+    """
+    numbers = ("rows", "null_count", "stored_bytes", "raw_bytes")
+    unknown = dict.fromkeys((*numbers, "schema_key", "error"))
+
+    def footer(path: str) -> dict:
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        if path.startswith("file:"):
+            filesystem, inner = fs.LocalFileSystem(), "/" + path[len("file:") :].lstrip("/")
+        else:
+            filesystem, inner = fs.FileSystem.from_uri(path)
+        with filesystem.open_input_file(inner) as handle:
+            meta = pq.ParquetFile(handle).metadata
+        groups = [meta.row_group(g) for g in range(meta.num_row_groups)]
+        chunks = [group.column(c) for group in groups for c in range(group.num_columns)]
+        counted = all(c.is_stats_set and c.statistics.has_null_count for c in chunks)
         fields = [[f.name, str(f.type)] for f in meta.schema.to_arrow_schema()]
         return {
             "rows": meta.num_rows,
-            "null_count": nulls if known else None,
-            "stored_bytes": stored,
-            "raw_bytes": raw,
+            "null_count": sum(c.statistics.null_count for c in chunks) if counted else None,
+            "stored_bytes": sum(c.total_compressed_size for c in chunks),
+            "raw_bytes": sum(c.total_uncompressed_size for c in chunks),
             "schema_key": json.dumps(fields),
             "error": None,
         }
 
-
-def _footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    blank = dict.fromkeys(
-        ("rows", "null_count", "stored_bytes", "raw_bytes", "schema_key", "error")
-    )
-    for batch in batches:
-        found = []
-        for path in batch["path"]:
-            try:
-                found.append(_footer(path))
-            except Exception as problem:  # a bad file becomes a row, not a failed job
-                found.append({**blank, "error": f"{type(problem).__name__}: {problem}"})
-        details = pd.DataFrame(found, columns=list(blank), index=batch.index)
-        for name in ("rows", "null_count", "stored_bytes", "raw_bytes"):
-            details[name] = details[name].astype("Int64")
-        yield pd.concat([batch, details], axis=1)
-
-
-def read_footers(files: DataFrame) -> DataFrame:
-    """Rows, NULLs, sizes and schema of every file, from footers read inside tasks.
-
-    No data page is touched. An unreadable file gets an ``error`` instead.
-    """
-    return files.mapInPandas(_footers, FOOTERS)
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for path in batch["path"]:
+                try:
+                    found.append(footer(path))
+                except Exception as problem:  # a bad file becomes a row, not a failed job
+                    found.append({**unknown, "error": f"{type(problem).__name__}: {problem}"})
+            details = pd.DataFrame(found, columns=list(unknown), index=batch.index)
+            for name in numbers:
+                details[name] = details[name].astype("Int64")
+            yield pd.concat([batch, details], axis=1)
+
+    return files.mapInPandas(probe, FOOTERS)
 
 
 def read_drifting(footers: DataFrame, target: T.StructType | None = None) -> DataFrame:

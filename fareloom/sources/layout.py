@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fareloom.functions.times import month_number, year_of
@@ -26,9 +26,9 @@ def partition_profile(df: DataFrame, pickup: str, yearly_up_to: int = 3) -> Data
         F.count(F.lit(1)).alias("files"),
         F.sum("size").alias("bytes"),
     )
-    # One row per month from here on.
-    keys = per_month.agg(F.count(F.lit(1)).alias("keys"))
-    strategy = F.when(keys.scalar() <= yearly_up_to, "yearly").otherwise("monthly")
+    # One row per month from here on, so counting them in one task is cheap.
+    months = F.count(F.lit(1)).over(Window.partitionBy())
+    strategy = F.when(months <= yearly_up_to, "yearly").otherwise("monthly")
     return per_month.select(
         "year",
         "month",
