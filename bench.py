@@ -15,7 +15,7 @@ import time
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
-WARMUPS = int(os.environ.get("BENCH_WARMUPS", "1"))
+WARMUPS = int(os.environ.get("BENCH_WARMUPS", "2"))
 ONLY = [p for p in os.environ.get("BENCH_ONLY", "q,b").split(",") if p]
 
 

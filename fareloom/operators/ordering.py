@@ -121,9 +121,9 @@ class Carried:
         )
 
 
-# Up to this many distinct (group, value) pairs, all groups together fit one
-# aggregation buffer; the pairs are counted, not estimated.
-BUFFERED_PAIRS = 1_000_000
+# Up to this many distinct (group, value) pairs one task can order a whole
+# group; the pairs are counted, not estimated.
+ONE_TASK_PAIRS = 1_000_000
 
 
 def grouped_percentiles(
@@ -132,7 +132,7 @@ def grouped_percentiles(
     value: str,
     levels: Mapping[str, float],
     carried: Carried = Carried(),
-    buffered_pairs: int = BUFFERED_PAIRS,
+    one_task_pairs: int = ONE_TASK_PAIRS,
 ) -> DataFrame:
     """Exact continuous percentiles of ``value`` per group (PERCENTILE_CONT).
 
@@ -142,29 +142,43 @@ def grouped_percentiles(
     and the carried aggregates.
 
     The source is read once, down to distinct (group, value) pairs. Few pairs
-    go to the built-in weighted percentile, many take the sliced way.
+    are placed by a window per group, many take the sliced way.
     """
     for level in levels.values():
         if not 0.0 <= level <= 1.0:
             raise ValueError(f"percentile level {level} is outside [0, 1]")
     pairs = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias(ROWS), *carried.partial())
     counted = stage(pairs, "value-counts")
-    if counted.count() > buffered_pairs:
-        return _sliced_percentiles(counted, keys, value, levels, carried)
-    return counted.groupBy(*keys).agg(
-        F.sum(ROWS).alias(GROUP_ROWS),
-        *[F.percentile(value, p, F.col(ROWS)).alias(n) for n, p in levels.items()],
-        *carried.final(),
+    way = _windowed if counted.count() <= one_task_pairs else _sliced
+    return way(counted, keys, value, levels, carried).select(
+        *keys,
+        GROUP_ROWS,
+        *[_interpolated(n).alias(n) for n in levels],
+        *carried.sums,
+        *carried.lows,
+        *carried.highs,
     )
 
 
-def _sliced_percentiles(
-    counted: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    levels: Mapping[str, float],
-    carried: Carried,
-) -> DataFrame:
+def _windowed(counted, keys, value, levels, carried) -> DataFrame:
+    """One shuffle by group; window and final aggregate share it."""
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy(F.col(value).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    null_rows = F.when(F.col(value).isNull(), F.col(ROWS))
+    placed = counted.withColumns(
+        {
+            BEFORE: F.coalesce(F.sum(ROWS).over(earlier), F.lit(0)),
+            "all_rows": F.sum(ROWS).over(group),
+            "null_rows": F.coalesce(F.sum(null_rows).over(group), F.lit(0)),
+        }
+    )
+    located = placed.select("*", *[_target(n, p) for n, p in levels.items()])
+    return located.groupBy(*keys).agg(
+        F.sum(ROWS).alias(GROUP_ROWS), *[_picked(n, value) for n in levels], *carried.final()
+    )
+
+
+def _sliced(counted, keys, value, levels, carried) -> DataFrame:
     sliced = slice_values(counted, keys, [F.col(value).asc_nulls_first()])
     # NULLs sort first, so a group's NULL rows are a prefix to step over.
     totals = sliced.values.groupBy(*keys).agg(
@@ -183,31 +197,23 @@ def _sliced_percentiles(
                 & (at < F.col("slice_before") + F.col("rows_in_slice"))
             )
     hits = SlicedValues(sliced.values, slices, keys, sliced.order).intervals(inside)
+    picked = hits.groupBy(*keys).agg(*[_picked(n, value) for n in levels])
+    return _attach(totals, picked, keys, "left").withColumnRenamed("all_rows", GROUP_ROWS)
+
 
-    def value_at(name: str, end: str) -> Column:
-        at = F.col(f"{name}__at")[end]
-        covers = (at >= F.col(BEFORE)) & (at < F.col(BEFORE) + F.col(ROWS))
+def _picked(name: str, value: str) -> Column:
+    """The values on both sides of a percentile point, out of a group's placed values."""
+    target = F.col(f"{name}__at")
+
+    def value_at(end: str) -> Column:
+        covers = (target[end] >= F.col(BEFORE)) & (target[end] < F.col(BEFORE) + F.col(ROWS))
         return F.max(F.when(covers, F.col(value))).cast("double")
 
-    picked = hits.groupBy(*keys).agg(
-        *[
-            F.struct(
-                value_at(n, "low").alias("low"),
-                value_at(n, "high").alias("high"),
-                F.max(F.col(f"{n}__at")["share"]).alias("share"),
-            ).alias(f"{n}__v")
-            for n in levels
-        ]
-    )
-    result = _attach(totals, picked, keys, "left")
-    return result.select(
-        *keys,
-        F.col("all_rows").alias(GROUP_ROWS),
-        *[_interpolated(n).alias(n) for n in levels],
-        *carried.sums,
-        *carried.lows,
-        *carried.highs,
-    )
+    return F.struct(
+        value_at("low").alias("low"),
+        value_at("high").alias("high"),
+        F.max(target["share"]).alias("share"),
+    ).alias(f"{name}__v")
 
 
 def _target(name: str, level: float) -> Column:

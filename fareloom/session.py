@@ -23,7 +23,9 @@ def local_session(cpus: int | None = None, memory: str = "8g", app: str = "farel
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        # Small shuffles become few tasks, by size, instead of one task per core.
+        # Shuffles become tasks by size, not one per core; 4 MB suits a laptop-sized
+        # table, a cluster keeps Spark's 64 MB.
         .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4m")
         .getOrCreate()
     )

@@ -109,9 +109,9 @@ def test_percentile_of_column_equals_builtin(spark, level):
     assert percentile_of(df.where("x is null"), "x", level) is None
 
 
-@pytest.mark.parametrize("buffered", [0, 10**9])
-def test_percentiles_equal_builtin(spark, many_slices, buffered):
-    """buffered 0 forces the sliced way."""
+@pytest.mark.parametrize("limit", [0, 10**9])
+def test_percentiles_equal_builtin(spark, many_slices, limit):
+    """limit 0 forces the sliced way."""
     df = skewed(spark)
     levels = {"p0": 0.0, "p37": 0.37, "p50": 0.5, "p90": 0.9, "p100": 1.0}
     want = df.groupBy("g").agg(
@@ -119,7 +119,7 @@ def test_percentiles_equal_builtin(spark, many_slices, buffered):
         F.sum("y").alias("s"),
         *[F.percentile("x", p).alias(n) for n, p in levels.items()],
     )
-    got = grouped_percentiles(df, ["g"], "x", levels, Carried({"s": F.col("y")}), buffered)
+    got = grouped_percentiles(df, ["g"], "x", levels, Carried({"s": F.col("y")}), limit)
     by_group = {r["g"]: r for r in got.collect()}
     expected = want.collect()
     assert len(by_group) == len(expected) == 4
@@ -130,12 +130,12 @@ def test_percentiles_equal_builtin(spark, many_slices, buffered):
             assert mine[name] == pytest.approx(row[name], rel=1e-12)
 
 
-@pytest.mark.parametrize("buffered", [0, 10**9])
-def test_percentiles_of_whole_table_and_all_null_group(spark, buffered):
+@pytest.mark.parametrize("limit", [0, 10**9])
+def test_percentiles_of_whole_table_and_all_null_group(spark, limit):
     df = spark.createDataFrame([("a", None), ("a", None), ("b", 1.0), ("b", 2.0)], "g string, x double")
-    got = {r["g"]: (r["group_rows"], r["m"]) for r in grouped_percentiles(df, ["g"], "x", {"m": 0.5}, buffered_pairs=buffered).collect()}
+    got = {r["g"]: (r["group_rows"], r["m"]) for r in grouped_percentiles(df, ["g"], "x", {"m": 0.5}, one_task_pairs=limit).collect()}
     assert got == {"a": (2, None), "b": (2, 1.5)}
-    whole = grouped_percentiles(df, [], "x", {"m": 0.5}, buffered_pairs=buffered).collect()
+    whole = grouped_percentiles(df, [], "x", {"m": 0.5}, one_task_pairs=limit).collect()
     assert [(r["group_rows"], r["m"]) for r in whole] == [(4, 1.5)]
 
 
