@@ -9,7 +9,7 @@ tile edges, one threshold. So the table is narrowed instead of sorted:
 2. An exact count of the cells the cuts make — below, equal to, between and
    above them — tells which cell each position lies in. A sketch may be off;
    the count is not, and some cell always holds the position.
-3. Only the rows of those cells are put in order. Normally that is a fraction
+3. Only the rows of cells a position lies in are put in order. Normally that is a fraction
    of a thousandth of the table; their number is known from step 2, and if it
    is large they take the range-partitioned way of ``ordering``.
 
@@ -58,19 +58,78 @@ def _sort_columns(order: Mapping[str, str]) -> dict[str, Column]:
     return columns
 
 
-def _cell_of(columns: Sequence[str], cuts: Sequence[tuple[float, ...]]) -> Column:
-    """Cell number for ascending cuts: 2·i between cuts, odd on a cut."""
+def _cell_of(name: str, cuts: Sequence[float]) -> Column:
+    """Cell number for ascending cuts: even between cuts, odd on a cut."""
+    column = F.col(name)
+    passed = [(column >= F.lit(c)).cast("int") + (column > F.lit(c)).cast("int") for c in cuts]
+    return reduce(add, passed) if passed else F.lit(0)
 
-    def passed(cut: tuple[float, ...], on_equal: bool) -> Column:
-        # Lexicographic: greater in the first column that differs.
-        result = F.lit(on_equal)
-        for name, bound in reversed(list(zip(columns, cut))):
-            column, limit = F.col(name), F.lit(float(bound))
-            result = (column > limit) | ((column == limit) & result)
-        return result.cast("int")
 
-    parts = [passed(cut, equal) for cut in cuts for equal in (False, True)]
-    return reduce(add, parts) if parts else F.lit(0)
+@dataclass(frozen=True)
+class Narrowed:
+    """A table cut into cells along its ordering columns, with exact counts."""
+
+    rows: DataFrame  # sort columns, carried columns and the cell of every row
+    names: tuple[str, ...]
+    cuts: list[float]
+    counts: dict[int, int]
+    starts: dict[int, int]  # zero-based position of a cell's first row
+    sums: dict[int, dict[str, int | None]]
+
+    @property
+    def total(self) -> int:
+        return sum(self.counts.values())
+
+    def placed(self, cells: Sequence[int], carried: Sequence[str], one_task_rows: int) -> DataFrame:
+        """Distinct rows of some cells with ``rows_before`` counted inside their cell.
+
+        ``carried`` columns depend on the ordering columns only, so any copy
+        of a row has them.
+        """
+        inside = self.rows.where(F.col(_CELL).isin(list(cells)))
+        counted = inside.groupBy(_CELL, *self.names).agg(
+            F.count(F.lit(1)).alias(ROWS), *[F.max(c).alias(c) for c in carried]
+        )
+        by = [F.col(n) for n in self.names]
+        if sum(self.counts[c] for c in cells) > one_task_rows:
+            return slice_values(counted, [_CELL], by).intervals().drop(GROUP_ROWS)
+        earlier = Window.partitionBy(_CELL).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+        return counted.withColumn(BEFORE, F.coalesce(F.sum(ROWS).over(earlier), F.lit(0)))
+
+
+def narrow(
+    df: DataFrame, order: Mapping[str, str], shares: Sequence[float], sums: Mapping[str, Column] = {}
+) -> Narrowed:
+    """Steps 1 and 2: cuts around ``shares`` (0 … 1), exact counts and sums per cell."""
+    for name in order:
+        if isinstance(df.schema[name].dataType, (T.LongType, T.DecimalType, T.StringType)):
+            raise TypeError(f"order by {name}: only types a double holds exactly can be selected on")
+    sort = _sort_columns(order)
+    names = tuple(sort)
+    rows = df.select(*[c.alias(n) for n, c in {**sort, **sums}.items()])
+    spread = 2.0 / ACCURACY
+    probes = sorted({min(1.0, max(0.0, s + d)) for s in shares for d in (-spread, spread)})
+    cuts: list[float] = []
+    if probes:
+        sketch = rows.agg(F.percentile_approx(names[0], probes, ACCURACY).alias("v")).first()["v"]
+        cuts = sorted({float(v) for v in sketch or []})
+    celled = rows.withColumn(_CELL, _cell_of(names[0], cuts))
+    per_cell = celled.groupBy(_CELL).agg(
+        F.count(F.lit(1)).alias(ROWS), *[F.sum(n).alias(n) for n in sums]
+    )
+    cells = sorted(per_cell.collect(), key=lambda r: r[_CELL])  # 4 · shares + 1 rows at most
+    starts, so_far = {}, 0
+    for row in cells:
+        starts[row[_CELL]] = so_far
+        so_far += row[ROWS]
+    return Narrowed(
+        celled,
+        names,
+        cuts,
+        {r[_CELL]: r[ROWS] for r in cells},
+        starts,
+        {r[_CELL]: {n: r[n] for n in sums} for r in cells},
+    )
 
 
 def select_positions(
@@ -85,58 +144,31 @@ def select_positions(
     ``shares`` says roughly where they lie (0 … 1); ``positions`` gives them
     once the row count is known.
     """
-    for name in order:
-        if isinstance(df.schema[name].dataType, (T.LongType, T.DecimalType, T.StringType)):
-            raise TypeError(f"order by {name}: only types a double holds exactly can be selected on")
-    sort = _sort_columns(order)
-    names = list(sort)
-    rows = df.select(*[c.alias(n) for n, c in sort.items()])
-    spread = 2.0 / ACCURACY
-    probes = sorted({min(1.0, max(0.0, s + d)) for s in shares for d in (-spread, spread)})
-    sketch = rows.agg(F.percentile_approx(names[0], probes, ACCURACY).alias("v")).first()["v"]
-    cuts = [(float(v),) for v in sorted(set(sketch or []))]
-
-    celled = rows.withColumn(_CELL, _cell_of(names[:1], cuts))
-    counts = {r[_CELL]: r["n"] for r in celled.groupBy(_CELL).agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(counts.values())
-    starts, so_far = {}, 0
-    for cell in sorted(counts):
-        starts[cell] = so_far
-        so_far += counts[cell]
-    wanted = sorted(set(positions(total))) if total else []
-    home = {p: max(c for c in starts if starts[c] <= p) for p in wanted}
-
+    cut = narrow(df, order, shares)
+    wanted = sorted(set(positions(cut.total))) if cut.total else []
+    home = {p: max(c for c, start in cut.starts.items() if start <= p) for p in wanted}
     found: dict[int, tuple[float, ...]] = {}
-    open_cells = set()
+    unplaced = []
     for position, cell in home.items():
-        if cell % 2 and len(names) == 1:
-            found[position] = cuts[cell // 2]  # every row of the cell equals the cut
+        if cell % 2 and len(cut.names) == 1:
+            found[position] = (cut.cuts[cell // 2],)  # every row of the cell equals the cut
         else:
-            open_cells.add(cell)
-    if open_cells:
-        inside = celled.where(F.col(_CELL).isin(sorted(open_cells)))
-        counted = inside.groupBy(_CELL, *names).agg(F.count(F.lit(1)).alias(ROWS))
-        by = [F.col(n) for n in names]
-        if max(counts[c] for c in open_cells) <= one_task_rows:
-            earlier = Window.partitionBy(_CELL).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-            placed = counted.withColumn(BEFORE, F.coalesce(F.sum(ROWS).over(earlier), F.lit(0)))
-        else:
-            placed = slice_values(counted, [_CELL], by).intervals().drop(GROUP_ROWS)
+            unplaced.append((position, cell, position - cut.starts[cell]))
+    if unplaced:
+        placed = cut.placed(sorted({cell for _, cell, _ in unplaced}), (), one_task_rows)
         hit = F.lit(False)
-        for position in wanted:
-            if home[position] in open_cells:
-                offset = position - starts[home[position]]
-                hit = hit | (
-                    (F.col(_CELL) == home[position])
-                    & (F.col(BEFORE) <= offset)
-                    & (F.col(BEFORE) + F.col(ROWS) > offset)
-                )
-        for row in placed.where(hit).collect():  # one row per wanted position at most
-            for position in wanted:
-                offset = position - starts[home[position]]
-                if home[position] == row[_CELL] and row[BEFORE] <= offset < row[BEFORE] + row[ROWS]:
-                    found[position] = tuple(row[n] for n in names)
-    return total, [Selected(p, found[p]) for p in wanted]
+        for _, cell, offset in unplaced:
+            hit = hit | (
+                (F.col(_CELL) == cell)
+                & (F.col(BEFORE) <= offset)
+                & (F.col(BEFORE) + F.col(ROWS) > offset)
+            )
+        hits = placed.where(hit).collect()  # at most one row per wanted position
+        for position, cell, offset in unplaced:
+            for row in hits:
+                if row[_CELL] == cell and row[BEFORE] <= offset < row[BEFORE] + row[ROWS]:
+                    found[position] = tuple(row[n] for n in cut.names)
+    return cut.total, [Selected(p, found[p]) for p in wanted]
 
 
 def percentile_of(df: DataFrame, value: str, level: float) -> float | None:
@@ -184,7 +216,11 @@ def _first_of(tile: int, rows: int, tiles: int) -> int:
 
 
 def tile_totals(
-    df: DataFrame, order: Mapping[str, str], tiles: int, sums: Mapping[str, Column]
+    df: DataFrame,
+    order: Mapping[str, str],
+    tiles: int,
+    sums: Mapping[str, Column],
+    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """Row counts and sums per NTILE over the whole table.
 
@@ -192,45 +228,54 @@ def tile_totals(
     ``sums`` are integer expressions of the ordering columns only, so copies of
     one value are interchangeable and a run of copies on a tile edge is divided
     by row count. Output: ``tile``, ``rows_in_tile`` and one column per sum.
+
+    Cells inside one tile are done with their exact sums; only rows of cells
+    that an edge runs through are looked at again.
     """
+    cut = narrow(df, order, [i / tiles for i in range(1, tiles)], sums)
+    edges = [_first_of(t, cut.total, tiles) for t in range(1, tiles + 2)]
 
-    def edges(n: int) -> list[int]:
-        starts = [_first_of(t, n, tiles) for t in range(2, tiles + 1)]
-        return [s for s in starts if s < n]
+    def tile_at(position: int) -> int:
+        return max(t for t in range(1, tiles + 1) if edges[t - 1] <= position < edges[t])
 
-    total, selected = select_positions(df, order, [i / tiles for i in range(1, tiles)], edges)
-    sort = _sort_columns(order)
-    cuts = sorted({s.sort_values for s in selected})
-    # One more pass: every row falls between two edges or onto one.
-    cells = (
-        df.select(*[c.alias(n) for n, c in sort.items()], *[c.alias(n) for n, c in sums.items()])
-        .groupBy(_cell_of(list(sort), cuts).alias(_CELL))
-        .agg(F.count(F.lit(1)).alias(ROWS), *[F.sum(n).alias(n) for n in sums])
-    )
-    # From here on there are at most 2 · tiles rows.
-    before = Window.orderBy(_CELL).rowsBetween(Window.unboundedPreceding, -1)
-    placed = cells.withColumn("first", F.coalesce(F.sum(ROWS).over(before), F.lit(0)))
-    ranges = F.array(
-        *[
-            F.struct(
-                F.lit(t).cast("bigint").alias("tile"),
-                F.lit(_first_of(t, total, tiles)).cast("bigint").alias("start"),
-                F.lit(_first_of(t + 1, total, tiles)).cast("bigint").alias("stop"),
-            )
-            for t in range(1, tiles + 1)
-        ]
-    )
-    spread = placed.select("*", F.inline(ranges)).withColumn(
-        "overlap",
-        F.least(F.col("first") + F.col(ROWS), F.col("stop")) - F.greatest("first", "start"),
-    )
-    # A split cell holds equal rows, so its sums divide evenly by its row count.
-    def share(name: str) -> Column:
-        even = F.expr(f"`{name}` div {ROWS}") * F.col("overlap")
-        return F.when(F.col("overlap") == F.col(ROWS), F.col(name)).otherwise(even)
-
-    return (
-        spread.where("overlap > 0")
-        .groupBy("tile")
-        .agg(F.sum("overlap").alias("rows_in_tile"), *[F.sum(share(n)).alias(n) for n in sums])
+    whole, split = [], []
+    for cell, start in cut.starts.items():
+        tile = tile_at(start)
+        if tile_at(start + cut.counts[cell] - 1) == tile:
+            whole.append((tile, cut.counts[cell], *[cut.sums[cell][n] for n in sums]))
+        else:
+            split.append(cell)
+    spark = df.sparkSession
+    fields = ", ".join(["tile bigint", "rows_in_tile bigint", *[f"`{n}` bigint" for n in sums]])
+    parts = spark.createDataFrame(whole, fields)
+    if split:
+        first_row = F.coalesce(
+            *[F.when(F.col(_CELL) == c, F.lit(cut.starts[c]).cast("bigint")) for c in split]
+        )
+        spans = F.array(
+            *[
+                F.struct(
+                    F.lit(t).cast("bigint").alias("tile"),
+                    F.lit(edges[t - 1]).cast("bigint").alias("start"),
+                    F.lit(edges[t]).cast("bigint").alias("stop"),
+                )
+                for t in range(1, tiles + 1)
+            ]
+        )
+        placed = cut.placed(split, list(sums), one_task_rows).select(
+            (first_row + F.col(BEFORE)).alias("lo"),
+            (first_row + F.col(BEFORE) + F.col(ROWS)).alias("hi"),
+            *sums,
+        )
+        # A run of copies meets one tile, or a few when it covers an edge.
+        met = F.filter(spans, lambda s: (s["start"] < F.col("hi")) & (s["stop"] > F.col("lo")))
+        overlap = F.least("hi", "stop") - F.greatest("lo", "start")
+        pieces = placed.select("*", F.inline(met)).withColumn("rows_in_tile", overlap)
+        edge_sums = pieces.groupBy("tile").agg(
+            F.sum("rows_in_tile").alias("rows_in_tile"),
+            *[F.sum(F.col(n) * F.col("rows_in_tile")).alias(n) for n in sums],
+        )
+        parts = parts.unionByName(edge_sums)
+    return parts.groupBy("tile").agg(
+        F.sum("rows_in_tile").alias("rows_in_tile"), *[F.sum(n).alias(n) for n in sums]
     )

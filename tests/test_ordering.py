@@ -38,8 +38,8 @@ def sums():
     return {"x_u": cents("x"), "y_u": cents("y"), "n_x": F.col("x").isNotNull().cast("bigint")}
 
 
-def tiles_of(df, order, tiles):
-    return sorted(tuple(r) for r in tile_totals(df, order, tiles, sums()).collect())
+def tiles_of(df, order, tiles, **limit):
+    return sorted(tuple(r) for r in tile_totals(df, order, tiles, sums(), **limit).collect())
 
 
 def naive_tiles(df, tiles, *order):
@@ -55,6 +55,12 @@ def test_tiles_equal_ntile(spark, tiles):
     assert tiles_of(df, {"x": "desc", "y": "asc"}, tiles) == want
 
 
+def test_tiles_when_edge_rows_need_slices(spark, many_slices):
+    df = skewed(spark)
+    want = naive_tiles(df, 7, F.desc_nulls_last("x"), F.asc("y"))
+    assert tiles_of(df, {"x": "desc", "y": "asc"}, 7, one_task_rows=0) == want
+
+
 def test_tiles_with_fewer_rows_than_tiles(spark):
     df = spark.createDataFrame([(3.0, 0.0), (1.0, 0.0), (1.0, 0.0)], "x double, y double")
     got = tiles_of(df, {"x": "asc", "y": "asc"}, 5)
