@@ -21,7 +21,7 @@ DISTANCE_EDGES = (10, 25, 40)
 SOME_ZONES = (3, 5, 8)
 
 
-def _label_sql(case: str, name: str, order: str = "") -> str:
+def _label_sql(case: str, name: str) -> str:
     return f"SELECT {case} AS {name}, COUNT(*) AS trips, {REVENUE} AS revenue FROM trips GROUP BY 1"
 
 

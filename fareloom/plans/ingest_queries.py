@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from fareloom.columns import TripColumns
 from fareloom.functions.numbers import total_of
-from fareloom.functions.times import day_of, month_number, ntz, year_of
+from fareloom.functions.times import day_of, ntz, year_of
 from fareloom.operators import analytics as a
 from fareloom.operators import quality as v
 from fareloom.operators.corpus import rows

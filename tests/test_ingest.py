@@ -60,7 +60,7 @@ def month_file(spark, root: Path, year: int, month: int, n: int = 3, stray: bool
 
 @pytest.fixture
 def landing(spark, tmp_path):
-    root = tmp_path / "Trip Record 23-24-25"  # blanks in the path on purpose
+    root = tmp_path / "trip files 2023 to 2025"  # blanks in the path on purpose
     for year in (2023, 2024, 2025):
         month_file(spark, root, year, 1)
     return root
