@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fareloom.llm import bpe, decontaminate, language_id, line_dedup, simhash_dedup
+from fareloom.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    language_id,
+    line_dedup,
+    order_minhash,
+    quality,
+    simhash_dedup,
+    surrogates,
+    toxicity,
+)
 from fareloom.llm.text import held_out
 
 TOKENIZER = "word_bpe_49k.json"
@@ -81,12 +92,99 @@ def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = held_out(F.col("doc_id"), 3, 1)
+    found = toxicity.toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), ~held)
+    predicted = (F.col("score") >= toxicity.CUT).cast("int")
+    return found.select("doc_id", held.alias("held_out"), "score", predicted.alias("predicted"), "language")
+
+
+def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = held_out(F.col("doc_id"), 5, 0)
+    found = quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), ~held)
+    predicted = (F.col("score") >= 0.3).cast("int")
+    return found.select("doc_id", held.alias("held_out"), "score", predicted.alias("predicted"))
+
+
+#: The key of the registered query; a real run brings its own secret.
+SURROGATE_KEY = b"example key of the registered query"
+
+
+def surrogate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.with_surrogates(read(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
+def fingerprint_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = order_minhash.edited_pairs(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+    )
+
+
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything but conv_id is read back from the formatted text and its loss spans."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hostile = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(CONTROL_TEXT).alias("text"),
+    )
+    typed = rows.union(hostile).withColumn("parts", chat.text_parts(F.col("text")))
+    found = chat.format_conversations(typed).select(
+        "conv_id",
+        F.char_length("formatted").cast("bigint").alias("formatted_chars"),
+        chat.read_turns(F.col("formatted")).alias("turns"),
+        chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"),
+    )
+    told = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return found.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(F.array_join(told, ""), 256).alias("turns_sha256"),
+        F.char_length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+CHAT_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), sized AS (
+  SELECT *, length('<s>[INST]</s>') + length(role) + length(text)
+            + length(regexp_replace(role || text, '[^<\[\\]', '', 'g')) AS marked
+  FROM rows
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(marked) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_surrogates": surrogate_query,
     "op2_bpe_encode_decode": bpe_encode_decode,
+    "op3_toxicity": toxicity_query,
     "op4_benchmark_decontamination": decontamination,
     "op5_line_dedup": line_dedup_query,
     "op6_simhash_near_dedup": simhash_query,
+    "op7_order_minhash": fingerprint_query,
+    "op8_chat_format": chat_query,
     "op9_language_id": language_query,
+    "op10_quality": quality_query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_line_dedup": LINE_DEDUP_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_line_dedup": LINE_DEDUP_SQL, "op8_chat_format": CHAT_SQL}
