@@ -19,10 +19,10 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fareloom.llm.text import as_text
+from fareloom.llm.text import as_text, parts
 
 #: Words, and fragments, whose ids a task remembers; then it starts afresh.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 
 
 def byte_letters() -> dict[int, str]:
@@ -234,10 +234,10 @@ def encode(text: Column, tokenizer: str | Vocabulary) -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(vocabulary)
-        for texts in batches:
-            parts = [encoder.encode(t) for t in as_text(texts)]
-            sizes = np.cumsum([0] + [len(p) for p in parts])
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        for texts in parts(batches):
+            made = [encoder.encode(t) for t in as_text(texts)]
+            sizes = np.cumsum([0] + [len(p) for p in made])
+            flat = np.concatenate(made) if made else np.zeros(0, np.int32)
             yield pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat, pa.int32()))
 
     return F.arrow_udf(run, "array<int>")(text)
@@ -253,17 +253,17 @@ def decode(ids: Column, tokenizer: str | Vocabulary) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = [vocabulary.tokens.get(i) for i in range(max(vocabulary.tokens) + 1)]
         whole = None not in table
-        for lists in batches:
-            out = []
-            for row in lists:
-                values = row.values
-                numbers = values.to_numpy(zero_copy_only=False).tolist() if values is not None else []
-                if whole and (not numbers or 0 <= min(numbers) and max(numbers) < len(table)):
-                    out.append(" ".join(map(table.__getitem__, numbers)))
-                else:
-                    known = (table[i] for i in numbers if i is not None and 0 <= i < len(table))
-                    out.append(" ".join(t for t in known if t is not None))
-            yield pa.array(out, pa.string())
+
+        def spelled(values: pa.Array | None) -> str:
+            numbers = values.to_numpy(zero_copy_only=False).tolist() if values is not None else []
+            if whole and (not numbers or 0 <= min(numbers) and max(numbers) < len(table)):
+                return " ".join(map(table.__getitem__, numbers))
+            known = (table[i] for i in numbers if i is not None and 0 <= i < len(table))
+            return " ".join(t for t in known if t is not None)
+
+        for batch in batches:
+            for low in range(0, len(batch), 512):
+                yield pa.array([spelled(row.values) for row in batch.slice(low, 512)], pa.string())
 
     return F.arrow_udf(run, "string")(ids)
 

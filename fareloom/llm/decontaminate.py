@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fareloom.llm.text import WordHasher, as_text, blocks, shingle_hashes
+from fareloom.llm.text import WordHasher, as_text, blocks, parts, shingle_hashes
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -149,7 +149,7 @@ def _scan(index: ItemIndex, threshold: float, item_type: str):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hasher = WordHasher()
         arrow = None
-        for texts in batches:
+        for texts in parts(batches):
             out = []
             lowered = [t.lower().encode("utf-8", "surrogatepass") for t in as_text(texts)]
             for _, block in blocks(lowered):
@@ -228,13 +228,13 @@ def leaks(
         raise TypeError(f"item ids of type {kind}")
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
     n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    parts = max(1, -(-n // INDEX_ITEMS), -(-chars // INDEX_CHARS))
+    passes = max(1, -(-n // INDEX_ITEMS), -(-chars // INDEX_CHARS))
     found = []
-    for part in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
+    for part in range(passes):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == part).collect()
         index = ItemIndex(sorted(map(tuple, rows), key=repr), shingle_words)
         found.append(_scan(index, threshold, kind)(text))
-    return found[0] if parts == 1 else F.concat(*found)
+    return found[0] if passes == 1 else F.concat(*found)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", **settings) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fareloom.llm.sampling import bounded_sample
-from fareloom.llm.text import as_text
+from fareloom.llm.text import as_text, parts
 
 UNKNOWN = "und"
 BUCKETS = 1 << 12
@@ -141,7 +141,7 @@ def _sparse_counts(text: Column) -> Column:
     kind = pa.struct([("bucket", pa.list_(pa.int32())), ("times", pa.list_(pa.float32()))])
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in parts(batches):
             out = []
             for text in as_text(texts):
                 counts = bucket_counts(text)
@@ -162,7 +162,7 @@ def identify(text: Column, model: LanguageModel) -> Column:
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in parts(batches):
             langs, scores = [], []
             whole = as_text(texts)
             for low in range(0, len(whole), 256):

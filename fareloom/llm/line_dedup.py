@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fareloom.llm.text import BLANKS, as_bytes
+from fareloom.llm.text import BLANKS, as_bytes, parts
 from fareloom.staging import stage
 
 MIN_CHARS = 40
@@ -29,7 +29,7 @@ def line_digest(line: bytes, min_chars: int) -> bytes | None:
 
 def _digests(min_chars: int):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in parts(batches):
             found = []
             for text in as_bytes(texts):
                 keys = dict.fromkeys(line_digest(line, min_chars) for line in text.split(b"\n"))
@@ -44,7 +44,7 @@ def _rewritten(min_chars: int):
     kind = pa.struct([("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())])
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, drops in batches:
+        for texts, drops in parts(batches):
             kept, lines, dropped = [], [], []
             for text, drop in zip(as_bytes(texts), drops.to_pylist()):
                 lines.append(text.count(b"\n") + 1)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fareloom.llm.sampling import bounded_sample
-from fareloom.llm.text import as_bytes
+from fareloom.llm.text import as_bytes, parts
 from fareloom.staging import stage
 
 #: Weight of the class's own variances against its full covariance, and of one common variance.
@@ -64,7 +64,7 @@ def statistics(text: Column) -> Column:
     """array<double> of ``statistics_of``; null text counts as empty."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in parts(batches):
             yield pa.array([statistics_of(t) for t in as_bytes(texts)], pa.list_(pa.float64()))
 
     return F.arrow_udf(run, "array<double>")(text)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fareloom.llm.components import components
-from fareloom.llm.text import as_bytes
+from fareloom.llm.text import as_bytes, parts
 from fareloom.staging import stage
 
 SHINGLE_WORDS = 4
@@ -51,7 +51,7 @@ def simhash_column(text: Column, words: int = SHINGLE_WORDS) -> Column:
     """``simhash`` of a text column as a bigint; null text counts as empty."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in parts(batches):
             prints = np.array([simhash(t, words) for t in as_bytes(texts)], dtype=np.uint64)
             yield pa.array(prints.view(np.int64))
 
@@ -78,14 +78,14 @@ def _cells(max_bits: int, bits: int, groups: int):
     segments = -(-64 // bits)
     if -(-segments // groups) * (bits + 1).bit_length() > 56:
         raise ValueError("a group's counts don't fit into a cell number")
-    parts = np.array_split(np.arange(segments), groups)
+    shared = np.array_split(np.arange(segments), groups)
     width = np.uint64((bits + 1).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             counts = segment_counts(prints, bits).astype(np.uint64)
-            for g, part in enumerate(parts):
+            for g, part in enumerate(shared):
                 places = np.arange(len(part), dtype=np.uint64) * width
                 home = (counts[:, part] << places[None, :]).sum(axis=1, dtype=np.uint64)
                 home = home | np.uint64(g << 56)

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fareloom.llm.text import as_text
+from fareloom.llm.text import as_text, parts
 from fareloom.staging import stage
 
 # Titles with the gender they tell, and given names and surnames by script and gender.
@@ -256,7 +256,7 @@ def _entities(text: Column) -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         detector = Detector()
-        for texts in batches:
+        for texts in parts(batches):
             rows = []
             for text in as_text(texts):
                 found = dict.fromkeys((t, v) for _, _, t, v in detector.find(text))
@@ -314,7 +314,7 @@ def _replaced(key: bytes):
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         detector = Detector()
-        for texts, again in batches:
+        for texts, again in parts(batches):
             out, counts, types = [], [], []
             for text, redrawn in zip(as_text(texts), again.to_pylist()):
                 attempts = {(r["type"], r["value"]): r["attempt"] for r in redrawn or ()}

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +25,30 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
+def parts(batches: Iterator, size: int = 2 * BLOCK) -> Iterator:
+    """Every batch in slices of about ``size`` bytes of text, copied nowhere.
+
+    A batch is an array of texts, or a tuple whose first array is. What a task
+    makes of a slice, and not of a whole batch of long texts, is what it holds.
+    """
+    for batch in batches:
+        texts = batch[0] if isinstance(batch, tuple) else batch
+        if not len(texts):
+            yield batch
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        low = 0
+        while low < len(texts):
+            done = ends[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(ends, done + size, side="right")))
+            high = min(high, low + 4096)
+            if isinstance(batch, tuple):
+                yield tuple(column.slice(low, high - low) for column in batch)
+            else:
+                yield batch.slice(low, high - low)
+            low = high
+
+
 def as_bytes(texts: pa.Array) -> list[bytes]:
     """UTF-8 of every text; null becomes the empty text."""
     return [t or b"" for t in texts.cast(pa.large_binary()).to_pylist()]
