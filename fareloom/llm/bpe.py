@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fareloom.llm.text import as_text, parts
+from fareloom.llm.text import as_text, list_array, parts
 
 #: Words, and fragments, whose ids a task remembers; then it starts afresh.
 REMEMBERED = 1 << 18
@@ -223,6 +223,25 @@ class Encoder:
         return np.frombuffer(b"".join(out), dtype=np.int32)
 
 
+def _vocabulary(tokenizer: str | Vocabulary) -> Vocabulary:
+    return tokenizer if isinstance(tokenizer, Vocabulary) else Vocabulary(tokenizer)
+
+
+class Decoder:
+    """Spells ids in a task."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.table = [vocabulary.tokens.get(i) for i in range(max(vocabulary.tokens) + 1)]
+        self.whole = None not in self.table
+
+    def decode(self, ids: np.ndarray) -> str:
+        numbers = ids.tolist()
+        if self.whole and (not numbers or 0 <= min(numbers) and max(numbers) < len(self.table)):
+            return " ".join(map(self.table.__getitem__, numbers))
+        known = (self.table[i] for i in numbers if i is not None and 0 <= i < len(self.table))
+        return " ".join(t for t in known if t is not None)
+
+
 def encode(text: Column, tokenizer: str | Vocabulary) -> Column:
     """Token ids of whole texts as array<int>, without adding special tokens.
 
@@ -230,15 +249,12 @@ def encode(text: Column, tokenizer: str | Vocabulary) -> Column:
     tokens written in a text become their ids, as the file says. Null or empty
     text has no ids.
     """
-    vocabulary = tokenizer if isinstance(tokenizer, Vocabulary) else Vocabulary(tokenizer)
+    vocabulary = _vocabulary(tokenizer)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(vocabulary)
         for texts in parts(batches):
-            made = [encoder.encode(t) for t in as_text(texts)]
-            sizes = np.cumsum([0] + [len(p) for p in made])
-            flat = np.concatenate(made) if made else np.zeros(0, np.int32)
-            yield pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat, pa.int32()))
+            yield list_array([encoder.encode(t) for t in as_text(texts)], pa.int32())
 
     return F.arrow_udf(run, "array<int>")(text)
 
@@ -248,26 +264,34 @@ def decode(ids: Column, tokenizer: str | Vocabulary) -> Column:
 
     Ids outside the vocabulary are left out. Null or no ids give empty text.
     """
-    vocabulary = tokenizer if isinstance(tokenizer, Vocabulary) else Vocabulary(tokenizer)
+    vocabulary = _vocabulary(tokenizer)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table = [vocabulary.tokens.get(i) for i in range(max(vocabulary.tokens) + 1)]
-        whole = None not in table
-
-        def spelled(values: pa.Array | None) -> str:
-            numbers = values.to_numpy(zero_copy_only=False).tolist() if values is not None else []
-            if whole and (not numbers or 0 <= min(numbers) and max(numbers) < len(table)):
-                return " ".join(map(table.__getitem__, numbers))
-            known = (table[i] for i in numbers if i is not None and 0 <= i < len(table))
-            return " ".join(t for t in known if t is not None)
-
+        decoder = Decoder(vocabulary)
+        none = np.zeros(0, np.int32)
         for batch in batches:
             for low in range(0, len(batch), 512):
-                yield pa.array([spelled(row.values) for row in batch.slice(low, 512)], pa.string())
+                rows = batch.slice(low, 512)
+                values = (none if r.values is None else r.values.to_numpy(zero_copy_only=False) for r in rows)
+                yield pa.array([decoder.decode(v) for v in values], pa.string())
 
     return F.arrow_udf(run, "string")(ids)
 
 
+def round_trip(text: Column, tokenizer: str | Vocabulary) -> Column:
+    """struct<ids, decoded>: ``encode``, and ``decode`` of its ids, in one Python step."""
+    vocabulary = _vocabulary(tokenizer)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder, decoder = Encoder(vocabulary), Decoder(vocabulary)
+        for texts in parts(batches):
+            ids = [encoder.encode(t) for t in as_text(texts)]
+            spelled = pa.array([decoder.decode(i) for i in ids], pa.string())
+            yield pa.StructArray.from_arrays([list_array(ids, pa.int32()), spelled], names=["ids", "decoded"])
+
+    return F.arrow_udf(run, "struct<ids:array<int>,decoded:string>")(text)
+
+
 def joined_ids(ids: Column) -> Column:
     """Ids in decimal, one space between them."""
     return F.array_join(ids.cast("array<string>"), " ")

@@ -31,9 +31,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens, the two digests, and the ids themselves."""
-    vocabulary = bpe.Vocabulary(tokenizer)
-    ids = docs.select("doc_id", bpe.encode(F.col("text"), vocabulary).alias("token_ids"))
-    both = ids.select("doc_id", "token_ids", bpe.decode(F.col("token_ids"), vocabulary).alias("decoded"))
+    both = docs.select("doc_id", bpe.round_trip(F.col("text"), tokenizer).alias("both"))
+    both = both.select("doc_id", F.col("both.ids").alias("token_ids"), F.col("both.decoded").alias("decoded"))
     return both.select(
         "doc_id",
         F.size("token_ids").cast("bigint").alias("n_tokens"),

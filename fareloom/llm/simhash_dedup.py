@@ -281,7 +281,7 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
         "simhash-kept",
     )
     one_each = docs.join(kept, F.col(doc_id) == F.col("_kept"), "left_semi").dropDuplicates([doc_id])
-    nameless = found.where("doc_id is null and component_id is null").select("print").distinct()
+    nameless = found.where("doc_id is null and component_id is null").select(F.col("print").alias("_nameless")).distinct()
     words = settings.get("shingle_words", SHINGLE_WORDS)
     without = docs.where(F.col(doc_id).isNull()).withColumn("_print", simhash_column(F.col(text), words))
-    return one_each.unionByName(without.join(nameless, F.col("_print") == F.col("print"), "left_semi").drop("_print"))
+    return one_each.unionByName(without.join(nameless, F.col("_print") == F.col("_nameless"), "left_semi").drop("_print"))

@@ -149,5 +149,5 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
 def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     """One Arrow list per array."""
     sizes = np.cumsum([0] + [len(p) for p in parts])
-    flat = np.concatenate(parts) if parts else np.zeros(0)
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat, kind))

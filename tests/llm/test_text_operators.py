@@ -1,0 +1,165 @@
+"""BPE, chat format, Order MinHash and surrogates: exact round trips and definitions."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from fareloom.llm import bpe, chat, order_minhash, queries, surrogates
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(PATH)
+
+
+def test_encoder_equals_library(library):
+    encoder, rng = bpe.Encoder(bpe.Vocabulary(PATH)), random.Random(1)
+    odd = ["ΣΑΣ", "İı", "<|endoftext|>", "it's", "I'LL", "''s", "\x1c", "\x85", "\xa0", "日本語", "🙂", "a" * 300, "½", "ﬁ", "́", "\x00", "ẞ"]
+    for _ in range(1500):
+        text = "".join(rng.choice(odd + list("abcdefst' .,é")) for _ in range(rng.randint(0, 14)))
+        assert encoder.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_both_merges_agree():
+    encoder, rng = bpe.Encoder(bpe.Vocabulary(PATH)), random.Random(2)
+    for _ in range(200):
+        ids = [encoder.plain[rng.choice("aeinorst")] for _ in range(rng.randint(1, 60))]
+        assert encoder.merged(list(ids)) == encoder.merged_long(list(ids))
+
+
+def test_bpe_query(spark, sf_dir, library):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in queries.bpe_encode_decode(spark, sf_dir).collect():
+        ids = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        want = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == want
+
+
+def test_bpe_hard_rows(hard_documents, no_documents):
+    rows = queries.tokenized(hard_documents, PATH).collect()
+    assert len(rows) == 9 and max(r.n_tokens for r in rows) == 40_000
+    assert queries.tokenized(no_documents, PATH).count() == 0
+    both = hard_documents.select(bpe.decode(bpe.encode(F.col("text"), PATH), PATH).alias("a"), bpe.round_trip(F.col("text"), PATH)["decoded"].alias("b"))
+    assert both.where("not a <=> b").count() == 0
+
+
+@pytest.mark.parametrize("text", ["", "<", "[", "\\", "<\\", "\\<", "</s>[INST]", "\\\\[", "[\\<s>", "plain"])
+def test_escape_is_reversible(spark, text):
+    row = spark.createDataFrame([(text,)], "t string").select(chat.escape(F.col("t")).alias("e"), chat.unescape(chat.escape(F.col("t"))).alias("u")).first()
+    assert row.u == text and not any(c in row.e for c in (chat.OPEN, chat.BODY, chat.CLOSE))
+
+
+def test_typed_parts(spark):
+    part = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
+    rows = [
+        (1, 0, "user", [("text", "see [this]", None, None, None, None, None), ("image", None, "i1", 57, 28, None, None), None]),
+        (1, 1, "assistant", [("text", "<s>yes", None, None, None, None, None)]),
+        (1, 2, "user", [("audio", None, "a1", None, None, 1.5, None), ("document", None, "d1", None, None, None, 2), ("film", "x", None, None, None, None, None)]),
+        (None, None, None, None),
+    ]
+    frame = spark.createDataFrame(rows, f"conv_id bigint, turn bigint, role string, parts array<{part}>")
+    got = {r.conv_id: r for r in chat.format_conversations(frame).collect()}
+    one = got[1]
+    assert one.formatted == "<s>user[INST]see [\\this][IMAGE]</s><s>assistant[INST]<\\s>yes</s><s>user[INST][AUDIO][DOCUMENT]</s>"
+    assert [tuple(a) for a in one.attachments] == [(0, 0, "image", "i1", 3), (1, 2, "audio", "a1", 38), (2, 2, "document", "d1", 1120)]
+    assert one.expanded_tokens == 3 + 38 + 1120
+    assert [one.formatted[s.start - 1 : s.start - 1 + s.length] for s in one.loss_spans] == ["<\\s>yes"]
+    assert got[None].formatted == "<s>[INST]</s>" and got[None].loss_spans == []
+    assert chat.format_conversations(frame.limit(0)).count() == 0
+    plan = chat.format_conversations(frame)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def by_definition(text, factors, k, size):
+    kmers = order_minhash.numbered_kmers(text, k)
+    short = kmers.astype(np.uint32)
+    out = []
+    for f in factors:
+        order = short * f
+        out.append(sorted(sorted(range(len(kmers)), key=lambda i: (int(order[i]), i))[: min(size, len(kmers))]))
+    return kmers, out
+
+
+def test_order_minhash_by_definition():
+    rng, factors = random.Random(4), order_minhash.multipliers(16)
+    for n in (1, 9, 12, 60, 900):
+        text = "".join(rng.choice("abc ") for _ in range(n))
+        kmers, chosen = by_definition(text, factors, 8, 2)
+        want = []
+        for places in chosen:
+            total = np.zeros(1, np.uint64)
+            for i in places:
+                total = total * order_minhash._STEP + kmers[i]
+            want.append(int(order_minhash.mixed(total)[0] >> np.uint64(48)))
+        assert order_minhash.sketch(kmers, factors).tolist() == want
+
+
+def test_order_minhash_feels_order_and_repeats():
+    f = order_minhash.fingerprint
+    a, b = "the quick brown fox jumps over it. " * 3, "a lazy dog sleeps under the old tree "
+    assert order_minhash.likeness(f(a + b), f(a + b)) == 1
+    assert order_minhash.likeness(f(a + b), f(b + a)) < 0.9  # nearly the same k-mers in another order
+    assert order_minhash.likeness(f(""), f("x")) < 0.2 and order_minhash.likeness(f(""), f("")) == 1
+
+
+def test_next_document(documents, no_documents, hard_documents):
+    rows = [(i * 7, chr(97 + i % 26) * (i + 1), "en") for i in range(300)]
+    got = {r.doc_id: r for r in order_minhash.edited_pairs(documents(rows)).collect()}
+    for i, (key, text, _) in enumerate(rows):
+        after = rows[i - 1][1]
+        half = len(text) // 2
+        assert got[key].edited == text[: len(text) - half] + after[:half] and got[key].n_chars == len(text)
+    assert order_minhash.edited_pairs(no_documents).count() == 0
+    assert order_minhash.edited_pairs(hard_documents).count() == 9
+    assert order_minhash.edited_pairs(documents([(3, "alone here", "en")])).first().near_next == 1.0
+
+
+KEY = b"test"
+
+
+def test_surrogates_keep_type_and_coreference(documents):
+    rows = [
+        (1, "Write to Anna.Bell@mail.example.com or +1 (212) 555-0187; card 4111 1111 1111 1111.", "en"),
+        (2, "anna.bell@MAIL.example.com, 10.0.3.17, 81.2.69.142, key deadbeefdeadbeefdeadbeefdeadbeef", "en"),
+        (3, "Mrs Emma Novak met Herr Novak; г-жа Анна Белов", "en"),
+        (4, "Nothing of note, version 1.2.3 of 2024.", "en"),
+    ]
+    got = {r.doc_id: r for r in surrogates.with_surrogates(documents(rows), KEY).collect()}
+    assert got[4].text == rows[3][1] and got[4].n_entities == 0
+    assert got[1].types == ["email", "phone", "card"] and got[2].types == ["email", "ip", "ip", "secret"]
+    mail_1 = got[1].text.split("Write to ")[1].split(" ")[0]
+    mail_2 = got[2].text.split(",")[0]
+    assert mail_1.lower() == mail_2.lower() and mail_1 != "Anna.Bell@mail.example.com" and mail_1.endswith(".com")
+    card = got[1].text.split("card ")[1].rstrip(".")
+    assert [len(g) for g in card.split(" ")] == [4, 4, 4, 4] and surrogates.luhn(card.replace(" ", ""))
+    assert ", 10." in got[2].text and "10.0.3.17" not in got[2].text
+    assert got[3].types == ["given_f", "surname", "surname", "given_f", "surname"]
+    words = got[3].text.replace(";", "").split()
+    assert words[2] == words[5] and words[2] != "Novak" and words[1] in surrogates.GIVEN["latin", "f"].split()
+    assert words[7] in surrogates.GIVEN["cyrillic", "f"].split() and surrogates.script_of(words[8]) == "cyrillic"
+
+
+def test_surrogates_stay_distinct(spark):
+    rows = [("surname", f"name{i}") for i in range(300)] + [("ip", f"10.0.0.{i}") for i in range(10)]
+    got = surrogates.assign(spark.createDataFrame(rows, "type string, value string"), KEY).collect()
+    assert len(got) == 310 and len({(r.type, r.surrogate) for r in got}) == 310
+    assert not {(r.type, r.surrogate) for r in got} & set(rows)
+    again = {(r.value, r.surrogate) for r in surrogates.assign(spark.createDataFrame(rows[::-1], "type string, value string"), KEY).collect()}
+    assert again == {(r.value, r.surrogate) for r in got}
+
+
+def test_surrogates_of_hard_rows(hard_documents, no_documents):
+    rows = surrogates.with_surrogates(hard_documents, KEY).collect()
+    assert len(rows) == 9 and all(r.text is not None for r in rows)
+    assert surrogates.with_surrogates(no_documents, KEY).count() == 0
