@@ -68,3 +68,7 @@ class TripColumns:
     total: str = "total_amount"
     congestion: str = "congestion_surcharge"
     airport: str = "airport_fee"
+    #: Partition columns known to be the pickup time's year and month. Only the
+    #: owner of a layout can know: folders named after files hold stray rows.
+    pickup_year: str | None = None
+    pickup_month: str | None = None

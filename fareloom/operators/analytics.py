@@ -28,16 +28,16 @@ from fareloom.sources.names import find_column
 YEAR, MONTH = "year", "month"
 
 
-def _month_bounds(df: DataFrame, first: str, last: str) -> Column | None:
-    """Conditions on the ``year``/``month`` partition columns that cover the range.
+def _month_bounds(c: TripColumns, first: str, last: str) -> Column | None:
+    """Conditions on the declared partition columns that cover the range.
 
     Spark prunes directories only on partition columns, so a filter on the
     timestamp alone would open every file of a partitioned table.
     """
-    if YEAR not in df.columns or MONTH not in df.columns:
+    if c.pickup_year is None or c.pickup_month is None:
         return None
     a, b = dt.date.fromisoformat(first), dt.date.fromisoformat(last)
-    year, month = F.col(YEAR), F.col(MONTH)
+    year, month = F.col(c.pickup_year), F.col(c.pickup_month)
     if a.year == b.year:
         return (year == a.year) & month.between(a.month, b.month)
     return (
@@ -48,9 +48,9 @@ def _month_bounds(df: DataFrame, first: str, last: str) -> Column | None:
 
 
 def in_range(trips: DataFrame, first: str, last: str, c: TripColumns = TRIPS) -> DataFrame:
-    """Trips picked up from ``first`` to ``last``, both days included, partitions pruned."""
+    """Trips picked up from ``first`` to ``last``, both days included; declared partitions are pruned."""
     kept = trips.where(within_days(c.pickup, first, last))
-    bounds = _month_bounds(trips, first, last)
+    bounds = _month_bounds(c, first, last)
     return kept if bounds is None else kept.where(bounds)
 
 

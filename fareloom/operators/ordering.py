@@ -121,18 +121,12 @@ class Carried:
         )
 
 
-# Up to this many distinct (group, value) pairs one task can order a whole
-# group; the pairs are counted, not estimated.
-ONE_TASK_PAIRS = 1_000_000
-
-
 def grouped_percentiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     levels: Mapping[str, float],
     carried: Carried = Carried(),
-    one_task_pairs: int = ONE_TASK_PAIRS,
 ) -> DataFrame:
     """Exact continuous percentiles of ``value`` per group (PERCENTILE_CONT).
 
@@ -141,16 +135,15 @@ def grouped_percentiles(
     Output: keys, ``group_rows`` (all rows of the group), one column per level
     and the carried aggregates.
 
-    The source is read once, down to distinct (group, value) pairs. Few pairs
-    are placed by a window per group, many take the sliced way.
+    The source is read once, down to distinct (group, value) pairs; these are cut
+    into slices by value, whatever their number, so no task orders a whole group.
     """
     for level in levels.values():
         if not 0.0 <= level <= 1.0:
             raise ValueError(f"percentile level {level} is outside [0, 1]")
     pairs = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias(ROWS), *carried.partial())
     counted = stage(pairs, "value-counts")
-    way = _windowed if counted.count() <= one_task_pairs else _sliced
-    return way(counted, keys, value, levels, carried).select(
+    return _sliced(counted, keys, value, levels, carried).select(
         *keys,
         GROUP_ROWS,
         *[_interpolated(n).alias(n) for n in levels],
@@ -160,24 +153,6 @@ def grouped_percentiles(
     )
 
 
-def _windowed(counted, keys, value, levels, carried) -> DataFrame:
-    """One shuffle by group; window and final aggregate share it."""
-    group = Window.partitionBy(*keys)
-    earlier = group.orderBy(F.col(value).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    null_rows = F.when(F.col(value).isNull(), F.col(ROWS))
-    placed = counted.withColumns(
-        {
-            BEFORE: F.coalesce(F.sum(ROWS).over(earlier), F.lit(0)),
-            "all_rows": F.sum(ROWS).over(group),
-            "null_rows": F.coalesce(F.sum(null_rows).over(group), F.lit(0)),
-        }
-    )
-    located = placed.select("*", *[_target(n, p) for n, p in levels.items()])
-    return located.groupBy(*keys).agg(
-        F.sum(ROWS).alias(GROUP_ROWS), *[_picked(n, value) for n in levels], *carried.final()
-    )
-
-
 def _sliced(counted, keys, value, levels, carried) -> DataFrame:
     sliced = slice_values(counted, keys, [F.col(value).asc_nulls_first()])
     # NULLs sort first, so a group's NULL rows are a prefix to step over.

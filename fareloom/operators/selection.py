@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,8 +34,6 @@ from fareloom.operators.ordering import BEFORE, GROUP_ROWS, ROWS, slice_values
 
 # Rank error of the sketch is at most 1/ACCURACY; cuts lie twice as far out.
 ACCURACY = 5000
-# Up to this many rows a cell is ordered in one task.
-ONE_TASK_ROWS = 200_000
 
 _CELL, _SORT = "cell", "sort_{}"
 
@@ -80,7 +78,7 @@ class Narrowed:
     def total(self) -> int:
         return sum(self.counts.values())
 
-    def placed(self, cells: Sequence[int], carried: Sequence[str], one_task_rows: int) -> DataFrame:
+    def placed(self, cells: Sequence[int], carried: Sequence[str]) -> DataFrame:
         """Distinct rows of some cells with ``rows_before`` counted inside their cell.
 
         ``carried`` columns depend on the ordering columns only, so any copy
@@ -91,10 +89,7 @@ class Narrowed:
             F.count(F.lit(1)).alias(ROWS), *[F.max(c).alias(c) for c in carried]
         )
         by = [F.col(n) for n in self.names]
-        if sum(self.counts[c] for c in cells) > one_task_rows:
-            return slice_values(counted, [_CELL], by).intervals().drop(GROUP_ROWS)
-        earlier = Window.partitionBy(_CELL).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-        return counted.withColumn(BEFORE, F.coalesce(F.sum(ROWS).over(earlier), F.lit(0)))
+        return slice_values(counted, [_CELL], by).intervals().drop(GROUP_ROWS)
 
 
 def narrow(
@@ -137,7 +132,6 @@ def select_positions(
     order: Mapping[str, str],
     shares: Sequence[float],
     positions: Callable[[int], Sequence[int]],
-    one_task_rows: int = ONE_TASK_ROWS,
 ) -> tuple[int, list[Selected]]:
     """The rows at some zero-based positions of the ordered table, and the row count.
 
@@ -155,7 +149,7 @@ def select_positions(
         else:
             unplaced.append((position, cell, position - cut.starts[cell]))
     if unplaced:
-        placed = cut.placed(sorted({cell for _, cell, _ in unplaced}), (), one_task_rows)
+        placed = cut.placed(sorted({cell for _, cell, _ in unplaced}), ())
         hit = F.lit(False)
         for _, cell, offset in unplaced:
             hit = hit | (
@@ -220,7 +214,6 @@ def tile_totals(
     order: Mapping[str, str],
     tiles: int,
     sums: Mapping[str, Column],
-    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """Row counts and sums per NTILE over the whole table.
 
@@ -262,7 +255,7 @@ def tile_totals(
                 for t in range(1, tiles + 1)
             ]
         )
-        placed = cut.placed(split, list(sums), one_task_rows).select(
+        placed = cut.placed(split, list(sums)).select(
             (first_row + F.col(BEFORE)).alias("lo"),
             (first_row + F.col(BEFORE) + F.col(ROWS)).alias("hi"),
             *sums,

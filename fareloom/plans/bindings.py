@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fareloom.functions.numbers import fixed, from_fixed
+from fareloom.functions.numbers import from_fixed, nearest
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _cents(value: Column) -> Column:
-    return from_fixed(fixed(value))
+    return from_fixed(nearest(value))
 
 
 def lineitem_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def lineitem_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event as a trip that lasts ``value`` minutes and covers ``value`` miles."""
-    micros = fixed("value") * F.lit(600_000)
+    micros = nearest(F.col("value")) * F.lit(600_000)
     return table(spark, sf_dir, "events").select(
         F.col("event_type").alias("VendorID"),
         F.col("ts").alias("tpep_pickup_datetime"),

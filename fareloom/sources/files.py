@@ -8,6 +8,7 @@ to the target, and the groups are unioned by name.
 
 from __future__ import annotations
 
+import csv
 import json
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fareloom.sources.schema import align_schema
-from fareloom.staging import path_exists
+from fareloom.staging import path_exists, stage
 
 SOURCE_FILE = "source_file"
 # Fixed value: where file names carry their month.
@@ -77,6 +78,9 @@ def read_footers(files: DataFrame) -> DataFrame:
         import pyarrow.parquet as pq
         from pyarrow import fs
 
+        scheme, colon, rest = path.partition("://")
+        if scheme in ("s3a", "s3n"):  # Spark's names for one store
+            path = "s3" + colon + rest
         if path.startswith("file:"):
             filesystem, inner = fs.LocalFileSystem(), "/" + path[len("file:") :].lstrip("/")
         else:
@@ -112,8 +116,13 @@ def read_footers(files: DataFrame) -> DataFrame:
     return files.mapInPandas(probe, FOOTERS)
 
 
-def read_drifting(footers: DataFrame, target: T.StructType | None = None) -> DataFrame:
-    """e_scan_parquet_glob: every readable file as one frame with a ``source_file`` column.
+def read_drifting(
+    footers: DataFrame, target: T.StructType | None = None, skip_unreadable: bool = False
+) -> DataFrame:
+    """e_scan_parquet_glob: every file as one frame with a ``source_file`` column.
+
+    A file whose footer can't be read raises; ``skip_unreadable`` leaves such
+    files out, for callers that report them.
 
     Without a target the columns are the union of all files, by lower-cased
     name. Partition folders in the paths are ignored. The driver sees one path
@@ -121,6 +130,10 @@ def read_drifting(footers: DataFrame, target: T.StructType | None = None) -> Dat
     """
     spark = footers.sparkSession
     groups: dict[str, list[str]] = defaultdict(list)
+    if not skip_unreadable:
+        broken = footers.where(F.col("error").isNotNull()).select("path", "error").take(3)
+        if broken:
+            raise ValueError("unreadable: " + "; ".join(f"{r['path']}: {r['error']}" for r in broken))
     readable = footers.where(F.col("error").isNull()).select("schema_key", "path")
     for row in readable.toLocalIterator():
         groups[row["schema_key"]].append(row["path"])
@@ -142,8 +155,8 @@ def _read_group(spark: SparkSession, paths: Sequence[str], target: T.StructType
 
 
 def scan_folder(spark: SparkSession, root: str, target: T.StructType | None = None) -> DataFrame:
-    """All Parquet files under ``root``, whatever their schema generation."""
-    return read_drifting(read_footers(list_files(spark, root)), target)
+    """All Parquet files under ``root``, whatever their schema generation; an unreadable one raises."""
+    return read_drifting(stage(read_footers(list_files(spark, root)), "footers"), target)
 
 
 def scan_hive(spark: SparkSession, root: str) -> DataFrame:
@@ -154,10 +167,25 @@ def scan_hive(spark: SparkSession, root: str) -> DataFrame:
 def scan_csv(spark: SparkSession, path: str, target: T.StructType) -> DataFrame:
     """e_scan_csv: text with a header line, typed by column name.
 
-    A declared schema would bind columns by position and break when a fee
-    column is absent; here the header decides and the cast follows the name.
+    Every file is read by its own header line: Spark takes one file's header for
+    all, so files are grouped by it first. The first lines are gathered in
+    tasks; one path per file comes to the driver, as for any scan. Fee columns
+    that a group of files lacks are filled for that group.
     """
     from fareloom.sources.schema import default_fill
 
-    text = spark.read.option("header", "true").option("inferSchema", "false").csv(path)
-    return align_schema(default_fill(text), target)
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    first = lines.where(F.col("_metadata.file_block_start") == 0)
+    heads = first.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.first("value").alias("head"))
+    groups: dict[str, list[str]] = defaultdict(list)
+    for row in stage(heads, "csv-heads").toLocalIterator():
+        groups[row["head"]].append(row["path"])
+    if not groups:
+        return spark.createDataFrame([], target)
+    frames = []
+    for head in sorted(groups):
+        names = next(csv.reader([head]))
+        schema = T.StructType([T.StructField(n.strip(), T.StringType()) for n in names])
+        text = spark.read.schema(schema).option("header", "true").option("enforceSchema", "false").csv(groups[head])
+        frames.append(align_schema(default_fill(text), target))
+    return reduce(lambda a, b: a.unionByName(b), frames)

@@ -75,7 +75,8 @@ def batch_import(
     """e_batch_import / e_incremental_load: load every (new) file under ``root``.
 
     One distributed read per schema generation, one append, and the manifest
-    rows after the data. Footers are read first: with ``skip_errors`` a bad
+    rows after the data; an incremental run whose predecessor died in between
+    finds the loaded files in the table and only writes their manifest rows. Footers are read first: with ``skip_errors`` a bad
     file becomes a failed manifest row, without it nothing is loaded.
     ``require_date`` leaves out files whose name carries no month.
     Returns the manifest rows of this run.
@@ -99,8 +100,12 @@ def batch_import(
     if undated is not None:
         log = log.unionByName(manifest_rows(undated, SKIPPED))
     log = stage(log, "manifest-run")
+    if incremental and path_exists(spark, table):
+        # A run that died between the data and its manifest rows has loaded these files already.
+        held = stage(spark.read.parquet(table).select(SOURCE_FILE).distinct(), "held-files")
+        usable = stage(usable.join(held, SOURCE_FILE, "left_anti").select(*usable.columns), "files-to-load")
     if not usable.where(F.col("error").isNull()).isEmpty():
-        read_drifting(usable, target).write.mode("append").parquet(table)
+        read_drifting(usable, target, skip_unreadable=True).write.mode("append").parquet(table)
     if not log.isEmpty():
         log.write.mode("append").parquet(manifest)
     return log
@@ -138,7 +143,8 @@ def reload_sources(new: DataFrame, table: str, pickup: str) -> DataFrame:
         _by_month(incoming, pickup).write.mode("overwrite").partitionBy(YEAR, MONTH).parquet(table)
         return _month_counts(incoming)
 
-    current = spark.read.parquet(table)
+    # Months and runs may lack columns that others have; none may get lost on the way back.
+    current = spark.read.option("mergeSchema", "true").parquet(table)
     # Staged, so its true (small) size lets Spark broadcast it.
     sources = stage(incoming.select(SOURCE_FILE).distinct(), "source-names")
     holding = current.join(sources, SOURCE_FILE, "left_semi").select(_partition_key().alias("k"))
@@ -199,7 +205,7 @@ def publish_runs(
     NULL in a ``required`` column stop the publish before the table is touched.
     The staging sets stay, so a publish that dies half-way is simply run again.
     """
-    staged = spark.read.parquet(staging)
+    staged = spark.read.option("mergeSchema", "true").parquet(staging)
     if required:
         broken = F.lit(False)
         for name in required:

@@ -97,10 +97,11 @@ def drop_replays(
 def daily_totals(
     stream: DataFrame, delay: str = "1 day", c: TripColumns = TRIPS
 ) -> DataFrame:
-    """r_stream_daily: trips, mean amount and revenue per finished day.
+    """r_stream_daily: trips, mean amount and revenue per day.
 
-    Append mode: a day is emitted once, when the watermark has passed its end.
-    State is one row per open day; micro-batches pre-aggregate before the shuffle.
+    In append mode a day comes out once, when the watermark has passed its end;
+    ``publish_daily`` keeps the open days up to date as well. State is one row
+    per open day; micro-batches pre-aggregate before the shuffle.
     """
     return (
         _watermarked(stream, c.pickup, delay)
@@ -117,3 +118,32 @@ def daily_totals(
             from_fixed(F.col("units")).alias("revenue"),
         )
     )
+
+
+def publish_daily(totals: DataFrame, table: str, checkpoint: str) -> None:
+    """Keep a table of ``daily_totals`` by day, open days included, up to everything available.
+
+    Update mode hands each micro-batch the days that changed, with their whole
+    totals; these replace the day's folder, so a batch that is run again
+    changes nothing.
+    """
+
+    def replace_days(batch: DataFrame, _: int) -> None:
+        (
+            batch.write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("day")
+            .parquet(table)
+        )
+
+    query = (
+        totals.writeStream.outputMode("update")
+        .foreachBatch(replace_days)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    try:
+        query.awaitTermination()
+    finally:
+        query.stop()

@@ -32,7 +32,7 @@ def test_inventory_is_complete():
 
 
 def test_approximate_queries_are_the_only_ones_without_sql():
-    assert WITHOUT_SQL == ["q07b_p90_distance_approx", "e_suggest_partitioning"]
+    assert WITHOUT_SQL == ["e_suggest_partitioning"]
 
 
 def test_contract(spark):

@@ -58,7 +58,7 @@ def test_tiles_equal_ntile(spark, tiles):
 def test_tiles_when_edge_rows_need_slices(spark, many_slices):
     df = skewed(spark)
     want = naive_tiles(df, 7, F.desc_nulls_last("x"), F.asc("y"))
-    assert tiles_of(df, {"x": "desc", "y": "asc"}, 7, one_task_rows=0) == want
+    assert tiles_of(df, {"x": "desc", "y": "asc"}, 7) == want
 
 
 def test_tiles_with_fewer_rows_than_tiles(spark):
@@ -71,14 +71,12 @@ def test_tiles_of_nothing(spark):
     assert tiles_of(skewed(spark).where("x > 1e9"), {"x": "asc"}, 5) == []
 
 
-@pytest.mark.parametrize("limit", [0, 10**9])
-def test_selected_positions_equal_sorted_list(spark, many_slices, limit):
-    """limit 0 sends the edge rows the range-partitioned way."""
+def test_selected_positions_equal_sorted_list(spark, many_slices):
     df = skewed(spark).where("x is not null")
     ordered = sorted((r["x"], -r["y"]) for r in df.select("x", "y").collect())
     spots = [0, 17, 1000, 2000, 2001, len(ordered) - 1]
     shares = [s / len(ordered) for s in spots]
-    total, got = select_positions(df, {"x": "asc", "y": "desc"}, shares, lambda n: spots, limit)
+    total, got = select_positions(df, {"x": "asc", "y": "desc"}, shares, lambda n: spots)
     assert total == len(ordered)
     assert [(s.position, s.sort_values) for s in got] == [(p, ordered[p]) for p in spots]
 
@@ -115,9 +113,7 @@ def test_percentile_of_column_equals_builtin(spark, level):
     assert percentile_of(df.where("x is null"), "x", level) is None
 
 
-@pytest.mark.parametrize("limit", [0, 10**9])
-def test_percentiles_equal_builtin(spark, many_slices, limit):
-    """limit 0 forces the sliced way."""
+def test_percentiles_equal_builtin(spark, many_slices):
     df = skewed(spark)
     levels = {"p0": 0.0, "p37": 0.37, "p50": 0.5, "p90": 0.9, "p100": 1.0}
     want = df.groupBy("g").agg(
@@ -125,7 +121,7 @@ def test_percentiles_equal_builtin(spark, many_slices, limit):
         F.sum("y").alias("s"),
         *[F.percentile("x", p).alias(n) for n, p in levels.items()],
     )
-    got = grouped_percentiles(df, ["g"], "x", levels, Carried({"s": F.col("y")}), limit)
+    got = grouped_percentiles(df, ["g"], "x", levels, Carried({"s": F.col("y")}))
     by_group = {r["g"]: r for r in got.collect()}
     expected = want.collect()
     assert len(by_group) == len(expected) == 4
@@ -136,12 +132,11 @@ def test_percentiles_equal_builtin(spark, many_slices, limit):
             assert mine[name] == pytest.approx(row[name], rel=1e-12)
 
 
-@pytest.mark.parametrize("limit", [0, 10**9])
-def test_percentiles_of_whole_table_and_all_null_group(spark, limit):
+def test_percentiles_of_whole_table_and_all_null_group(spark):
     df = spark.createDataFrame([("a", None), ("a", None), ("b", 1.0), ("b", 2.0)], "g string, x double")
-    got = {r["g"]: (r["group_rows"], r["m"]) for r in grouped_percentiles(df, ["g"], "x", {"m": 0.5}, one_task_pairs=limit).collect()}
+    got = {r["g"]: (r["group_rows"], r["m"]) for r in grouped_percentiles(df, ["g"], "x", {"m": 0.5}).collect()}
     assert got == {"a": (2, None), "b": (2, 1.5)}
-    whole = grouped_percentiles(df, [], "x", {"m": 0.5}, one_task_pairs=limit).collect()
+    whole = grouped_percentiles(df, [], "x", {"m": 0.5}).collect()
     assert [(r["group_rows"], r["m"]) for r in whole] == [(4, 1.5)]
 
 

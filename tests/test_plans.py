@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from fareloom.columns import TripColumns
 from fareloom.operators import analytics as a
 from fareloom.operators import corpus as q
 from fareloom.plans.bindings import lineitem_trips
@@ -15,6 +16,7 @@ from fareloom.sinks.writers import write_hive_partitioned
 from fareloom.sources.files import scan_hive
 
 PICKUP = "tpep_pickup_datetime"
+BY_MONTH = TripColumns(pickup_year="year", pickup_month="month")
 PLAIN = [n for n in catalog() if n[0] in "qba" and n != "a_daily_summary_table"]
 
 
@@ -50,19 +52,19 @@ def partitioned(spark, sf_dir, tmp_path_factory):
 
 def test_range_reads_only_its_months(partitioned):
     everything = files_read(partitioned.groupBy("year").count())
-    three_months = a.range_daily_stats(partitioned, "1998-06-01", "1998-08-31")
+    three_months = a.range_daily_stats(partitioned, "1998-06-01", "1998-08-31", BY_MONTH)
     plan = plan_of(three_months)
     assert re.search(r"PartitionFilters: \[[^\]]*year[^\]]*month", plan)
     read = files_read(three_months)
     assert 3 <= read <= 8 and everything > 10 * read
-    over_new_year = a.range_daily_stats(partitioned, "1997-12-01", "1998-01-31")
+    over_new_year = a.range_daily_stats(partitioned, "1997-12-01", "1998-01-31", BY_MONTH)
     assert 2 <= files_read(over_new_year) <= 6
 
 
 def test_pruned_and_flat_answers_agree(spark, sf_dir, partitioned):
     for first, last in (("1996-01-01", "1996-02-29"), ("1997-06-01", "1998-06-30"), ("1997-12-31", "1998-01-01")):
         flat = a.range_daily_stats(lineitem_trips(spark, sf_dir), first, last).collect()
-        assert a.range_daily_stats(partitioned, first, last).collect() == flat and flat
+        assert a.range_daily_stats(partitioned, first, last, BY_MONTH).collect() == flat and flat
 
 
 def test_filters_and_columns_reach_the_scan(spark, sf_dir):
