@@ -20,8 +20,9 @@ def drop_keyed_duplicates(
 
     The remaining columns break ties, so the winner is always the same row. A
     maximum per key combines before the shuffle: copies of one key leave each
-    task as a single row, however many there are. A ``row_number`` window would
-    bring all of them to one task first.
+    task as a single row, however many there are. A maximum of rows is no
+    fixed-size buffer, so both steps sort by key; ``row_number() = 1`` is limited
+    before the shuffle as well, and sorts by all columns.
     """
     rest = [c for c in df.columns if c not in keys]
     if not rest:

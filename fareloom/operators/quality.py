@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fareloom.columns import TripColumns
-from fareloom.functions.numbers import mean_of, round2, total_of
+from fareloom.functions.numbers import fixed, from_fixed, mean_of, round2, total_of
 from fareloom.functions.times import day_of, year_of
 from fareloom.operators.corpus import TRIPS, rows
 from fareloom.operators.selection import percentile_of
@@ -27,30 +27,65 @@ def table_fingerprint(trips: DataFrame, c: TripColumns = TRIPS) -> DataFrame:
     )
 
 
-def data_stats(trips: DataFrame, c: TripColumns = TRIPS) -> DataFrame:
-    """v_data_stats: the fingerprint with distinct zones."""
-    return trips.agg(
-        rows().alias("total_rows"),
-        F.count_distinct(c.vendor).alias("vendors"),
-        F.count_distinct(c.pickup_zone).alias("pickup_locations"),
-        F.count_distinct(c.dropoff_zone).alias("dropoff_locations"),
+def _per_route(trips: DataFrame, c: TripColumns, **sums: Column) -> DataFrame:
+    """Rows and sums per (vendor, zones): few rows, from which all distinct counts are taken.
+
+    Several distinct counts over the trips themselves would make every row as
+    many rows as there are counts.
+    """
+    return trips.groupBy(
+        F.col(c.vendor).alias("vendor"),
+        F.col(c.pickup_zone).alias("pickup_zone"),
+        F.col(c.dropoff_zone).alias("dropoff_zone"),
+    ).agg(
+        rows().alias("n"),
         F.min(c.pickup).alias("min_date"),
         F.max(c.pickup).alias("max_date"),
-        round2(mean_of(c.total)).alias("avg_fare"),
-        round2(total_of(c.total)).alias("total_revenue"),
+        *[e.alias(name) for name, e in sums.items()],
+    )
+
+
+def _counts() -> list[Column]:
+    """Rows and distinct values out of ``_per_route``."""
+    return [
+        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total_rows"),
+        F.count_distinct("vendor").alias("vendors"),
+        F.count_distinct("pickup_zone").alias("pickup_locations"),
+        F.count_distinct("dropoff_zone").alias("dropoff_locations"),
+    ]
+
+
+def _mean_from(units: str, known: str) -> Column:
+    return from_fixed(F.sum(units)) / F.nullif(F.sum(known), F.lit(0))
+
+
+def data_stats(trips: DataFrame, c: TripColumns = TRIPS) -> DataFrame:
+    """v_data_stats: the fingerprint with distinct zones."""
+    routes = _per_route(trips, c, total=F.sum(fixed(c.total)), totals=F.count(c.total))
+    return routes.agg(
+        *_counts(),
+        F.min("min_date").alias("min_date"),
+        F.max("max_date").alias("max_date"),
+        round2(_mean_from("total", "totals")).alias("avg_fare"),
+        round2(from_fixed(F.sum("total"))).alias("total_revenue"),
     )
 
 
 def quality_profile(trips: DataFrame, c: TripColumns = TRIPS) -> DataFrame:
     """v_quality_profile: rows, distinct counts, means and the exact 95th percentile fare."""
     p95 = F.lit(percentile_of(trips, c.fare, 0.95)).cast("double")
-    return trips.agg(
-        rows().alias("total_rows"),
-        F.count_distinct(c.vendor).alias("vendors"),
-        F.count_distinct(c.pickup_zone).alias("pickup_locations"),
-        F.count_distinct(c.dropoff_zone).alias("dropoff_locations"),
-        mean_of(c.fare).alias("avg_fare"),
-        mean_of(c.distance).alias("avg_distance"),
+    routes = _per_route(
+        trips,
+        c,
+        fare=F.sum(fixed(c.fare)),
+        fares=F.count(c.fare),
+        distance=F.sum(fixed(c.distance)),
+        distances=F.count(c.distance),
+    )
+    return routes.agg(
+        *_counts(),
+        _mean_from("fare", "fares").alias("avg_fare"),
+        _mean_from("distance", "distances").alias("avg_distance"),
         p95.alias("p95_fare"),
     )
 
@@ -107,19 +142,24 @@ def group_key_diagnostics(left: DataFrame, right: DataFrame, c: TripColumns = TR
 def validate(trips: DataFrame, c: TripColumns = TRIPS) -> DataFrame:
     """v_validate: rows per year with the table's totals and a status.
 
-    An empty table yields no rows; a table without the needed columns fails.
+    An empty table yields one row without a year, with 0 rows and the status
+    ``empty``; a table without the needed columns fails.
     """
     missing = [n for n in (c.pickup, c.total) if n not in trips.columns]
     if missing:
         raise ValueError(f"columns {missing} are missing; the table has {trips.columns}")
     per_year = trips.groupBy(year_of(c.pickup).alias("year")).agg(rows().alias("year_rows"))
-    total = F.sum("year_rows").over(Window.partitionBy())  # over one row per year
-    return per_year.select(
+    # One row per year from here on, gathered so that no year at all is a row too.
+    whole = per_year.agg(
+        F.coalesce(F.sum("year_rows"), F.lit(0)).cast("bigint").alias("total_rows"),
+        F.collect_list(F.struct("year", "year_rows")).alias("years"),
+    )
+    return whole.select("total_rows", F.inline_outer("years")).select(
         "year",
-        "year_rows",
-        total.alias("total_rows"),
+        F.coalesce("year_rows", F.lit(0)).cast("bigint").alias("year_rows"),
+        "total_rows",
         F.lit(len(trips.columns)).cast("bigint").alias("column_count"),
-        F.lit("valid").alias("status"),
+        F.when(F.col("total_rows") == 0, "empty").otherwise("valid").alias("status"),
     ).orderBy("year")
 
 

@@ -13,7 +13,7 @@ from fareloom.functions.numbers import fixed, from_fixed, mean_of, over, round2,
 from fareloom.functions.times import month_of
 from fareloom.operators import corpus
 from fareloom.operators.corpus import TRIPS, rows
-from fareloom.operators.ordering import GROUP_ROWS, grouped_percentiles, join_on_keys
+from fareloom.operators.ordering import GROUP_ROWS, Carried, grouped_percentiles
 from fareloom.operators.selection import percentile_of, tile_totals
 
 
@@ -140,14 +140,24 @@ def quintile_profile(trips: DataFrame, c: TripColumns = TRIPS, tiles: int = 5) -
 
 
 def ratecode_median_stddev(trips: DataFrame, c: TripColumns = TRIPS) -> DataFrame:
-    """b19: rows, exact median and sample standard deviation of the fare per rate code."""
-    medians = grouped_percentiles(trips, [c.rate_code], c.fare, {"median_fare": 0.5})
-    spread = trips.groupBy(c.rate_code).agg(round2(F.stddev_samp(c.fare)).alias("fare_stddev"))
-    return (
-        join_on_keys(medians, spread, [c.rate_code])
-        .select(c.rate_code, F.col(GROUP_ROWS).alias("trips"), "median_fare", "fare_stddev")
-        .orderBy(F.desc("trips"), c.rate_code)
-    )
+    """b19: rows, exact median and sample standard deviation of the fare per rate code.
+
+    The deviation comes from sums that the median's count of equal values carries along: one scan.
+    """
+    cents = fixed(c.fare).cast("decimal(18,0)")
+    moments = {"known": F.col(c.fare).isNotNull().cast("bigint"), "sum_u": cents, "square_u": cents * cents}
+    medians = grouped_percentiles(trips, [c.rate_code], c.fare, {"median_fare": 0.5}, Carried(moments))
+    # Exact in whole cents, so that nothing is lost where the two terms are nearly equal.
+    total = F.col("sum_u").cast("decimal(38,0)")
+    spread = F.col("known") * F.col("square_u") - total * total
+    pairs = F.col("known").cast("double") * (F.col("known") - 1)
+    deviation = F.when(F.col("known") > 1, F.sqrt(spread.cast("double") / F.nullif(pairs, F.lit(0.0))))
+    return medians.select(
+        c.rate_code,
+        F.col(GROUP_ROWS).alias("trips"),
+        "median_fare",
+        round2(deviation / 100).alias("fare_stddev"),
+    ).orderBy(F.desc("trips"), c.rate_code)
 
 
 def top5pct_threshold(trips: DataFrame, c: TripColumns = TRIPS, level: float = 0.95) -> DataFrame:

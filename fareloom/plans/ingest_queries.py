@@ -289,7 +289,8 @@ def profiled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def suggested(spark: SparkSession, sf: str) -> DataFrame:
-    return layout.suggest_partitioning(lineitem_trips(spark, sf), PICKUP)
+    found = layout.suggest_partitioning(lineitem_trips(spark, sf), PICKUP)
+    return found.select("layout", "partitions", "suggested", (F.col("size_gb") > 0).alias("has_size"))
 
 
 def _two_copies(operator):
@@ -386,8 +387,8 @@ def published(spark: SparkSession, sf: str) -> DataFrame:
     everything = files.scan_folder(spark, root, target)
     early = everything.where(F.col(PICKUP) < ntz("1999-01-01"))
     late = everything.where(F.col(PICKUP) >= ntz("1998-01-01"))
-    ingest.stage_run(early, f"{base}/staging", "r1", "worker_a", PICKUP)
-    ingest.stage_run(late, f"{base}/staging", "r2", "worker_b", PICKUP)
+    ingest.stage_run(early, f"{base}/staging", "r1", "worker_a")
+    ingest.stage_run(late, f"{base}/staging", "r2", "worker_b")
     ingest.publish_runs(spark, f"{base}/staging", f"{base}/table", PICKUP, required=[PICKUP])
     return _yearly(spark.read.parquet(f"{base}/table"))
 
@@ -525,7 +526,15 @@ def ingest_queries() -> dict[str, Query]:
         "e_partition_profile": Query(profiled, with_trips(f"""
             SELECT {YEAR_SQL} AS year, {MONTH_SQL} AS month, COUNT(*) AS rows, TRUE AS has_files,
                    TRUE AS has_bytes, 'monthly' AS strategy FROM trips GROUP BY 1, 2""")),
-        "e_suggest_partitioning": Query(suggested),
+        "e_suggest_partitioning": Query(suggested, with_trips(f"""
+            , n AS (SELECT COUNT(DISTINCT year(tpep_pickup_datetime)) AS y,
+                           COUNT(DISTINCT date_trunc('month', tpep_pickup_datetime)) AS m,
+                           COUNT(DISTINCT {DAY}) AS d FROM trips)
+            , l AS (SELECT 'year' AS layout, y AS partitions, 0 AS depth FROM n
+                    UNION ALL SELECT 'year,month', m, 1 FROM n UNION ALL SELECT 'year,month,day', d, 2 FROM n)
+            SELECT layout, partitions,
+                   depth = (SELECT max(depth) FROM l WHERE partitions <= 10000) AS suggested,
+                   TRUE AS has_size FROM l""")),
         "v_table_fingerprint": on_lineitem(v.table_fingerprint, FINGERPRINT),
         "v_data_stats": on_lineitem(v.data_stats, f"""
             SELECT COUNT(*) AS total_rows, COUNT(DISTINCT VendorID) AS vendors,

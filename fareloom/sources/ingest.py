@@ -181,9 +181,7 @@ def _partition_dir(key: int) -> str:
     return f"{YEAR}={key // 100}/{MONTH}={key % 100}"
 
 
-def stage_run(
-    df: DataFrame, staging: str, run_id: str, writer_id: str, pickup: str
-) -> None:
+def stage_run(df: DataFrame, staging: str, run_id: str, writer_id: str) -> None:
     """r_stage_and_publish, first half: one writer's isolated staging set.
 
     Writers share nothing, so any number of them can stage at once.

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fareloom.functions.times import month_number, year_of
+from fareloom.operators.ordering import with_scalars
 
 
 def partition_profile(df: DataFrame, pickup: str, yearly_up_to: int = 3) -> DataFrame:
@@ -41,21 +42,27 @@ def partition_profile(df: DataFrame, pickup: str, yearly_up_to: int = 3) -> Data
 
 
 def suggest_partitioning(
-    df: DataFrame, pickup: str, max_partitions: int = 10_000, relative_error: float = 0.05
+    df: DataFrame, pickup: str, max_partitions: int = 10_000, worth_from_gb: float = 1.0
 ) -> DataFrame:
-    """e_suggest_partitioning: cardinality of the date-part layouts of a timestamp column.
+    """e_suggest_partitioning: exact cardinality of the date-part layouts of a timestamp column.
 
     The finest layout with at most ``max_partitions`` folders is the suggested
-    one. Cardinalities are sketches: one pass, a few kilobytes per task.
+    one; ``should_partition`` says whether the table is worth it: from
+    ``worth_from_gb`` on, with more than one folder. ``reason`` says why or why
+    not. ``df`` must come straight from files, whose sizes are added up. Rows
+    without a time belong to no folder. Times are reduced to distinct days
+    first, so only days are shuffled; the files' sizes need no column at all.
     """
-    year, month = F.year(pickup), F.year(pickup) * 100 + F.month(pickup)
-    day = F.to_date(pickup)
-    counted = df.agg(
-        *[
-            F.approx_count_distinct(column, relative_error).alias(name)
-            for name, column in (("year", year), ("month", month), ("day", day))
-        ]
+    days = df.groupBy(F.to_date(pickup).alias("day")).agg(F.count(F.lit(1)).alias("rows"))
+    counted = days.agg(
+        F.count_distinct(F.year("day")).alias("year"),
+        F.count_distinct(F.trunc("day", "month")).alias("month"),
+        F.count("day").alias("day"),
     )
+    files = df.groupBy(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")
+    ).agg(F.count(F.lit(1)).alias("rows"))
+    size = files.agg((F.coalesce(F.sum("size"), F.lit(0)) / F.lit(float(1 << 30))).alias("size_gb"))
     # One row from here on: the three cardinalities, turned into three rows.
     names = {"year": "year", "year,month": "month", "year,month,day": "day"}
     layouts = F.array(
@@ -64,8 +71,24 @@ def suggest_partitioning(
             for i, (n, c) in enumerate(names.items())
         ]
     )
-    fits = F.filter(layouts, lambda x: x["partitions"] <= max_partitions)
-    deepest = F.array_max(F.transform(fits, lambda x: x["depth"]))
-    return counted.select(deepest.alias("best"), F.inline(layouts)).select(
-        "layout", "partitions", F.col("depth").eqNullSafe(F.col("best")).alias("suggested")
+    fits = F.filter(layouts, lambda x: (x["partitions"] <= max_partitions) & (x["partitions"] > 0))
+    best = F.array_max(F.transform(fits, lambda x: F.struct(x["depth"], x["partitions"])))
+    sized = with_scalars(
+        counted.select(best.alias("best"), F.col("day").alias("day_count"), F.inline(layouts)), size
+    )
+    large, several = F.col("size_gb") >= worth_from_gb, F.col("best.partitions") > 1
+    reason = (
+        F.when(F.col("day_count") == 0, "no row has a time")
+        .when(F.col("best").isNull(), f"every layout has more than {max_partitions} folders")
+        .when(~several, "all rows fall into one folder")
+        .when(~large, f"smaller than {worth_from_gb:g} GB")
+        .otherwise(f"{worth_from_gb:g} GB or more, with a time column")
+    )
+    return sized.select(
+        "layout",
+        "partitions",
+        F.col("depth").eqNullSafe(F.col("best.depth")).alias("suggested"),
+        "size_gb",
+        F.coalesce(large & several, F.lit(False)).alias("should_partition"),
+        reason.alias("reason"),
     )

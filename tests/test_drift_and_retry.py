@@ -79,8 +79,8 @@ def test_publish_keeps_columns_of_some_runs(spark, tmp_path):
     at = dt.datetime(2024, 1, 5)
     one = spark.createDataFrame([("a", at)], "source_file string, at timestamp_ntz")
     two = spark.createDataFrame([("b", at, 7.0)], "source_file string, at timestamp_ntz, fee double")
-    ingest.stage_run(one, staging, "r1", "w1", "at")
-    ingest.stage_run(two, staging, "r2", "w2", "at")
+    ingest.stage_run(one, staging, "r1", "w1")
+    ingest.stage_run(two, staging, "r2", "w2")
     ingest.publish_runs(spark, staging, table, "at")
     back = spark.read.option("mergeSchema", "true").parquet(table)
     assert {(r.source_file, r.fee) for r in back.collect()} == {("a", None), ("b", 7.0)}

@@ -221,8 +221,8 @@ def test_stage_and_publish(spark, landing, tmp_path):
     everything = files.scan_folder(spark, str(landing), SMALL)
     old = everything.where(F.year(PICKUP) < 2025)
     new = everything.where(F.year(PICKUP) > 2023).withColumn("total_amount", F.lit(1.0))
-    ingest.stage_run(old, staging, "r1", "a", PICKUP)
-    ingest.stage_run(new, staging, "r2", "b", PICKUP)
+    ingest.stage_run(old, staging, "r1", "a")
+    ingest.stage_run(new, staging, "r2", "b")
     for _ in range(2):  # publishing again changes nothing
         ingest.publish_runs(spark, staging, table, PICKUP, required=[PICKUP])
         got = spark.read.parquet(table)
@@ -234,7 +234,7 @@ def test_stage_and_publish(spark, landing, tmp_path):
 def test_publish_stops_on_broken_staging(spark, tmp_path):
     staging, table = str(tmp_path / "staging"), str(tmp_path / "table")
     df = frame(spark, trip(), dict(tpep_pickup_datetime=None)).withColumn("source_file", F.lit("f"))
-    ingest.stage_run(df, staging, "r1", "a", PICKUP)
+    ingest.stage_run(df, staging, "r1", "a")
     with pytest.raises(ValueError, match="r1"):
         ingest.publish_runs(spark, staging, table, PICKUP, required=[PICKUP])
     assert not Path(table).exists()

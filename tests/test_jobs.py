@@ -11,6 +11,7 @@ from fareloom.columns import TRIP_SCHEMA
 from fareloom.operators import quality as v
 from fareloom.operators.dedup import drop_exact_duplicates, drop_keyed_duplicates
 from fareloom.operators.versions import current_rows, open_version, rows_as_of, with_validity
+from fareloom.sources import layout
 from fareloom.streaming import streams
 from trips import D, frame, synthetic, trip
 
@@ -43,6 +44,10 @@ def test_validate_two_rows(spark):
     )
     with pytest.raises(ValueError):
         v.validate(df.drop(PICKUP))
+    (none,) = v.validate(df.where("false")).collect()
+    assert (none["year"], none["year_rows"], none["total_rows"], none["column_count"], none["status"]) == (
+        None, 0, 0, 20, "empty",
+    )
 
 
 def test_null_counts_and_rules(spark):
@@ -150,3 +155,33 @@ def test_stream_emits_finished_days_only(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
     assert got == [(dt.date(2024, 1, 1), 1, 10.0, 10.0), (dt.date(2024, 1, 2), 1, 20.0, 20.0)]
+
+
+def test_stats_of_an_empty_table_and_of_missing_amounts(spark):
+    df = frame(spark, trip(), dict(total_amount=None, VendorID=None), trip())
+    (row,) = v.data_stats(df).collect()
+    known = df.where("total_amount is not null").collect()
+    assert (row["total_rows"], row["vendors"]) == (3, len({r["VendorID"] for r in df.collect()} - {None}))
+    assert row["total_revenue"] == round(sum(r["total_amount"] for r in known), 2)
+    (none,) = v.data_stats(df.where("false")).collect()
+    assert none["total_rows"] == none["vendors"] == 0 and none["avg_fare"] is None and none["min_date"] is None
+
+
+def test_layout_suggestion_says_why(spark, tmp_path):
+    def suggest(df, **settings):
+        path = str(tmp_path / f"t{len(list(tmp_path.iterdir()))}")
+        df.write.parquet(path)
+        found = layout.suggest_partitioning(spark.read.parquet(path), PICKUP, **settings).collect()
+        assert len(found) == 3 and len({(r["size_gb"], r["should_partition"], r["reason"]) for r in found}) == 1
+        best = [r["layout"] for r in found if r["suggested"]]
+        return best, found[0]["should_partition"], found[0]["reason"], [r["partitions"] for r in found]
+
+    days = [dict(tpep_pickup_datetime=D(2023, m, d, 1)) for m in (1, 2) for d in (1, 2, 3)]
+    df = frame(spark, *days, dict(tpep_pickup_datetime=None))
+    assert suggest(df) == (["year,month,day"], False, "smaller than 1 GB", [1, 2, 6])
+    assert suggest(df, worth_from_gb=0) == (["year,month,day"], True, "0 GB or more, with a time column", [1, 2, 6])
+    assert suggest(df, worth_from_gb=0, max_partitions=5)[:2] == (["year,month"], True)
+    assert suggest(df, max_partitions=0)[:3] == ([], False, "every layout has more than 0 folders")
+    assert suggest(df.limit(1), worth_from_gb=0)[1:3] == (False, "all rows fall into one folder")
+    assert suggest(df.where("tpep_pickup_datetime is null"))[:3] == ([], False, "no row has a time")
+    assert suggest(df.where("false"))[:3] == ([], False, "no row has a time")

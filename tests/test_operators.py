@@ -178,3 +178,18 @@ def test_peek_and_stats(trips):
     stats = a.table_stats(trips).collect()
     assert len(stats) == 20 and {r["total_rows"] for r in stats} == {3000}
     assert stats[0]["column_name"] == "VendorID" and stats[0]["data_type"] == "bigint"
+
+
+def test_deviation_is_exact_in_cents(spark):
+    fares = [1000000.01, 1000000.01, 1000000.03, None]
+    df = frame(spark, *[dict(RatecodeID=1.0, fare_amount=f) for f in fares], dict(RatecodeID=2.0, fare_amount=5.0))
+    got = {r["RatecodeID"]: r for r in b.ratecode_median_stddev(df).collect()}
+    assert (got[1.0]["trips"], got[1.0]["median_fare"], got[1.0]["fare_stddev"]) == (4, 1000000.01, 0.01)
+    assert got[2.0]["fare_stddev"] is None and got[2.0]["trips"] == 1
+
+
+def test_deviation_reads_the_source_once(spark, sf_dir):
+    from fareloom.plans.bindings import lineitem_trips
+
+    plan = b.ratecode_median_stddev(lineitem_trips(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem.parquet" not in plan  # only the staged counts are left to read
