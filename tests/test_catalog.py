@@ -19,11 +19,6 @@ def test_matches_oracle(spark, sf_dir, duck, name):
     assert oracle.compare(query.run(spark, sf_dir), duck, query.sql) == []
 
 
-@pytest.mark.parametrize("name", WITHOUT_SQL)
-def test_rows_only(spark, sf_dir, name):
-    assert CATALOG[name].run(spark, sf_dir).count() > 0
-
-
 def test_inventory_is_complete():
     counts = {}
     for name in CATALOG:
