@@ -34,6 +34,8 @@ from fareloom.operators.ordering import BEFORE, GROUP_ROWS, ROWS, slice_values
 
 # Rank error of the sketch is at most 1/ACCURACY; cuts lie twice as far out.
 ACCURACY = 5000
+# Decimal digits that a double always keeps apart.
+EXACT_DIGITS = 15
 
 _CELL, _SORT = "cell", "sort_{}"
 
@@ -46,11 +48,31 @@ class Selected:
     sort_values: tuple[float, ...]
 
 
-def _sort_columns(order: Mapping[str, str]) -> dict[str, Column]:
+def _exact_double(df: DataFrame, name: str) -> Column:
+    """An ordering column as a double that orders as the column does.
+
+    A double keeps whole numbers up to 2**53 and decimals of 15 digits apart;
+    a value beyond that raises by name, and so does a column of text.
+    """
+    kind, value = df.schema[name].dataType, F.col(name)
+    if isinstance(kind, T.StringType):
+        raise TypeError(f"order by {name}: text can't be selected on")
+    if isinstance(kind, T.LongType):
+        held = value.between(-(2**53), 2**53)
+    elif isinstance(kind, T.DecimalType) and kind.precision > EXACT_DIGITS:
+        limit = f"1e{EXACT_DIGITS - kind.scale}"
+        held = F.abs(value.cast("double")) < F.lit(float(limit))
+    else:
+        return value.cast("double")
+    problem = F.concat(F.lit(f"order by {name}: a double can't hold "), value.cast("string"))
+    return F.when(value.isNull() | held, value.cast("double")).otherwise(F.raise_error(problem).cast("double"))
+
+
+def _sort_columns(df: DataFrame, order: Mapping[str, str]) -> dict[str, Column]:
     """Ordering columns in a form that ascends, NULLs last."""
     columns = {}
     for i, (name, direction) in enumerate(order.items()):
-        value = F.col(name).cast("double")
+        value = _exact_double(df, name)
         value = -value if direction == "desc" else value
         columns[_SORT.format(i)] = F.coalesce(value, F.lit(math.inf))
     return columns
@@ -96,10 +118,7 @@ def narrow(
     df: DataFrame, order: Mapping[str, str], shares: Sequence[float], sums: Mapping[str, Column] = {}
 ) -> Narrowed:
     """Steps 1 and 2: cuts around ``shares`` (0 … 1), exact counts and sums per cell."""
-    for name in order:
-        if isinstance(df.schema[name].dataType, (T.LongType, T.DecimalType, T.StringType)):
-            raise TypeError(f"order by {name}: only types a double holds exactly can be selected on")
-    sort = _sort_columns(order)
+    sort = _sort_columns(df, order)
     names = tuple(sort)
     rows = df.select(*[c.alias(n) for n, c in {**sort, **sums}.items()])
     spread = 2.0 / ACCURACY

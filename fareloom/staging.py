@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,4 +65,20 @@ def remove_path(spark: SparkSession, path: str) -> bool:
 
 def drop_scratch(spark: SparkSession) -> bool:
     """Remove everything this application staged; call it when its results are consumed."""
-    return remove_path(spark, scratch_root(spark))
+    removed = remove_path(spark, scratch_root(spark))
+    local = _local_roots.pop(spark.conf.get("spark.app.id", "app"), None)
+    if local:
+        remove_path(spark, local)
+    return removed
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes what the application staged when the block ends, also if it fails.
+
+    Results that are not written or collected inside the block are lost with it.
+    """
+    try:
+        yield
+    finally:
+        drop_scratch(spark)

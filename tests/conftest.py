@@ -6,6 +6,7 @@ import pytest
 
 import oracle
 from fareloom.session import local_session
+from fareloom.staging import scratch
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
 
@@ -14,10 +15,8 @@ SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
 def spark(tmp_path_factory):
     session = local_session(cpus=8, memory="6g", app="tests")
     session.sparkContext.setLogLevel("ERROR")
-    yield session
-    from fareloom.staging import drop_scratch
-
-    drop_scratch(session)
+    with scratch(session):
+        yield session
     session.stop()
 
 

@@ -153,3 +153,27 @@ def test_percentile_level_is_checked(spark):
 def test_any_small_input(spark, values, tiles):
     df = spark.createDataFrame([(v, 0.0) for v in values], "x double, y double")
     assert tiles_of(df, {"x": "asc"}, tiles) == naive_tiles(df, tiles, "x")
+
+
+@pytest.mark.parametrize("kind", ["bigint", "decimal(12,2)", "decimal(24,2)"])
+def test_exact_order_columns(spark, kind):
+    df = skewed(spark).select(F.floor("x").cast(kind).alias("x"))
+    assert percentile_of(df, "x", 0.9) == pytest.approx(
+        df.agg(F.percentile(F.col("x").cast("double"), 0.9).alias("p")).first()["p"], rel=1e-12
+    )
+    doubles = df.select(F.col("x").cast("double"))
+    assert top_share_bound(df.where("x is not null"), "x", 0.05) == top_share_bound(
+        doubles.where("x is not null"), "x", 0.05
+    )
+
+
+@pytest.mark.parametrize("value, kind", [(2**53 + 1, "bigint"), ("12345678901234567.25", "decimal(24,2)")])
+def test_order_value_that_no_double_holds_raises(spark, value, kind):
+    df = spark.createDataFrame([(str(value),), ("1",)], "x string").select(F.col("x").cast(kind))
+    with pytest.raises(Exception, match="order by x"):
+        percentile_of(df, "x", 0.5)
+
+
+def test_order_by_text_raises(spark):
+    with pytest.raises(TypeError):
+        percentile_of(spark.createDataFrame([("a",)], "x string"), "x", 0.5)
