@@ -73,7 +73,6 @@ class Detector:
         self.title = regex.compile(rf"(?<!\w)(?:{titles})(?!\w)")
         self.pair = regex.compile(rf"(?<!\w)({'|'.join(_GIVEN_GENDER)})[ \t]+({_NAME})")
         self.given = regex.compile(rf"(?<!\w)(?:{'|'.join(_GIVEN_GENDER)})[ \t]")
-        self.capital = frozenset(_GIVEN_GENDER)
 
     def find(self, text: str) -> list[tuple[int, int, str, str]]:
         found: list[tuple[int, int, str, str]] = []
@@ -92,7 +91,7 @@ class Detector:
                     found.append((m.start(2), m.end(2), f"given_{_GIVEN_GENDER[m[2]]}", m[2].casefold()))
                 else:
                     found.append((m.start(2), m.end(2), "surname", m[2].casefold()))
-        if not self.capital.isdisjoint(text.split()):
+        if self.given.search(text):
             for m in self.pair.finditer(text):
                 found.append((m.start(1), m.end(1), f"given_{_GIVEN_GENDER[m[1]]}", m[1].casefold()))
                 found.append((m.start(2), m.end(2), "surname", m[2].casefold()))

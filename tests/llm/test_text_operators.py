@@ -163,3 +163,8 @@ def test_surrogates_of_hard_rows(hard_documents, no_documents):
     rows = surrogates.with_surrogates(hard_documents, KEY).collect()
     assert len(rows) == 9 and all(r.text is not None for r in rows)
     assert surrogates.with_surrogates(no_documents, KEY).count() == 0
+
+
+@pytest.mark.parametrize("text", ["(Alice Baker) wrote", '"Maria Novak" and', "name:Alice Baker"])
+def test_names_behind_punctuation_are_found(text):
+    assert [e[2] for e in surrogates.Detector().find(text)] == ["given_f", "surname"]
