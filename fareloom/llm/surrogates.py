@@ -55,6 +55,9 @@ SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 IBAN = r"(?<![A-Z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 SECRET = r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|(?:sk|ghp|xox[bp])[-_][A-Za-z0-9_-]{16,})(?![A-Za-z0-9])"
 
+#: What a secret begins with that need not hold a group of digits.
+SECRET_PREFIXES = ("AKIA", *(f"{p}{mark}" for p in ("sk", "ghp", "xoxb", "xoxp") for mark in "-_"))
+
 #: Draws of a name from the lists before made-up syllables are appended.
 LISTED_DRAWS = 6
 
@@ -67,7 +70,9 @@ class Detector:
             ("iban", IBAN), ("secret", SECRET), ("ip", IPV4), ("phone", PHONE), ("ssn", SSN), ("card", CARD)
         )]
         self.email = regex.compile(EMAIL)
-        self.digit = regex.compile(r"\d(?:[^\n]{0,2}\d){2}|[0-9A-Fa-f]{32}")
+        # Every rule under a guard must imply it: card, phone, address and account numbers hold three digits nearly
+        # side by side (or an account number's head), secrets 32 hexadecimal digits or one of the prefixes.
+        self.digit = regex.compile(r"\d(?:(?:[^\n]{0,2}\d){2}|\d ?[A-Z0-9]{4})|[0-9A-Fa-f]{32}")
         titles = "|".join(sorted(map(regex.escape, _TITLE_GENDER), key=len, reverse=True))
         self.titled = regex.compile(rf"(?<!\w)({titles})\.?[ \t]+({_NAME})(?:[ \t]+({_NAME}))?")
         self.title = regex.compile(rf"(?<!\w)(?:{titles})(?!\w)")
@@ -78,7 +83,7 @@ class Detector:
         found: list[tuple[int, int, str, str]] = []
         if "@" in text:
             found += [(m.start(), m.end(), "email", m[0].lower()) for m in self.email.finditer(text)]
-        if self.digit.search(text):
+        if any(p in text for p in SECRET_PREFIXES) or self.digit.search(text):
             for kind, rule in self.numeric:
                 found += [(m.start(), m.end(), kind, normal(kind, m[0])) for m in rule.finditer(text)]
         if any(t in text for t in _TITLE_GENDER) and self.title.search(text):
