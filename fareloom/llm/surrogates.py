@@ -60,6 +60,10 @@ SECRET_PREFIXES = ("AKIA", *(f"{p}{mark}" for p in ("sk", "ghp", "xoxb", "xoxp")
 
 #: Draws of a name from the lists before made-up syllables are appended.
 LISTED_DRAWS = 6
+#: Draws of an address, phone number or mailbox in its own shape before the space is widened, and before each further step.
+SHAPED_DRAWS = 4
+#: Draws after which a space counts as exhausted.
+MAX_DRAWS = 60
 
 
 class Detector:
@@ -189,6 +193,22 @@ def _octet(draw: Draws, old: str) -> str:
     return str(10 + draw.below(90)) if len(old) == 2 else str(draw.below(10))
 
 
+#: First octets of widened public addresses: none of a private range.
+_PUBLIC = [str(n) for n in range(1, 224) if n not in (10, 127, 169, 172, 192)]
+
+
+def _address(draw: Draws, value: str, attempt: int) -> str:
+    """Digit counts are kept at first, then the range only; of 192.168, in the end, that it is private."""
+    octets = value.split(".")
+    kept = 2 if value.startswith("192.168.") else 1 if octets[0] in ("10", "127") else 0
+    if attempt < SHAPED_DRAWS:
+        return ".".join(octets[:kept] + [_octet(draw, x) for x in octets[kept:]])
+    head = octets[:kept] or [draw.among(_PUBLIC)]
+    if kept == 2 and attempt >= 2 * SHAPED_DRAWS:
+        head = ["10"]
+    return ".".join(head + [str(draw.below(256)) for _ in range(4 - len(head))])
+
+
 def _like(draw: Draws, value: str) -> str:
     """Digits for digits, letters for letters of the same case; hexadecimal stays hexadecimal."""
     hexadecimal = all(c in "0123456789abcdefABCDEF" for c in value)
@@ -215,11 +235,10 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         # Mailboxes of one domain stay together: the domain is drawn from itself alone.
         other = Draws(key, "domain", domain, 0)
         labels[:-1] = [_like(other, x) for x in labels[:-1]]
-        return _like(draw, local) + "@" + ".".join(labels)
+        more = "".join(draw.among("abcdefghijklmnopqrstuvwxyz") for _ in range(attempt // SHAPED_DRAWS))
+        return _like(draw, local) + more + "@" + ".".join(labels)
     if kind == "ip":
-        octets = value.split(".")
-        kept = 2 if value.startswith("192.168.") else 1 if octets[0] in ("10", "127") else 0
-        return ".".join(octets[:kept] + [_octet(draw, x) for x in octets[kept:]])
+        return _address(draw, value, attempt)
     if kind == "card":
         digits = value[0] + "".join(draw.among("0123456789") for _ in value[1:])
         if luhn(value):
@@ -228,7 +247,8 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     if kind == "phone":
         # The leading digits say the country and keep the number's length plausible.
         kept = 1 if len(value) > 10 else 0
-        return value[:kept] + "".join(draw.among("23456789" if i == 0 else "0123456789") for i in range(len(value) - kept))
+        drawn = len(value) - kept + attempt // SHAPED_DRAWS
+        return value[:kept] + "".join(draw.among("23456789" if i == 0 else "0123456789") for i in range(drawn))
     if kind == "iban":
         return value[:2] + _like(draw, value[2:])
     if kind == "secret" and value.startswith(("AKIA", "sk", "ghp", "xox")):
@@ -243,7 +263,7 @@ def shaped(kind: str, written: str, new: str) -> str:
     """A surrogate's normal form written as the entity was: separators, groups and case."""
     if kind in ("phone", "card", "ssn", "iban"):
         left = iter(new)
-        return "".join(next(left) if c.isalnum() else c for c in written)
+        return "".join([next(left) if c.isalnum() else c for c in written] + list(left))  # a widened one is longer
     if kind.startswith("given") or kind == "surname":
         if written.isupper() and len(written) > 1:
             return new.upper()
@@ -286,6 +306,10 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
     itself an entity, draw again. Of those that want the same surrogate the one
     of the fewest attempts keeps it, then the smallest value, so that a
     surrogate once alone is kept. Kinds of given names share one space.
+
+    The spaces of addresses, phone numbers, mailboxes and names grow with the
+    attempt. One that is exhausted all the same (half of all numbers of its
+    kind are entities) raises.
     """
     draw = _drawn(key)
     space = F.when(F.col("type").startswith("given"), F.lit("given")).otherwise(F.col("type"))
@@ -306,8 +330,11 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
         )
         clash = losers.select(*columns).union(spaced.join(real, ["space", "surrogate"], "left_semi").select(*columns))
         clash = stage(clash.distinct(), "surrogate-clashes")
-        if clash.isEmpty():
+        left = clash.groupBy("type").agg(F.max("attempt").alias("attempt"), F.count("*").alias("n")).collect()
+        if not left:
             return drawn
+        if spent := {r["type"]: r["n"] for r in left if r["attempt"] + 1 >= MAX_DRAWS}:
+            raise ValueError(f"no distinct surrogates left after {MAX_DRAWS} draws for so many entities: {spent}")
         again = clash.withColumn("attempt", F.col("attempt") + 1).withColumn("surrogate", draw(*map(F.col, columns)))
         rest = drawn.join(clash.select("type", "value"), ["type", "value"], "left_anti")
         drawn = stage(rest.select(*drawn.columns).union(again.select(*drawn.columns)), "surrogates")
@@ -348,7 +375,10 @@ def with_surrogates(docs: DataFrame, key: bytes, text: str = "text", doc_id: str
     digit counts, case, check digits where they held, private address ranges,
     script and gender of names. The same entity has the same surrogate in all
     documents, different ones have different surrogates, and no surrogate is an
-    entity of the table. Mailboxes of one domain keep sharing one.
+    entity of the table. Mailboxes of one domain keep sharing one. Where the
+    table holds so many alike that the shape has no room, addresses give up
+    their digit counts (192.168 then its range for 10) and phone numbers and
+    mailboxes grow longer; a table that exhausts even that raises.
 
     Null and empty texts come back as empty text. Rows that repeat are replaced
     alike. A null id is kept. An empty table gives no rows.

@@ -185,3 +185,25 @@ def test_names_behind_punctuation_are_found(text):
 def test_secrets_without_digit_groups_are_found(text, kind):
     for around in ("{}", "key {}, no more", "key {}, call 555-123-4567"):
         assert surrogates.Detector().find(around.format(text))[0][2] == kind
+
+
+def test_full_spaces_are_widened(spark, monkeypatch):
+    rows = [("ip", f"192.168.{i // 10}.{i % 10}") for i in range(60)] + [("email", f"{c}@{d}.com") for c in "abcdefghijklmnopqrstuvwxyz" for d in "xyz"]
+    frame = spark.createDataFrame(rows, "type string, value string")
+    got = surrogates.assign(frame, KEY).collect()
+    assert len({(r.type, r.surrogate) for r in got}) == len(got) == len(rows)
+    assert not {(r.type, r.surrogate) for r in got} & set(rows)
+    assert all(r.surrogate.startswith(("192.168.", "10.")) and surrogates.regex.fullmatch(surrogates.IPV4, r.surrogate) for r in got if r.type == "ip")
+    monkeypatch.setattr(surrogates, "MAX_DRAWS", 3)
+    with pytest.raises(ValueError, match="'ip'"):
+        surrogates.assign(frame, KEY)
+
+
+def test_widened_surrogates_keep_their_kind():
+    find = surrogates.Detector().find
+    for attempt in range(0, 40):
+        for kind, value in (("ip", "192.168.1.2"), ("ip", "10.1.2.3"), ("ip", "2.0.1.3"), ("email", "a@b.com")):
+            new = surrogates.surrogate(KEY, kind, value, attempt)
+            assert find(new) == [(0, len(new), kind, new)]
+    longer = surrogates.surrogate(KEY, "phone", "12345", 8)
+    assert len(longer) == 7 and surrogates.shaped("phone", "+1 23 45", longer) == f"+{longer[0]} {longer[1:3]} {longer[3:]}"
