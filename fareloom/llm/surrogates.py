@@ -9,6 +9,7 @@ collide are drawn again in a table of their own.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,6 +45,7 @@ SURNAMES = {
 }
 
 _GIVEN_GENDER = {name: gender for (_, gender), names in GIVEN.items() for name in names.split()}
+_LISTED = {name.casefold(): gender for name, gender in _GIVEN_GENDER.items()}
 _TITLE_GENDER = {title: gender for gender, titles in TITLES.items() for title in titles.split()}
 
 _NAME = r"\p{Lu}[\p{L}\p{M}'’-]+"
@@ -66,8 +68,16 @@ SHAPED_DRAWS = 4
 MAX_DRAWS = 60
 
 
+_POSSESSIVE = regex.compile(r"(?:['’][sS])?['’-]*$")
+
+
 class Detector:
-    """Finds entities in a text: (start, end, type, normal form), left to right, none overlapping."""
+    """Finds entities in a text: (start, end, type, normal form), left to right, none overlapping.
+
+    Names are found by a title or as a listed given name before a surname; the
+    other mentions of such a name in the same text, given name or surname alone
+    and in any case that begins with a capital, are found by these.
+    """
 
     def __init__(self) -> None:
         self.numeric = [(kind, regex.compile(rule)) for kind, rule in (
@@ -78,32 +88,31 @@ class Detector:
         # side by side (or an account number's head), secrets 32 hexadecimal digits or one of the prefixes.
         self.digit = regex.compile(r"\d(?:(?:[^\n]{0,2}\d){2}|\d ?[A-Z0-9]{4})|[0-9A-Fa-f]{32}")
         titles = "|".join(sorted(map(regex.escape, _TITLE_GENDER), key=len, reverse=True))
-        self.titled = regex.compile(rf"(?<!\w)({titles})\.?[ \t]+({_NAME})(?:[ \t]+({_NAME}))?")
+        neutral = "|".join(sorted(TITLES["n"].split(), key=len, reverse=True))
+        # A title may be followed by academic ones, which are no names.
+        self.titled = regex.compile(
+            rf"(?<!\w)({titles})(?:\.?[ \t]+(?:{neutral})(?!\w))*+\.?[ \t]+({_NAME})(?:[ \t]+({_NAME}))?"
+        )
         self.title = regex.compile(rf"(?<!\w)(?:{titles})(?!\w)")
         self.pair = regex.compile(rf"(?<!\w)({'|'.join(_GIVEN_GENDER)})[ \t]+({_NAME})")
         self.given = regex.compile(rf"(?<!\w)(?:{'|'.join(_GIVEN_GENDER)})[ \t]")
+        self.capital = regex.compile(r"(?<!\w)\p{Lu}[\p{L}\p{M}'’-]++(?!\w)")
+        self.piece = regex.compile(r"[\p{L}\p{M}]+")
 
     def find(self, text: str) -> list[tuple[int, int, str, str]]:
-        found: list[tuple[int, int, str, str]] = []
+        return [entity[:4] for entity in self.read(text)]
+
+    def read(self, text: str) -> list[tuple[int, int, str, str, str | None]]:
+        """As ``find``, with the surname of the person where a title alone could tell the gender of a given name."""
+        found: list[tuple[int, int, str, str, str | None]] = []
         if "@" in text:
-            found += [(m.start(), m.end(), "email", m[0].lower()) for m in self.email.finditer(text)]
+            found += [(m.start(), m.end(), "email", m[0].lower(), None) for m in self.email.finditer(text)]
         if any(p in text for p in SECRET_PREFIXES) or self.digit.search(text):
             for kind, rule in self.numeric:
-                found += [(m.start(), m.end(), kind, normal(kind, m[0])) for m in rule.finditer(text)]
-        if any(t in text for t in _TITLE_GENDER) and self.title.search(text):
-            for m in self.titled.finditer(text):
-                gender = _TITLE_GENDER[m[1]]
-                if m[3]:
-                    found.append((m.start(2), m.end(2), f"given_{_GIVEN_GENDER.get(m[2], gender)}", m[2].casefold()))
-                    found.append((m.start(3), m.end(3), "surname", m[3].casefold()))
-                elif m[2] in _GIVEN_GENDER:
-                    found.append((m.start(2), m.end(2), f"given_{_GIVEN_GENDER[m[2]]}", m[2].casefold()))
-                else:
-                    found.append((m.start(2), m.end(2), "surname", m[2].casefold()))
-        if self.given.search(text):
-            for m in self.pair.finditer(text):
-                found.append((m.start(1), m.end(1), f"given_{_GIVEN_GENDER[m[1]]}", m[1].casefold()))
-                found.append((m.start(2), m.end(2), "surname", m[2].casefold()))
+                found += [(m.start(), m.end(), kind, normal(kind, m[0]), None) for m in rule.finditer(text)]
+        names = self.names(text)
+        if names:
+            found += names + self.bare(text, names)
         if len(found) < 2:
             return found
         # The earlier entity wins, then the longer one, then the kind that is listed first.
@@ -115,6 +124,71 @@ class Detector:
                 end = entity[1]
         return kept
 
+    def names(self, text: str) -> list[tuple[int, int, str, str, str | None]]:
+        """The names of titles and lists, the gender of each person settled within the text."""
+        found: list[tuple[int, int, str, str, str | None]] = []
+
+        def add(m: regex.Match, group: int, kind: str, surname: str | None = None) -> None:
+            start, end = m.start(group), m.end(group) - len(_POSSESSIVE.search(m[group])[0])
+            if end > start:
+                found.append((start, end, kind, text[start:end].casefold(), surname))
+
+        if any(t in text for t in _TITLE_GENDER) and self.title.search(text):
+            for m in self.titled.finditer(text):
+                given = _bare_name(m[2])
+                if m[3]:
+                    kind = f"given_{_LISTED.get(given, _TITLE_GENDER[m[1]])}"
+                    add(m, 2, kind, None if given in _LISTED else _bare_name(m[3]))
+                    add(m, 3, "surname")
+                elif given in _LISTED:
+                    add(m, 2, f"given_{_LISTED[given]}")
+                else:
+                    add(m, 2, "surname")
+        if self.given.search(text):
+            for m in self.pair.finditer(text):
+                add(m, 1, f"given_{_GIVEN_GENDER[m[1]]}")
+                add(m, 2, "surname")
+        told: dict[tuple[str, str], set[str]] = {}
+        for _, _, kind, value, surname in found:
+            if surname and kind in ("given_f", "given_m"):
+                told.setdefault((value, surname), set()).add(kind)
+        if told:
+            for at, (start, end, kind, value, surname) in enumerate(found):
+                if kind == "given_n" and len(kinds := told.get((value, surname), ())) == 1:
+                    found[at] = (start, end, *kinds, value, surname)
+        return found
+
+    def bare(
+        self, text: str, names: list[tuple[int, int, str, str, str | None]]
+    ) -> list[tuple[int, int, str, str, str | None]]:
+        """The other mentions of ``names``; one of several persons is whoever was named last before it, else first."""
+        known: dict[str, list[tuple[int, int, str, str, str | None]]] = {}
+        for name in sorted(names, key=lambda e: e[0]):
+            known.setdefault(name[3], []).append(name)
+        spans = {name[:2] for name in names}
+        found = []
+
+        def look(start: int, end: int) -> bool:
+            holders = known.get(text[start:end].casefold())
+            if holders and (start, end) not in spans:
+                holder = holders[max(0, bisect_right(holders, start, key=lambda e: e[0]) - 1)]
+                found.append((start, end, *holder[2:]))
+            return bool(holders)
+
+        for m in self.capital.finditer(text):
+            if not look(m.start(), m.end() - len(_POSSESSIVE.search(m[0])[0])):
+                # A part of a hyphenated or elided word may be the name.
+                pieces = [p.span() for p in self.piece.finditer(text, m.start(), m.end())]
+                if len(pieces) > 1:
+                    for start, end in pieces:
+                        look(start, end)
+        return found
+
+
+def _bare_name(written: str) -> str:
+    """A name's normal form, without the ending of the possessive."""
+    return _POSSESSIVE.sub("", written, count=1).casefold()
+
 
 def normal(kind: str, value: str) -> str:
     """The form that all spellings of an entity share."""
@@ -276,18 +350,18 @@ def shaped(kind: str, written: str, new: str) -> str:
 
 
 def _entities(text: Column) -> Column:
-    kind = pa.list_(pa.struct([("type", pa.string()), ("value", pa.string())]))
+    kind = pa.list_(pa.struct([("type", pa.string()), ("value", pa.string()), ("surname", pa.string())]))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         detector = Detector()
         for texts in parts(batches):
             rows = []
             for text in as_text(texts):
-                found = dict.fromkeys((t, v) for _, _, t, v in detector.find(text))
-                rows.append([{"type": t, "value": v} for t, v in found])
+                found = dict.fromkeys(entity[2:] for entity in detector.read(text))
+                rows.append([{"type": t, "value": v, "surname": s} for t, v, s in found])
             yield pa.array(rows, kind)
 
-    return F.arrow_udf(run, "array<struct<type:string,value:string>>")(text)
+    return F.arrow_udf(run, "array<struct<type:string,value:string,surname:string>>")(text)
 
 
 def _drawn(key: bytes):
@@ -340,6 +414,26 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
         drawn = stage(rest.select(*drawn.columns).union(again.select(*drawn.columns)), "surrogates")
 
 
+def settle(held: DataFrame) -> DataFrame:
+    """``held`` with ``settled``: the type of a given name, after Dr or Prof that of the same person elsewhere.
+
+    If titles of one gender go with given name and surname anywhere in the
+    table, that is the person's. If those of both do, there are at least two
+    persons, and whoever has a neutral title remains a third.
+    """
+    persons = held.where("surname is not null").groupBy("value", "surname").agg(
+        F.max(F.when(F.col("type") != "given_n", F.col("type"))).alias("told"),
+        F.min(F.when(F.col("type") != "given_n", F.col("type"))).alias("other"),
+        F.max(F.col("type") == "given_n").alias("open"),
+    )
+    persons = persons.where("open and told = other").select("value", "surname", "told")
+    persons = stage(persons, "surrogate-persons")
+    open_ = (F.col("type") == "given_n") & F.col("surname").isNotNull()
+    told = held.where(open_).join(persons, ["value", "surname"], "left")
+    told = told.withColumn("settled", F.coalesce("told", "type")).drop("told")
+    return held.where(~open_).withColumn("settled", F.col("type")).unionByName(told)
+
+
 def _replaced(key: bytes):
     kind = pa.struct([("text", pa.string()), ("n_entities", pa.int64()), ("types", pa.list_(pa.string()))])
 
@@ -348,11 +442,15 @@ def _replaced(key: bytes):
         for texts, again in parts(batches):
             out, counts, types = [], [], []
             for text, redrawn in zip(as_text(texts), again.to_pylist()):
-                attempts = {(r["type"], r["value"]): r["attempt"] for r in redrawn or ()}
-                found = detector.find(text)
+                # (type, value, surname) as found here to what the whole table says of it
+                settled = {(r["type"], r["value"], r["surname"]): (r["settled"], r["attempt"]) for r in redrawn or ()}
+                found = [
+                    (start, end, *settled.get((kind_of, value, surname), (kind_of, 0)), value)
+                    for start, end, kind_of, value, surname in detector.read(text)
+                ]
                 pieces, low = [], 0
-                for start, end, kind_of, value in found:
-                    new = surrogate(key, kind_of, value, attempts.get((kind_of, value), 0))
+                for start, end, kind_of, attempt, value in found:
+                    new = surrogate(key, kind_of, value, attempt)
                     pieces += [text[low:start], shaped(kind_of, text[start:end], new)]
                     low = end
                 out.append("".join(pieces) + text[low:])
@@ -373,9 +471,14 @@ def with_surrogates(docs: DataFrame, key: bytes, text: str = "text", doc_id: str
     IPv4 addresses, phone, card, social security and account numbers, secrets
     and personal names are replaced by others of the same shape: separators,
     digit counts, case, check digits where they held, private address ranges,
-    script and gender of names. The same entity has the same surrogate in all
+    script and gender of names. Of names only those are found that stand with a
+    title or as a listed given name before a surname, and their other mentions
+    in the same text (see ``Detector``). The same entity has the same surrogate in all
     documents, different ones have different surrogates, and no surrogate is an
-    entity of the table. Mailboxes of one domain keep sharing one. Where the
+    entity of the table. A given name of both genders is two entities; after Dr
+    or Prof it has the gender that the text, else the table, tells of the same
+    given name and surname, and is an entity of its own if these tell none or
+    both. Mailboxes of one domain keep sharing one. Where the
     table holds so many alike that the shape has no room, addresses give up
     their digit counts (192.168 then its range for 10) and phone numbers and
     mailboxes grow longer; a table that exhausts even that raises.
@@ -388,12 +491,16 @@ def with_surrogates(docs: DataFrame, key: bytes, text: str = "text", doc_id: str
         rows.select("doc_id", F.explode(_entities(F.col("text"))).alias("e")).select("doc_id", "e.*").distinct(),
         "entities",
     )
-    drawn = assign(held.select("type", "value").distinct(), key)
-    redrawn = stage(drawn.where("attempt > 0").select("type", "value", "attempt"), "surrogates-again")
+    held = stage(settle(held), "entities-settled")
+    drawn = assign(held.select(F.col("settled").alias("type"), "value").distinct(), key)
+    redrawn = stage(
+        drawn.where("attempt > 0").select(F.col("type").alias("settled"), "value", "attempt"), "surrogates-again"
+    )
     per_doc = (
-        held.join(redrawn, ["type", "value"])
+        held.join(redrawn, ["settled", "value"], "left")
+        .where("attempt is not null or settled <> type")
         .groupBy(F.col("doc_id").alias("_id"))
-        .agg(F.collect_set(F.struct("type", "value", "attempt")).alias("again"))
+        .agg(F.collect_set(F.struct("type", "value", "surname", "settled", F.coalesce("attempt", F.lit(0)).alias("attempt"))).alias("again"))
     )
     per_doc = stage(per_doc, "surrogates-by-document")
     joined = rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")), "left")

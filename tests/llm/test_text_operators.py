@@ -207,3 +207,32 @@ def test_widened_surrogates_keep_their_kind():
             assert find(new) == [(0, len(new), kind, new)]
     longer = surrogates.surrogate(KEY, "phone", "12345", 8)
     assert len(longer) == 7 and surrogates.shaped("phone", "+1 23 45", longer) == f"+{longer[0]} {longer[1:3]} {longer[3:]}"
+
+
+def test_one_person_by_all_mentions(documents):
+    rows = [
+        (1, "Taylor's book: Ms Robin Taylor met Dr Robin Taylor. Then Robin left, TAYLOR's friend saw Taylor-Adams. Mistaylor stays.", "en"),
+        (2, "Prof. Robin Taylor and Dr Kim Brown", "en"),
+        (3, "Herr Dr. Kim Brown, Dr. KIM BROWN, and Alice Baker; Alice slept, BAKER did not", "en"),
+        (4, "Taylor and Robin stay here, as no title says who they are.", "en"),
+        (5, "Dr Sam Reed; Mr Sam Reed", "en"),
+        (6, "Ms Sam Reed", "en"),
+        (7, "Prof Sam Reed", "en"),
+    ]
+    got = {r.doc_id: r for r in surrogates.with_surrogates(documents(rows), KEY).collect()}
+    words = {i: surrogates.regex.findall(r"\w+", r.text) for i, r in got.items()}
+    taylor, robin = words[1][0], words[1][4]
+    assert not {"Taylor", "Robin"} & {taylor, robin}
+    assert got[1].text == (
+        f"{taylor}'s book: Ms {robin} {taylor} met Dr {robin} {taylor}. Then {robin} left, {taylor.upper()}'s friend saw {taylor}-Adams. Mistaylor stays."
+    )
+    assert robin in surrogates.GIVEN["latin", "f"].split() and got[1].types.count("given_f") == 3
+    kim, brown = words[2][5:7]
+    assert got[2].text == f"Prof. {robin} {taylor} and Dr {kim} {brown}" and got[2].types[0] == "given_f"
+    alice, baker = words[3][8:10]
+    assert got[3].text == f"Herr Dr. {kim} {brown}, Dr. {kim.upper()} {brown.upper()}, and {alice} {baker}; {alice} slept, {baker.upper()} did not"
+    assert got[3].types[0] == got[2].types[2] == "given_m" and "Kim" not in words[3] and "Alice" not in words[3]
+    assert got[4].text == rows[3][1] and got[4].n_entities == 0
+    assert words[5][1] == words[5][4] and got[5].types[0] == "given_m"
+    assert got[6].types[0] == "given_f" and got[7].types[0] == "given_n"
+    assert len({words[5][1], words[6][1], words[7][1]}) == 3 and len({words[5][2], words[6][2], words[7][2]}) == 1
