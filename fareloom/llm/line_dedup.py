@@ -65,7 +65,10 @@ def _rewritten(min_chars: int):
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, keys): the digests of the lines that each document loses.
+    """(doc_id, digest, keys): the digests of the lines that each text of a document loses.
+
+    ``digest`` is that of the whole text. It keeps rows without an id, or with
+    the same one, apart, so that no group holds more than one text's keys.
 
     Every document counts once per key. The count combines before each
     exchange, and the frequent keys are a table of their own, so that the join
@@ -73,7 +76,8 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     documents hold is split over tasks.
     """
     lines = stage(
-        docs.select("doc_id", F.explode(_digests(min_chars)(F.col("text"))).alias("key")), "line-keys"
+        docs.select("doc_id", F.xxhash64("text").alias("digest"), F.explode(_digests(min_chars)(F.col("text"))).alias("key")),
+        "line-keys",
     )
     frequent = stage(
         lines.groupBy("key")
@@ -83,7 +87,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
         "frequent-lines",
     )
     lost = lines.join(frequent, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    return lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    return lost.groupBy("doc_id", "digest").agg(F.collect_set("key").alias("keys"))
 
 
 def line_dedup(
@@ -108,10 +112,15 @@ def line_dedup(
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     lost = dropped_lines(source, min_chars, min_docs)
-    whole = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.struct(*docs.columns).alias("_row"))
+    whole = docs.select(
+        F.col(doc_id).alias("_id"),
+        F.xxhash64(text).alias("_digest"),
+        F.col(text).alias("_text"),
+        F.struct(*docs.columns).alias("_row"),
+    )
     joined = whole.join(
-        lost.select(F.col("doc_id").alias("_lost_id"), F.col("keys").alias("_lost")),
-        F.col("_id").eqNullSafe(F.col("_lost_id")),
+        lost.select(F.col("doc_id").alias("_lost_id"), F.col("digest").alias("_lost_digest"), F.col("keys").alias("_lost")),
+        F.col("_id").eqNullSafe(F.col("_lost_id")) & (F.col("_digest") == F.col("_lost_digest")),
         "left",
     )
     done = joined.select("_row", _rewritten(min_chars)(F.col("_text"), F.col("_lost")).alias("_new"))

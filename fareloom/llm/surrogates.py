@@ -486,9 +486,12 @@ def with_surrogates(docs: DataFrame, key: bytes, text: str = "text", doc_id: str
     Null and empty texts come back as empty text. Rows that repeat are replaced
     alike. A null id is kept. An empty table gives no rows.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    # The digest keeps rows without an id, or with the same one, apart; where it doesn't, they only share a lookup.
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("digest", F.xxhash64("text"))
     held = stage(
-        rows.select("doc_id", F.explode(_entities(F.col("text"))).alias("e")).select("doc_id", "e.*").distinct(),
+        rows.select("doc_id", "digest", F.explode(_entities(F.col("text"))).alias("e"))
+        .select("doc_id", "digest", "e.*")
+        .distinct(),
         "entities",
     )
     held = stage(settle(held), "entities-settled")
@@ -499,10 +502,11 @@ def with_surrogates(docs: DataFrame, key: bytes, text: str = "text", doc_id: str
     per_doc = (
         held.join(redrawn, ["settled", "value"], "left")
         .where("attempt is not null or settled <> type")
-        .groupBy(F.col("doc_id").alias("_id"))
+        .groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
         .agg(F.collect_set(F.struct("type", "value", "surname", "settled", F.coalesce("attempt", F.lit(0)).alias("attempt"))).alias("again"))
     )
     per_doc = stage(per_doc, "surrogates-by-document")
-    joined = rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
+    joined = rows.join(per_doc, same, "left")
     done = joined.select("doc_id", _replaced(key)(F.col("text"), F.col("again")).alias("new"))
     return done.select("doc_id", "new.*")

@@ -35,6 +35,16 @@ def test_lines_of_hard_rows(hard_documents, no_documents):
     assert line_dedup.line_dedup(no_documents).count() == 0
 
 
+def test_lost_lines_of_rows_without_an_id_stay_apart(documents):
+    shared = [f"shared line {n:02} of more than forty characters, no doubt" for n in range(20)]
+    rows = [(i, "\n".join(shared), "en") for i in range(5)] + [(None, f"own {line[12:14]}\n{line}", "en") for line in shared]
+    docs = documents(rows)
+    lost = line_dedup.dropped_lines(docs.select("doc_id", "text")).where("doc_id is null").collect()
+    assert len(lost) == 20 and all(len(r["keys"]) == 1 for r in lost)
+    got = [r.text for r in line_dedup.line_dedup(docs).collect() if r.doc_id is None]
+    assert sorted(got) == [f"own {n:02}" for n in range(20)]
+
+
 def test_line_keys_count_code_points():
     assert line_dedup.line_digest(("é" * 39).encode(), 40) is None
     assert line_dedup.line_digest(("é" * 40).encode(), 40) is not None

@@ -236,3 +236,19 @@ def test_one_person_by_all_mentions(documents):
     assert words[5][1] == words[5][4] and got[5].types[0] == "given_m"
     assert got[6].types[0] == "given_f" and got[7].types[0] == "given_n"
     assert len({words[5][1], words[6][1], words[7][1]}) == 3 and len({words[5][2], words[6][2], words[7][2]}) == 1
+
+
+def test_redrawn_entities_of_rows_without_an_id_stay_apart(documents, monkeypatch):
+    sizes, stage = [], surrogates.stage
+
+    def watched(frame, label):
+        done = stage(frame, label)
+        if label == "surrogates-by-document":
+            sizes.extend(len(r.again) for r in done.collect())
+        return done
+
+    monkeypatch.setattr(surrogates, "stage", watched)
+    rows = [(None, f"host 192.168.{i // 10}.{i % 10}", "en") for i in range(30)]
+    got = surrogates.with_surrogates(documents(rows), KEY).collect()
+    assert len({r.text for r in got}) == 30 and not {r.text for r in got} & {t for _, t, _ in rows}
+    assert len(sizes) > 1 and set(sizes) == {1}
