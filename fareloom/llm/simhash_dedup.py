@@ -250,6 +250,11 @@ def near_duplicates(
     repeat an id are kept as rows. A null id is never a component_id; a
     component of such rows alone has a null one. An empty table gives no rows.
     """
+    return _rooted_rows(docs, text, doc_id, shingle_words, max_bits).drop("root")
+
+
+def _rooted_rows(docs: DataFrame, text: str, doc_id: str, shingle_words: int, max_bits: int) -> DataFrame:
+    """``near_duplicates`` with ``root``, a fingerprint that tells components apart where ids clash."""
     rows = stage(
         docs.select(F.col(doc_id).alias("doc_id"), simhash_column(F.col(text), shingle_words).alias("print")),
         "simhash-prints",
@@ -261,27 +266,43 @@ def near_duplicates(
     )
     rooted = stage(rooted, "simhash-roots")
     names = stage(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-names")
-    named = stage(rooted.join(names, "root").select("print", "component_id"), "simhash-named")
-    return rows.join(named, "print").select("doc_id", "print", "component_id")
+    named = stage(rooted.join(names, "root").select("print", "component_id", "root"), "simhash-named")
+    return rows.join(named, "print").select("doc_id", "print", "component_id", "root")
 
 
 def hex_print(fingerprint: Column) -> Column:
     return F.lpad(F.lower(F.hex(fingerprint)), 16, "0")
 
 
-def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **settings) -> DataFrame:
-    """``docs`` with the document of the smallest id of each component only.
+def drop_near_duplicates(
+    docs: DataFrame,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    shingle_words: int = SHINGLE_WORDS,
+    max_bits: int = MAX_BITS,
+) -> DataFrame:
+    """``docs`` with one row of each component, whatever the ids: of those of the smallest id that of the smallest print.
 
-    Rows that repeat a kept id become one row. Rows without an id are kept only
-    where their whole component has none.
+    An id may repeat with other texts, whose rows are judged each by its own
+    component. Rows without an id are kept only where their whole component has
+    none, one for each.
     """
-    found = near_duplicates(docs, text, doc_id, **settings)
-    kept = stage(
-        found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct(),
-        "simhash-kept",
+    found = stage(_rooted_rows(docs, text, doc_id, shingle_words, max_bits), "simhash-found")
+    kept = (
+        found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .groupBy("root")
+        .agg(F.min("component_id").alias("_kept"), F.min("print").alias("_kept_print"))
+        .drop("root")
     )
-    one_each = docs.join(kept, F.col(doc_id) == F.col("_kept"), "left_semi").dropDuplicates([doc_id])
-    nameless = found.where("doc_id is null and component_id is null").select(F.col("print").alias("_nameless")).distinct()
-    words = settings.get("shingle_words", SHINGLE_WORDS)
-    without = docs.where(F.col(doc_id).isNull()).withColumn("_print", simhash_column(F.col(text), words))
-    return one_each.unionByName(without.join(nameless, F.col("_print") == F.col("_nameless"), "left_semi").drop("_print"))
+    # Only where an id has several fingerprints, or is missing, the text is read again to tell its rows apart.
+    several = found.where("doc_id is not null").groupBy("doc_id").agg((F.min("print") != F.max("print")).alias("several"))
+    several = stage(several.where("several").select(F.col("doc_id").alias("_several")), "simhash-clashing-ids")
+    kept = stage(kept.join(several, F.col("_kept") == F.col("_several"), "left"), "simhash-kept")
+    plain = kept.where("_kept is not null and _several is null").select("_kept").distinct()
+    clear = docs.join(plain, F.col(doc_id) == F.col("_kept"), "left_semi").dropDuplicates([doc_id])
+    unclear = docs.where(F.col(doc_id).isNull()).unionByName(
+        docs.join(several, F.col(doc_id) == F.col("_several"), "left_semi")
+    ).withColumn("_print", simhash_column(F.col(text), shingle_words))
+    told = kept.where("_kept is null or _several is not null").select("_kept", "_kept_print")
+    same = F.col(doc_id).eqNullSafe(F.col("_kept")) & (F.col("_print") == F.col("_kept_print"))
+    return clear.unionByName(unclear.join(told, same, "left_semi").dropDuplicates([doc_id, "_print"]).drop("_print"))

@@ -119,6 +119,19 @@ def test_simhash_query_on_hard_rows(hard_documents, no_documents):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, 1), (False, 4), (False, 5), (False, 6), (True, 0)]
 
 
+def test_one_row_stays_of_each_component_whatever_the_ids(documents):
+    rng = random.Random(8)
+    a, b, c, d, e = (prose(rng, 300) for _ in range(5))
+    near = lambda t: t + " more"
+    rows = [(1, a, "en"), (1, b, "en"), (2, near(b), "en"), (3, a, "en"), (4, c, "en"), (1, c, "en"), (5, d, "en"), (5, near(d), "en"), (None, e, "en"), (None, e, "en"), (None, a, "en")]
+    assert (simhash_dedup.simhash(b.encode()) ^ simhash_dedup.simhash(near(b).encode())).bit_count() <= 4
+    assert 0 < (simhash_dedup.simhash(d.encode()) ^ simhash_dedup.simhash(near(d).encode())).bit_count() <= 4
+    for seed in (1, 4):
+        got = [(r.doc_id, r.text) for r in simhash_dedup.drop_near_duplicates(documents(rows).repartition(seed)).collect()]
+        assert len(got) == 5 and {(1, a), (1, b), (1, c), (None, e)} < set(got)
+        assert {i for i, t in got if t in (d, near(d))} == {5}
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.root for r in components.components(links).collect()} == {0}
