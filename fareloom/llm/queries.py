@@ -17,9 +17,11 @@ from fareloom.llm import (
     order_minhash,
     quality,
     simhash_dedup,
+    spelling,
     surrogates,
     toxicity,
 )
+from fareloom.llm.spelling_sql import SPELLING_SQL
 from fareloom.llm.text import held_out
 
 TOKENIZER = "word_bpe_49k.json"
@@ -173,6 +175,25 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id"""
 
 
+SPELLING_CHARS, SPELLING_ROWS, TYPO_SHARE = 7, 2, 31
+
+
+def typed_words(docs: DataFrame) -> DataFrame:
+    """(word, n): letter runs in lower case, one in 31 of them with a code point left out, counted over all texts."""
+    runs = docs.select("doc_id", F.explode(spelling.letter_runs(F.col("text"), SPELLING_CHARS)).alias("run"))
+    runs = runs.select("doc_id", spelling.lower_ascii(F.col("run")).alias("run"))
+    code = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "run").cast("binary"))
+    at = (F.col("code") % F.char_length("run")).cast("int")
+    cut = F.concat(F.substr("run", F.lit(1), at), F.substr("run", at + 2))
+    words = runs.withColumn("code", code).select(F.when(F.col("code") % TYPO_SHARE == 0, cut).otherwise(F.col("run")).alias("word"))
+    words = words.where(F.char_length("word") >= SPELLING_CHARS)
+    return words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= SPELLING_ROWS)
+
+
+def spelling_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_forms(typed_words(read(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": surrogate_query,
     "op2_bpe_encode_decode": bpe_encode_decode,
@@ -184,6 +205,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": chat_query,
     "op9_language_id": language_query,
     "op10_quality": quality_query,
+    "op11_spelling_variants": spelling_query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_line_dedup": LINE_DEDUP_SQL, "op8_chat_format": CHAT_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": LINE_DEDUP_SQL,
+    "op8_chat_format": CHAT_SQL,
+    "op11_spelling_variants": SPELLING_SQL,
+}
