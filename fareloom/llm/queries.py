@@ -14,6 +14,7 @@ from fareloom.llm import (
     decontaminate,
     language_id,
     line_dedup,
+    minhash_dedup,
     order_minhash,
     quality,
     simhash_dedup,
@@ -21,6 +22,7 @@ from fareloom.llm import (
     surrogates,
     toxicity,
 )
+from fareloom.llm.minhash_sql import MINHASH_SQL
 from fareloom.llm.spelling_sql import SPELLING_SQL
 from fareloom.llm.text import held_out
 
@@ -194,6 +196,10 @@ def spelling_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_forms(typed_words(read(spark, sf_dir, "documents")))
 
 
+def minhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicate_sets(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": surrogate_query,
     "op2_bpe_encode_decode": bpe_encode_decode,
@@ -206,10 +212,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": language_query,
     "op10_quality": quality_query,
     "op11_spelling_variants": spelling_query,
+    "op12_minhash_near_dedup": minhash_query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": LINE_DEDUP_SQL,
     "op8_chat_format": CHAT_SQL,
     "op11_spelling_variants": SPELLING_SQL,
+    "op12_minhash_near_dedup": MINHASH_SQL,
 }
