@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fareloom.llm import (
     bpe,
     chat,
+    collocations,
     decontaminate,
     language_id,
     line_dedup,
@@ -22,6 +23,7 @@ from fareloom.llm import (
     surrogates,
     toxicity,
 )
+from fareloom.llm.collocations_sql import COLLOCATIONS_SQL
 from fareloom.llm.minhash_sql import MINHASH_SQL
 from fareloom.llm.spelling_sql import SPELLING_SQL
 from fareloom.llm.text import held_out
@@ -200,6 +202,10 @@ def minhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicate_sets(read(spark, sf_dir, "documents"))
 
 
+def collocation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": surrogate_query,
     "op2_bpe_encode_decode": bpe_encode_decode,
@@ -213,6 +219,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": quality_query,
     "op11_spelling_variants": spelling_query,
     "op12_minhash_near_dedup": minhash_query,
+    "op13_collocations": collocation_query,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -220,4 +227,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_chat_format": CHAT_SQL,
     "op11_spelling_variants": SPELLING_SQL,
     "op12_minhash_near_dedup": MINHASH_SQL,
+    "op13_collocations": COLLOCATIONS_SQL,
 }
