@@ -17,12 +17,17 @@ spread out:
 
 Each distinct value ends up with the interval ``[before, before + rows)`` of
 zero-based positions its copies occupy.
+
+Percentiles need a few positions only, so ``grouped_percentiles`` takes this
+road for the few rows that a position can lie on; see there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +38,10 @@ ROWS = "rows_equal"
 BEFORE = "rows_before"
 GROUP_ROWS = "group_rows"
 SLICE = "slice_id"
+CELL = "cell_id"
+
+# Rank error of a group's sketch is at most 1/CUT_ACCURACY of the group; cuts lie twice as far out.
+CUT_ACCURACY = 1000
 
 
 def join_on_keys(
@@ -57,15 +66,9 @@ class SlicedValues:
     keys: Sequence[str]
     order: Sequence[Column]
 
-    def intervals(self, wanted: Column | None = None) -> DataFrame:
-        """Every value with ``rows_before`` and ``group_rows``.
-
-        ``wanted`` is a condition on ``slice_before``/``rows_in_slice``/
-        ``group_rows``; slices that fail it are skipped before any row of
-        theirs is shuffled.
-        """
-        slices = self.slices if wanted is None else self.slices.where(wanted)
-        located = join_on_keys(self.values, slices, [*self.keys, SLICE])
+    def intervals(self) -> DataFrame:
+        """Every value with ``rows_before`` and ``group_rows``."""
+        located = join_on_keys(self.values, self.slices, [*self.keys, SLICE])
         within = (
             Window.partitionBy(*self.keys, SLICE)
             .orderBy(*self.order)
@@ -96,30 +99,23 @@ def slice_values(counted: DataFrame, keys: Sequence[str], order: Sequence[Column
 
 @dataclass(frozen=True)
 class Carried:
-    """Aggregates taken along while counting equal values, so the source is read once.
+    """Aggregates taken along in the pass that sketches the groups.
 
     ``sums``/``lows``/``highs`` map an output name to the expression that is
-    summed, minimised or maximised per distinct value and again per group.
+    summed, minimised or maximised per group.
     """
 
     sums: Mapping[str, Column] = field(default_factory=dict)
     lows: Mapping[str, Column] = field(default_factory=dict)
     highs: Mapping[str, Column] = field(default_factory=dict)
 
-    def partial(self) -> list[Column]:
+    def columns(self) -> list[Column]:
         return (
             [F.sum(e).alias(n) for n, e in self.sums.items()]
             + [F.min(e).alias(n) for n, e in self.lows.items()]
             + [F.max(e).alias(n) for n, e in self.highs.items()]
         )
 
-    def final(self) -> list[Column]:
-        return (
-            [F.sum(n).alias(n) for n in self.sums]
-            + [F.min(n).alias(n) for n in self.lows]
-            + [F.max(n).alias(n) for n in self.highs]
-        )
-
 
 def grouped_percentiles(
     df: DataFrame,
@@ -135,15 +131,45 @@ def grouped_percentiles(
     Output: keys, ``group_rows`` (all rows of the group), one column per level
     and the carried aggregates.
 
-    The source is read once, down to distinct (group, value) pairs; these are cut
-    into slices by value, whatever their number, so no task orders a whole group.
+    The table is narrowed, not sorted:
+
+    1. A quantile sketch per group (partial per task, merged) gives two *cuts*
+       around every level; row counts and ``carried`` come from the same pass.
+    2. A second pass counts each group's rows per cell between its cuts,
+       exactly, and keeps the distinct values only of the narrow cells around a
+       level. What is shuffled is some 0.4 % of the rows for each level.
+    3. The counts tell which cell a position lies in. Only the values of such
+       cells are put in order, in slices whatever their number. Should a sketch
+       have been so far off that a position lies in a wide cell, that cell's
+       rows are fetched: a sketch decides the time, never the result.
+
+    The cuts are one row per group, which Spark joins by broadcast if small.
     """
     for level in levels.values():
         if not 0.0 <= level <= 1.0:
             raise ValueError(f"percentile level {level} is outside [0, 1]")
-    pairs = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias(ROWS), *carried.partial())
-    counted = stage(pairs, "value-counts")
-    return _sliced(counted, keys, value, levels, carried).select(
+    spread = 2.0 / CUT_ACCURACY
+    bounds = {n: (max(0.0, p - spread), min(1.0, p + spread)) for n, p in levels.items()}
+    probes = sorted({b for pair in bounds.values() for b in pair})
+    sketch = F.percentile_approx(value, probes, CUT_ACCURACY)
+    groups = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias(GROUP_ROWS), F.count(value).alias("known_rows"), sketch.alias("cuts"), *carried.columns()
+    )
+    groups = stage(groups, "group-cuts")
+    celled = _celled(df, groups, keys, value, probes, bounds)
+    kept = celled.groupBy(*keys, CELL, F.when(F.col("narrow"), F.col(value)).alias(value), "narrow").agg(F.count(F.lit(1)).alias(ROWS))
+    kept = stage(kept, "cell-values")
+    hits = stage(_hit_cells(kept, groups, keys, levels), "hit-cells")
+    places = [*keys, CELL]
+    found = join_on_keys(kept.select(*places, value, ROWS), hits.where("narrow").select(*places), places)
+    wide = hits.where("not narrow")
+    if not wide.isEmpty():
+        fetched = join_on_keys(celled.select(*places, value), wide.select(*places), places)
+        found = found.unionByName(fetched.groupBy(*places, value).agg(F.count(F.lit(1)).alias(ROWS)))
+    ordered = slice_values(found, places, [F.col(value).asc()]).intervals().drop(GROUP_ROWS)
+    placed = join_on_keys(ordered, hits, places).withColumn(BEFORE, F.col("cell_before") + F.col(BEFORE))
+    picked = placed.groupBy(*keys).agg(*[_picked(n, value) for n in levels])
+    return _attach(groups, picked, keys, "left").select(
         *keys,
         GROUP_ROWS,
         *[_interpolated(n).alias(n) for n in levels],
@@ -153,27 +179,33 @@ def grouped_percentiles(
     )
 
 
-def _sliced(counted, keys, value, levels, carried) -> DataFrame:
-    sliced = slice_values(counted, keys, [F.col(value).asc_nulls_first()])
-    # NULLs sort first, so a group's NULL rows are a prefix to step over.
-    totals = sliced.values.groupBy(*keys).agg(
-        F.sum(ROWS).alias("all_rows"),
-        F.coalesce(F.sum(F.when(F.col(value).isNull(), F.col(ROWS))), F.lit(0)).alias("null_rows"),
-        *carried.final(),
+def _celled(df, groups, keys, value, probes, bounds) -> DataFrame:
+    """Rows with a value, the cell it lies in among its group's cuts, and whether that is a narrow one.
+
+    The number of a cell grows with its values; a value equal to a cut is in a narrow cell of its own.
+    """
+    cuts = [f"cut_{i}" for i in range(len(probes))]
+    known = df.where(F.col(value).isNotNull()).select(*keys, value)
+    with_cuts = groups.where("known_rows > 0").select(*keys, *[F.col("cuts")[i].alias(c) for i, c in enumerate(cuts)])
+    located = _attach(known, with_cuts, keys)
+    at = F.col(value)
+    passed = [(at >= F.col(c)).cast("int") + (at > F.col(c)).cast("int") for c in cuts]
+    around = [(at >= F.col(cuts[probes.index(a)])) & (at <= F.col(cuts[probes.index(b)])) for a, b in bounds.values()]
+    return located.select(
+        *keys, value, reduce(add, passed, F.lit(0)).alias(CELL), reduce(or_, around, F.lit(False)).alias("narrow")
     )
-    targets = totals.select(*keys, "all_rows", "null_rows", *[_target(n, p) for n, p in levels.items()])
-    slices = _attach(sliced.slices, targets, keys)
-    inside = F.lit(False)
-    for name in levels:
-        for end in ("low", "high"):
-            at = F.col(f"{name}__at")[end]
-            inside = inside | (
-                (at >= F.col("slice_before"))
-                & (at < F.col("slice_before") + F.col("rows_in_slice"))
-            )
-    hits = SlicedValues(sliced.values, slices, keys, sliced.order).intervals(inside)
-    picked = hits.groupBy(*keys).agg(*[_picked(n, value) for n in levels])
-    return _attach(totals, picked, keys, "left").withColumnRenamed("all_rows", GROUP_ROWS)
+
+
+def _hit_cells(kept, groups, keys, levels) -> DataFrame:
+    """The cells in which a wanted position lies, with the rows before them in the group and the positions."""
+    cells = kept.groupBy(*keys, CELL, "narrow").agg(F.sum(ROWS).alias("cell_rows"))
+    earlier = Window.partitionBy(*keys).orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("cell_before", F.coalesce(F.sum("cell_rows").over(earlier), F.lit(0)))
+    targets = groups.select(*keys, *[_target(n, p) for n, p in levels.items()])
+    cells = _attach(cells, targets, keys)
+    ends = [F.col(f"{n}__at")[end] for n in levels for end in ("low", "high")]
+    inside = [(e >= F.col("cell_before")) & (e < F.col("cell_before") + F.col("cell_rows")) for e in ends]
+    return cells.where(reduce(or_, inside, F.lit(False))).drop("cell_rows")
 
 
 def _picked(name: str, value: str) -> Column:
@@ -193,12 +225,10 @@ def _picked(name: str, value: str) -> Column:
 
 def _target(name: str, level: float) -> Column:
     """Positions on both sides of the percentile point and the share of the upper one."""
-    point = F.lit(float(level)) * (F.col("all_rows") - F.col("null_rows") - 1).cast("double")
+    point = F.lit(float(level)) * (F.col("known_rows") - 1).cast("double")
     low = F.floor(point)
     return F.struct(
-        (F.col("null_rows") + low).alias("low"),
-        (F.col("null_rows") + F.ceil(point)).alias("high"),
-        (point - low).alias("share"),
+        low.alias("low"), F.ceil(point).alias("high"), (point - low).alias("share")
     ).alias(f"{name}__at")
 
 

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from fareloom.operators import ordering
 from fareloom.operators.ordering import Carried, grouped_percentiles
 from fareloom.operators.selection import (
     percentile_of,
@@ -17,6 +18,7 @@ from fareloom.operators.selection import (
     tile_totals,
     top_share_bound,
 )
+from fareloom.staging import stage
 
 
 def skewed(spark, n=4000, seed=1):
@@ -140,6 +142,55 @@ def test_percentiles_of_whole_table_and_all_null_group(spark):
     assert [(r["group_rows"], r["m"]) for r in whole] == [(4, 1.5)]
 
 
+def lopsided(spark, n=30_000):
+    """One group of nine tenths of the rows; half of all rows share one value."""
+    rng = random.Random(7)
+    rows = [
+        ("big" if rng.random() < 0.9 else rng.choice("abc"), 12.5 if i % 2 else rng.lognormvariate(2, 1)) for i in range(n)
+    ]
+    return spark.createDataFrame(rows, "g string, x double").repartition(6)
+
+
+@pytest.mark.parametrize("accuracy", [1000, 1])
+def test_percentiles_of_lopsided_groups(spark, monkeypatch, accuracy):
+    """Also with a sketch so coarse that positions lie far from its cuts."""
+    monkeypatch.setattr(ordering, "CUT_ACCURACY", accuracy)
+    if accuracy == 1:
+        monkeypatch.setattr(ordering.F, "percentile_approx", lambda c, p, a: F.array(*[F.min(c) + i for i in range(len(p))]))
+    df = lopsided(spark)
+    levels = {"p10": 0.1, "p50": 0.5, "p51": 0.51, "p99": 0.99}
+    want = {r["g"]: r for r in df.groupBy("g").agg(*[F.percentile("x", p).alias(n) for n, p in levels.items()]).collect()}
+    got = grouped_percentiles(df, ["g"], "x", levels).collect()
+    assert len(got) == len(want) == 4
+    for row in got:
+        for name in levels:
+            assert row[name] == pytest.approx(want[row["g"]][name], rel=1e-12)
+
+
+def shuffled_rows(spark, run):
+    """Records written to shuffles by what ``run`` executes, from the status store of the application."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        none = spark._jvm.java.util.ArrayList()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = store.stageList(none, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none)
+        return {(found.apply(i).stageId(), found.apply(i).attemptId()): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    before = stages()
+    run()
+    return sum(n for key, n in stages().items() if key not in before)
+
+
+def test_percentiles_shuffle_few_rows(spark):
+    """No exchange carries the (group, value) pairs of the table: all of them together stay below 5 % of its rows."""
+    n = 200_000
+    df = spark.range(0, n, 1, 4).select((F.col("id") % 5).alias("g"), (F.rand(3) * 1000).alias("x"))
+    df = stage(df, "test-percentiles")
+    moved = shuffled_rows(spark, lambda: grouped_percentiles(df, ["g"], "x", {"m": 0.5}).collect())
+    assert 0 < moved < n * 0.05
+
+
 def test_percentile_level_is_checked(spark):
     with pytest.raises(ValueError):
         grouped_percentiles(skewed(spark), [], "x", {"m": 1.5})
