@@ -18,16 +18,14 @@ spread out:
 Each distinct value ends up with the interval ``[before, before + rows)`` of
 zero-based positions its copies occupy.
 
-Percentiles need a few positions only, so ``grouped_percentiles`` takes this
-road for the few rows that a position can lie on; see there.
+Percentiles need a few positions only, so ``grouped_percentiles`` does not order
+a table at all but narrows it; see there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
-from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,10 +36,13 @@ ROWS = "rows_equal"
 BEFORE = "rows_before"
 GROUP_ROWS = "group_rows"
 SLICE = "slice_id"
-CELL = "cell_id"
 
-# Rank error of a group's sketch is at most 1/CUT_ACCURACY of the group; cuts lie twice as far out.
-CUT_ACCURACY = 1000
+# First cells of a group: so many for every factor e of a value's size.
+STEPS = 100
+# Cells that a cell is cut into.
+PARTS = 1024
+# Rows of a cell whose values one task may put in order; a fuller cell is cut again.
+CELL_ROWS = 1_000_000
 
 
 def join_on_keys(
@@ -99,23 +100,30 @@ def slice_values(counted: DataFrame, keys: Sequence[str], order: Sequence[Column
 
 @dataclass(frozen=True)
 class Carried:
-    """Aggregates taken along in the pass that sketches the groups.
+    """Aggregates taken along in the first pass over the table.
 
     ``sums``/``lows``/``highs`` map an output name to the expression that is
-    summed, minimised or maximised per group.
+    summed, minimised or maximised per cell and again per group.
     """
 
     sums: Mapping[str, Column] = field(default_factory=dict)
     lows: Mapping[str, Column] = field(default_factory=dict)
     highs: Mapping[str, Column] = field(default_factory=dict)
 
-    def columns(self) -> list[Column]:
+    def partial(self) -> list[Column]:
         return (
             [F.sum(e).alias(n) for n, e in self.sums.items()]
             + [F.min(e).alias(n) for n, e in self.lows.items()]
             + [F.max(e).alias(n) for n, e in self.highs.items()]
         )
 
+    def final(self) -> list[Column]:
+        return (
+            [F.sum(n).alias(n) for n in self.sums]
+            + [F.min(n).alias(n) for n in self.lows]
+            + [F.max(n).alias(n) for n in self.highs]
+        )
+
 
 def grouped_percentiles(
     df: DataFrame,
@@ -133,43 +141,49 @@ def grouped_percentiles(
 
     The table is narrowed, not sorted:
 
-    1. A quantile sketch per group (partial per task, merged) gives two *cuts*
-       around every level; row counts and ``carried`` come from the same pass.
-    2. A second pass counts each group's rows per cell between its cuts,
-       exactly, and keeps the distinct values only of the narrow cells around a
-       level. What is shuffled is some 0.4 % of the rows for each level.
-    3. The counts tell which cell a position lies in. Only the values of such
-       cells are put in order, in slices whatever their number. Should a sketch
-       have been so far off that a position lies in a wide cell, that cell's
-       rows are fetched: a sketch decides the time, never the result.
-
-    The cuts are one row per group, which Spark joins by broadcast if small.
+    1. One pass counts every group's rows per *cell*, a step on a logarithmic
+       scale, with each cell's least and greatest value. Cells are combined in
+       each task, so what is shuffled are cells, not rows. Group totals and
+       ``carried`` come from the same pass.
+    2. The counts tell in which cells the wanted positions lie. While one of
+       these holds more than ``CELL_ROWS`` rows and more than one value, another
+       pass cuts the hit cells into ``PARTS`` between their ends.
+    3. A last pass takes the rows of the hit cells, about a hundredth of the
+       table, counts equal values and completes their positions cell by cell.
+
+    A cell's number only has to grow with its values, so the result is exact
+    whatever their distribution. The hit cells, a few per group, are joined by
+    broadcast if Spark finds them small.
     """
     for level in levels.values():
         if not 0.0 <= level <= 1.0:
             raise ValueError(f"percentile level {level} is outside [0, 1]")
-    spread = 2.0 / CUT_ACCURACY
-    bounds = {n: (max(0.0, p - spread), min(1.0, p + spread)) for n, p in levels.items()}
-    probes = sorted({b for pair in bounds.values() for b in pair})
-    sketch = F.percentile_approx(value, probes, CUT_ACCURACY)
-    groups = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias(GROUP_ROWS), F.count(value).alias("known_rows"), sketch.alias("cuts"), *carried.columns()
+    by = list(keys)
+    if not by:
+        # One group; its key is computed from each row, so that joins on it stay joins on a key.
+        by = ["whole"]
+        df = df.withColumn("whole", F.pmod(F.hash(value), F.lit(1)))
+    size = F.col(value).cast("double")
+    step = F.signum(size) * F.rint(F.log1p(F.abs(size)) * STEPS)
+    cells = stage(df.groupBy(*by, step.alias("step")).agg(*_cell_counts(value), *carried.partial()), "group-cells")
+    totals = cells.groupBy(*by).agg(F.sum(ROWS).alias(GROUP_ROWS), *carried.final())
+    rows = df.select(*by, value)
+    known = F.sum(ROWS).over(Window.partitionBy(*by))
+    cells = cells.where(F.col("least").isNotNull()).select(
+        *by, F.lit(0).cast("bigint").alias("ahead"), "step", ROWS, "least", "greatest", known.alias("known_rows")
     )
-    groups = stage(groups, "group-cuts")
-    celled = _celled(df, groups, keys, value, probes, bounds)
-    kept = celled.groupBy(*keys, CELL, F.when(F.col("narrow"), F.col(value)).alias(value), "narrow").agg(F.count(F.lit(1)).alias(ROWS))
-    kept = stage(kept, "cell-values")
-    hits = stage(_hit_cells(kept, groups, keys, levels), "hit-cells")
-    places = [*keys, CELL]
-    found = join_on_keys(kept.select(*places, value, ROWS), hits.where("narrow").select(*places), places)
-    wide = hits.where("not narrow")
-    if not wide.isEmpty():
-        fetched = join_on_keys(celled.select(*places, value), wide.select(*places), places)
-        found = found.unionByName(fetched.groupBy(*places, value).agg(F.count(F.lit(1)).alias(ROWS)))
-    ordered = slice_values(found, places, [F.col(value).asc()]).intervals().drop(GROUP_ROWS)
-    placed = join_on_keys(ordered, hits, places).withColumn(BEFORE, F.col("cell_before") + F.col(BEFORE))
-    picked = placed.groupBy(*keys).agg(*[_picked(n, value) for n in levels])
-    return _attach(groups, picked, keys, "left").select(
+    hits = _hit_cells(cells, by, levels)
+    while _too_full(hits):
+        inside = _rows_inside(rows, hits, by, value)
+        share = (F.col(value) - F.col("least")).cast("double") / F.nullif((F.col("greatest") - F.col("least")).cast("double"), F.lit(0.0))
+        part = F.coalesce(F.rint(share * PARTS), F.lit(0.0)).alias("step")
+        cut = inside.groupBy(*by, F.col("before").alias("ahead"), part, "known_rows").agg(*_cell_counts(value))
+        hits = _hit_cells(cut, by, levels)
+    found = _rows_inside(rows, hits, by, value).groupBy(*by, "before", "known_rows", value).agg(F.count(F.lit(1)).alias(ROWS))
+    within = Window.partitionBy(*by, "before").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = found.withColumn(BEFORE, F.col("before") + F.coalesce(F.sum(ROWS).over(within), F.lit(0)))
+    picked = placed.groupBy(*by).agg(*[_picked(n, p, value) for n, p in levels.items()])
+    return join_on_keys(totals, picked, by, "left").select(
         *keys,
         GROUP_ROWS,
         *[_interpolated(n).alias(n) for n in levels],
@@ -179,57 +193,54 @@ def grouped_percentiles(
     )
 
 
-def _celled(df, groups, keys, value, probes, bounds) -> DataFrame:
-    """Rows with a value, the cell it lies in among its group's cuts, and whether that is a narrow one.
+def _cell_counts(value: str) -> list[Column]:
+    return [F.count(F.lit(1)).alias(ROWS), F.min(value).alias("least"), F.max(value).alias("greatest")]
 
-    The number of a cell grows with its values; a value equal to a cut is in a narrow cell of its own.
+
+def _hit_cells(cells: DataFrame, keys: Sequence[str], levels: Mapping[str, float]) -> DataFrame:
+    """The cells that a wanted position lies in, with the group's rows before them, as a table.
+
+    ``ahead`` is the number of rows before the cell that was cut into these, and so tells cut cells apart.
     """
-    cuts = [f"cut_{i}" for i in range(len(probes))]
-    known = df.where(F.col(value).isNotNull()).select(*keys, value)
-    with_cuts = groups.where("known_rows > 0").select(*keys, *[F.col("cuts")[i].alias(c) for i, c in enumerate(cuts)])
-    located = _attach(known, with_cuts, keys)
-    at = F.col(value)
-    passed = [(at >= F.col(c)).cast("int") + (at > F.col(c)).cast("int") for c in cuts]
-    around = [(at >= F.col(cuts[probes.index(a)])) & (at <= F.col(cuts[probes.index(b)])) for a, b in bounds.values()]
-    return located.select(
-        *keys, value, reduce(add, passed, F.lit(0)).alias(CELL), reduce(or_, around, F.lit(False)).alias("narrow")
-    )
+    earlier = Window.partitionBy(*keys, "ahead").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("ahead") + F.coalesce(F.sum(ROWS).over(earlier), F.lit(0))
+    placed = cells.withColumn("before", before)
+    ends = [at for p in levels.values() for at in _positions(p)]
+    hits = placed.where(" or ".join(f"({at} >= before and {at} < before + {ROWS})" for at in ends) or "false")
+    return stage(hits.select(*keys, "before", ROWS, "least", "greatest", "known_rows"), "hit-cells")
 
 
-def _hit_cells(kept, groups, keys, levels) -> DataFrame:
-    """The cells in which a wanted position lies, with the rows before them in the group and the positions."""
-    cells = kept.groupBy(*keys, CELL, "narrow").agg(F.sum(ROWS).alias("cell_rows"))
-    earlier = Window.partitionBy(*keys).orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("cell_before", F.coalesce(F.sum("cell_rows").over(earlier), F.lit(0)))
-    targets = groups.select(*keys, *[_target(n, p) for n, p in levels.items()])
-    cells = _attach(cells, targets, keys)
-    ends = [F.col(f"{n}__at")[end] for n in levels for end in ("low", "high")]
-    inside = [(e >= F.col("cell_before")) & (e < F.col("cell_before") + F.col("cell_rows")) for e in ends]
-    return cells.where(reduce(or_, inside, F.lit(False))).drop("cell_rows")
+def _too_full(hits: DataFrame) -> bool:
+    """Whether a cell holds too many rows for one task, and values that can be told apart."""
+    apart = F.col("least").cast("double") < F.col("greatest").cast("double")
+    return not hits.where(apart & (F.col(ROWS) > CELL_ROWS)).isEmpty()
 
 
-def _picked(name: str, value: str) -> Column:
+def _rows_inside(rows: DataFrame, hits: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """The rows whose value lies within a hit cell of their group."""
+    joined = join_on_keys(rows.where(F.col(value).isNotNull()), hits.drop(ROWS), keys)
+    return joined.where(F.col(value).between(F.col("least"), F.col("greatest")))
+
+
+def _picked(name: str, level: float, value: str) -> Column:
     """The values on both sides of a percentile point, out of a group's placed values."""
-    target = F.col(f"{name}__at")
+    low, high = _positions(level)
+
+    def value_at(position: str) -> str:
+        covers = f"{position} >= {BEFORE} and {position} < {BEFORE} + {ROWS}"
+        return f"cast(max(case when {covers} then `{value}` end) as double)"
 
-    def value_at(end: str) -> Column:
-        covers = (target[end] >= F.col(BEFORE)) & (target[end] < F.col(BEFORE) + F.col(ROWS))
-        return F.max(F.when(covers, F.col(value))).cast("double")
+    share = f"max({_point(level)} - {low})"
+    return F.expr(f"struct({value_at(low)} as low, {value_at(high)} as high, {share} as share)").alias(f"{name}__v")
 
-    return F.struct(
-        value_at("low").alias("low"),
-        value_at("high").alias("high"),
-        F.max(target["share"]).alias("share"),
-    ).alias(f"{name}__v")
 
+def _point(level: float) -> str:
+    """The percentile point among zero-based positions of the group's values, as SQL text."""
+    return f"({float(level)!r}D * (known_rows - 1))"
 
-def _target(name: str, level: float) -> Column:
-    """Positions on both sides of the percentile point and the share of the upper one."""
-    point = F.lit(float(level)) * (F.col("known_rows") - 1).cast("double")
-    low = F.floor(point)
-    return F.struct(
-        low.alias("low"), F.ceil(point).alias("high"), (point - low).alias("share")
-    ).alias(f"{name}__at")
+
+def _positions(level: float) -> tuple[str, str]:
+    return f"floor({_point(level)})", f"ceil({_point(level)})"
 
 
 def _interpolated(name: str) -> Column:
@@ -237,13 +248,6 @@ def _interpolated(name: str) -> Column:
     return v["low"] + (v["high"] - v["low"]) * v["share"]
 
 
-def _attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on the group keys. Without keys ``right`` is one row, taken in as a scalar subquery."""
-    if keys:
-        return join_on_keys(left, right, keys, how)
-    return with_scalars(left, right)
-
-
 def with_scalars(left: DataFrame, one_row: DataFrame) -> DataFrame:
     """``left`` with the columns of a one-row frame on every row, without a join."""
     columns = one_row.columns

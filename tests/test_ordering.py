@@ -146,17 +146,16 @@ def lopsided(spark, n=30_000):
     """One group of nine tenths of the rows; half of all rows share one value."""
     rng = random.Random(7)
     rows = [
-        ("big" if rng.random() < 0.9 else rng.choice("abc"), 12.5 if i % 2 else rng.lognormvariate(2, 1)) for i in range(n)
+        ("big" if rng.random() < 0.9 else rng.choice("abc"), 12.5 if i % 2 else round(rng.gauss(0, 9), 1)) for i in range(n)
     ]
     return spark.createDataFrame(rows, "g string, x double").repartition(6)
 
 
-@pytest.mark.parametrize("accuracy", [1000, 1])
-def test_percentiles_of_lopsided_groups(spark, monkeypatch, accuracy):
-    """Also with a sketch so coarse that positions lie far from its cuts."""
-    monkeypatch.setattr(ordering, "CUT_ACCURACY", accuracy)
-    if accuracy == 1:
-        monkeypatch.setattr(ordering.F, "percentile_approx", lambda c, p, a: F.array(*[F.min(c) + i for i in range(len(p))]))
+@pytest.mark.parametrize("cell_rows, parts", [(1_000_000, 1024), (1, 3)])
+def test_percentiles_of_lopsided_groups(spark, monkeypatch, cell_rows, parts):
+    """Also when cells are cut again and again."""
+    monkeypatch.setattr(ordering, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(ordering, "PARTS", parts)
     df = lopsided(spark)
     levels = {"p10": 0.1, "p50": 0.5, "p51": 0.51, "p99": 0.99}
     want = {r["g"]: r for r in df.groupBy("g").agg(*[F.percentile("x", p).alias(n) for n, p in levels.items()]).collect()}
@@ -167,6 +166,15 @@ def test_percentiles_of_lopsided_groups(spark, monkeypatch, accuracy):
             assert row[name] == pytest.approx(want[row["g"]][name], rel=1e-12)
 
 
+def test_percentiles_of_extreme_values(spark):
+    values = [float("-inf"), -1e300, -2.5, -1e-9, 0.0, 1e-9, 2e-9, 3.0, 1e300, float("inf")]
+    df = spark.createDataFrame([("g", v) for v in values] + [("n", float("nan")), ("n", 1.0)], "g string, x double")
+    levels = {f"p{i}": i / 9 for i in range(10)}
+    got = {r["g"]: r for r in grouped_percentiles(df, ["g"], "x", levels).collect()}
+    assert [got["g"][f"p{i}"] for i in (1, 2, 3, 4, 5, 6, 7, 8)] == pytest.approx(values[1:-1])
+    assert got["n"]["p0"] == 1.0
+
+
 def shuffled_rows(spark, run):
     """Records written to shuffles by what ``run`` executes, from the status store of the application."""
     store = spark.sparkContext._jsc.sc().statusStore()
@@ -184,7 +192,7 @@ def shuffled_rows(spark, run):
 
 def test_percentiles_shuffle_few_rows(spark):
     """No exchange carries the (group, value) pairs of the table: all of them together stay below 5 % of its rows."""
-    n = 200_000
+    n = 600_000
     df = spark.range(0, n, 1, 4).select((F.col("id") % 5).alias("g"), (F.rand(3) * 1000).alias("x"))
     df = stage(df, "test-percentiles")
     moved = shuffled_rows(spark, lambda: grouped_percentiles(df, ["g"], "x", {"m": 0.5}).collect())
