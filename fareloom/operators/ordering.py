@@ -27,7 +27,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from fareloom.staging import stage
@@ -172,13 +172,13 @@ def grouped_percentiles(
     cells = cells.where(F.col("least").isNotNull()).select(
         *by, F.lit(0).cast("bigint").alias("ahead"), "step", ROWS, "least", "greatest", known.alias("known_rows")
     )
-    hits = _hit_cells(cells, by, levels)
-    while _too_full(hits):
+    hits, too_full = _hit_cells(cells, by, levels)
+    while too_full:
         inside = _rows_inside(rows, hits, by, value)
         share = (F.col(value) - F.col("least")).cast("double") / F.nullif((F.col("greatest") - F.col("least")).cast("double"), F.lit(0.0))
         part = F.coalesce(F.rint(share * PARTS), F.lit(0.0)).alias("step")
         cut = inside.groupBy(*by, F.col("before").alias("ahead"), part, "known_rows").agg(*_cell_counts(value))
-        hits = _hit_cells(cut, by, levels)
+        hits, too_full = _hit_cells(cut, by, levels)
     found = _rows_inside(rows, hits, by, value).groupBy(*by, "before", "known_rows", value).agg(F.count(F.lit(1)).alias(ROWS))
     within = Window.partitionBy(*by, "before").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     placed = found.withColumn(BEFORE, F.col("before") + F.coalesce(F.sum(ROWS).over(within), F.lit(0)))
@@ -197,23 +197,21 @@ def _cell_counts(value: str) -> list[Column]:
     return [F.count(F.lit(1)).alias(ROWS), F.min(value).alias("least"), F.max(value).alias("greatest")]
 
 
-def _hit_cells(cells: DataFrame, keys: Sequence[str], levels: Mapping[str, float]) -> DataFrame:
+def _hit_cells(cells: DataFrame, keys: Sequence[str], levels: Mapping[str, float]) -> tuple[DataFrame, bool]:
     """The cells that a wanted position lies in, with the group's rows before them, as a table.
 
     ``ahead`` is the number of rows before the cell that was cut into these, and so tells cut cells apart.
+    Also says whether a cell holds too many rows for one task, and values that can be told apart.
     """
     earlier = Window.partitionBy(*keys, "ahead").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("ahead") + F.coalesce(F.sum(ROWS).over(earlier), F.lit(0))
     placed = cells.withColumn("before", before)
     ends = [at for p in levels.values() for at in _positions(p)]
     hits = placed.where(" or ".join(f"({at} >= before and {at} < before + {ROWS})" for at in ends) or "false")
-    return stage(hits.select(*keys, "before", ROWS, "least", "greatest", "known_rows"), "hit-cells")
-
-
-def _too_full(hits: DataFrame) -> bool:
-    """Whether a cell holds too many rows for one task, and values that can be told apart."""
-    apart = F.col("least").cast("double") < F.col("greatest").cast("double")
-    return not hits.where(apart & (F.col(ROWS) > CELL_ROWS)).isEmpty()
+    full = F.expr(f"max({ROWS} > {CELL_ROWS} and cast(least as double) < cast(greatest as double))")
+    seen = Observation()
+    watched = hits.select(*keys, "before", ROWS, "least", "greatest", "known_rows").observe(seen, full.alias("full"))
+    return stage(watched, "hit-cells"), bool(seen.get["full"])
 
 
 def _rows_inside(rows: DataFrame, hits: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
