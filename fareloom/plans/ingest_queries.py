@@ -29,7 +29,7 @@ from fareloom.sinks.writers import (
     write_parquet,
     write_table,
 )
-from fareloom.sources import files, ingest, layout
+from fareloom.sources import files, ingest, layout, sync
 from fareloom.sources.names import normalize_columns
 from fareloom.sources.schema import align_schema, default_fill, union_by_name
 from fareloom.staging import scratch_path
@@ -268,6 +268,37 @@ def incremental(spark: SparkSession, sf: str) -> DataFrame:
     return _yearly(spark.read.parquet(place[0])).select("*", extra)
 
 
+def _rewrite_in_place(spark: SparkSession, path: str, rows: DataFrame) -> None:
+    """One file's rows under its old name, as a provider reissues a month."""
+    fresh = scratch_path(spark, "reissued")
+    rows.coalesce(1).write.parquet(fresh)
+    written = files.list_files(spark, fresh).first()["path"]
+    old, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, written))
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(old, False)
+    if not fs.rename(new, old):
+        raise OSError(f"cannot replace {path}")
+
+
+def synced(spark: SparkSession, sf: str) -> DataFrame:
+    """All files, then again after those of 1996 were reissued with dearer trips; a third run finds nothing."""
+    root = _land_years(spark, sf)
+    base = scratch_path(spark, "synced")
+    place = (f"{base}/table", f"{base}/log", PICKUP, lineitem_trips(spark, sf).schema)
+    sync.sync_folder(spark, root, *place)
+    for file in files.list_files(spark, f"{root}/load_year=1996").collect():
+        dearer = spark.read.parquet(file["path"]).withColumn("total_amount", F.col("total_amount") + 1)
+        _rewrite_in_place(spark, file["path"], dearer)
+    second = sync.sync_folder(spark, root, *place)
+    third = sync.sync_folder(spark, root, *place)
+    kinds = second.select("change").distinct().collect()
+    return _yearly(spark.read.parquet(place[0])).select(
+        "*",
+        F.lit(",".join(sorted(r["change"] for r in kinds))).alias("changes_in_second_run"),
+        F.lit(third.count()).cast("bigint").alias("files_in_third_run"),
+    )
+
+
 def reloaded(spark: SparkSession, sf: str) -> DataFrame:
     """All files, then some of them a second time: row counts stay."""
     root = _land_years(spark, sf)
@@ -522,6 +553,11 @@ def ingest_queries() -> dict[str, Query]:
             SELECT 'success' AS status, COUNT(*) AS rows, CAST(0 AS BIGINT) AS null_count FROM trips""")),
         "e_incremental_load": Query(incremental, with_trips(f"""
             SELECT *, CAST(0 AS BIGINT) AS files_in_last_load FROM ({YEARLY_SQL})""")),
+        "e_sync_changed": Query(synced, with_trips(f"""
+            , reissued AS (SELECT * REPLACE (total_amount + CASE WHEN {YEAR_SQL} = 1996 THEN 1 ELSE 0 END AS total_amount)
+                           FROM trips)
+            SELECT *, 'changed' AS changes_in_second_run, CAST(0 AS BIGINT) AS files_in_third_run
+            FROM ({YEARLY_SQL.replace("FROM trips", "FROM reissued")})""")),
         "e_idempotent_reload": Query(reloaded, with_trips(YEARLY_SQL)),
         "e_partition_profile": Query(profiled, with_trips(f"""
             SELECT {YEAR_SQL} AS year, {MONTH_SQL} AS month, COUNT(*) AS rows, TRUE AS has_files,

@@ -122,7 +122,9 @@ def _partition_key():
     return F.coalesce(F.col(YEAR) * 100 + F.col(MONTH), F.lit(-1))
 
 
-def reload_sources(new: DataFrame, table: str, pickup: str) -> DataFrame:
+def reload_sources(
+    new: DataFrame, table: str, pickup: str, replaced: DataFrame | None = None
+) -> DataFrame:
     """e_idempotent_reload: put the rows of some source files into a month-partitioned table.
 
     Rows the table already holds from the same ``source_file`` are replaced,
@@ -132,6 +134,9 @@ def reload_sources(new: DataFrame, table: str, pickup: str) -> DataFrame:
     months go to scratch first and from there over the table, because a job
     cannot overwrite what it reads. One publisher at a time.
 
+    ``replaced`` names further source files (column ``source_file``) whose rows
+    go, such as files that have no rows any more.
+
     Returns the affected months with their row counts after the load.
     """
     spark = new.sparkSession
@@ -146,7 +151,10 @@ def reload_sources(new: DataFrame, table: str, pickup: str) -> DataFrame:
     # Months and runs may lack columns that others have; none may get lost on the way back.
     current = spark.read.option("mergeSchema", "true").parquet(table)
     # Staged, so its true (small) size lets Spark broadcast it.
-    sources = stage(incoming.select(SOURCE_FILE).distinct(), "source-names")
+    sources = incoming.select(SOURCE_FILE)
+    if replaced is not None:
+        sources = sources.union(replaced.select(SOURCE_FILE))
+    sources = stage(sources.distinct(), "source-names")
     holding = current.join(sources, SOURCE_FILE, "left_semi").select(_partition_key().alias("k"))
     # Month keys: a few hundred numbers, needed as literals for partition pruning.
     keys = [r["k"] for r in affected.union(holding.distinct()).distinct().collect()]
