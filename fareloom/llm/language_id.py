@@ -32,23 +32,30 @@ def subwords(text: str) -> np.ndarray:
     Everything but letters (and other bytes beyond ASCII) counts as one kind of
     gap; trigrams around a gap's middle are left out.
     """
-    table = np.full(256, 32, dtype=np.uint32)
+    return _buckets(_codes(text))
+
+
+def _codes(text: str) -> np.ndarray:
+    """A code per byte of the text between two gaps; gaps are 32."""
+    table = np.full(256, 32, dtype=np.uint8)
     table[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
     table[128:] = np.arange(128, 256)
-    raw = np.frombuffer(b" " + text.lower().encode("utf-8", "surrogatepass") + b" ", dtype=np.uint8)
-    x = table[raw]
+    return table[np.frombuffer(b" " + text.lower().encode("utf-8", "surrogatepass") + b" ", dtype=np.uint8)]
+
+
+def _buckets(codes: np.ndarray) -> np.ndarray:
+    """The bucket of the trigram around each code but the first and last, gaps left out."""
+    x = codes.astype(np.uint32)
     kept = x[1:-1] != 32
     grams = (x[:-2] | (x[1:-1] << np.uint32(8)) | (x[2:] << np.uint32(16)))[kept]
     return (grams * np.uint32(2654435761)) >> np.uint32(32 - BUCKETS.bit_length() + 1)
 
 
-def bucket_counts(text: str) -> np.ndarray:
-    """How often each bucket occurs; long texts are read in slices whose edges overlap."""
-    step, total = 1 << 20, np.zeros(BUCKETS, np.float32)
-    if len(text) <= step:
-        return np.bincount(subwords(text), minlength=BUCKETS).astype(np.float32)
-    for low in range(0, len(text), step):
-        total += np.bincount(subwords(text[low : low + step]), minlength=BUCKETS)
+def bucket_counts(text: str, step: int = 1 << 20) -> np.ndarray:
+    """How often each bucket occurs; long texts are read in slices, each trigram in the slice of its middle."""
+    codes, total = _codes(text), np.zeros(BUCKETS, np.float32)
+    for low in range(0, len(codes) - 2, step):
+        total += np.bincount(_buckets(codes[low : low + step + 2]), minlength=BUCKETS)
     return total
 
 

@@ -186,14 +186,15 @@ def quality_scores(
     rows = stage(
         docs.select(F.col(doc_id).alias("doc_id"), statistics(F.col(text)).alias("statistics")), "quality-statistics"
     )
-    marks = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("label")).where(learn_from)
-    marks = marks.groupBy("doc_id").agg(F.max("label").alias("label"))
+    # Labels of any type count by their number; what is neither 0 nor 1 goes before the largest is taken.
+    number = F.col(label).try_cast("double")
+    marks = labels.select(F.col(doc_id).alias("doc_id"), number.alias("label")).where(learn_from)
+    marks = marks.where(F.col("label").isin(0.0, 1.0)).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     labelled = rows.join(marks, "doc_id")
     found = moments(labelled, "statistics", "label")
     model = fit(found)
     if model.known:
-        known = labelled.where(F.col("label").isin(0, 1))
-        sample = bounded_sample(known, "label", "doc_id", PER_CLASS).select("label", "statistics").collect()
+        sample = bounded_sample(labelled, "label", "doc_id", PER_CLASS).select("label", "statistics").collect()
         y = np.array([r["label"] for r in sample])
         share = np.array([found[c][0] / max(1, (y == c).sum()) for c in (0, 1)])
         model.calibrate(np.array([r["statistics"] for r in sample]), y, share[y])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +78,28 @@ def test_pipeline_of_hard_rows(spark, hard_documents, no_documents, sf_dir):
             out = stage(spark, docs, sf_dir)
             assert out.columns == docs.columns and out.count() <= docs.count()
         corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count()
+
+
+def test_long_texts_count_as_in_one_piece():
+    rng = np.random.default_rng(2)
+    text = "".join(rng.choice(list("abc é,ß\n語Z"), 4000))
+    naive, padded = np.zeros(language_id.BUCKETS), (" " + text.lower() + " ").encode()
+    codes = [c if c >= 128 or ord("a") <= c <= ord("z") else 32 for c in padded]
+    for a, b, c in zip(codes, codes[1:], codes[2:]):
+        if b != 32:
+            naive[((a | b << 8 | c << 16) * 2654435761 % 2**32) >> (32 - language_id.BUCKETS.bit_length() + 1)] += 1
+    for step in (1, 7, 1000, 1 << 20):
+        assert np.array_equal(language_id.bucket_counts(text, step), naive)
+    assert language_id.bucket_counts("").sum() == 0
+
+
+@pytest.mark.parametrize("kind", ["int", "double", "string", "boolean"])
+def test_quality_labels_of_any_type(spark, documents, kind):
+    docs = documents([(i, ("Good plain words here. " if i % 2 else "xx!! 99 ?? ") * (3 + i % 5), "en") for i in range(60)])
+    marks = spark.createDataFrame([(i, str(i % 2)) for i in range(60)], "doc_id bigint, text string")
+    labels = marks.select("doc_id", F.col("text").cast("int").cast(kind).alias("quality"))
+    if kind != "boolean":  # neither teaches anything nor hides the other label of the document
+        other = [(i, "2") for i in range(60)] + [(0, None)] + ([(1, "good")] if kind == "string" else [])
+        labels = labels.union(spark.createDataFrame(other, "doc_id bigint, l string").select("doc_id", F.col("l").cast(kind)))
+    rows = quality.quality_scores(docs, labels, F.lit(True)).collect()
+    assert sum((r.score > 0.5) == bool(r.doc_id % 2) for r in rows) > 55
