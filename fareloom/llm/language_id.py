@@ -20,8 +20,10 @@ DIMENSIONS = 16
 #: Labelled documents of each language that the fit uses at most.
 PER_LANGUAGE = 600
 EPOCHS = 12
-#: Share of the calibration documents whose confidence may lie below the limit of rejection.
+#: Share of the calibration documents below the point from which a limit of rejection is taken.
 REJECTED_SHARE = 0.001
+#: Part of every language's subwords that may be any bucket at all.
+STRAY = 0.02
 
 _LETTER = regex.compile(r"\p{L}")
 
@@ -72,6 +74,10 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float = 1.0
     limit: float = 0.0
+    #: For each language, the log of how much likelier than by chance each bucket is in it.
+    profiles: np.ndarray | None = None
+    #: For each language, the least mean of its profile over a text that is not rejected.
+    lowest: np.ndarray | None = None
 
     def logits(self, counts: np.ndarray) -> np.ndarray:
         """Rows of bucket counts to logits: the average embedding through the linear layer."""
@@ -81,13 +87,26 @@ class LanguageModel:
     def probabilities(self, counts: np.ndarray) -> np.ndarray:
         return _softmax(self.logits(counts) / self.temperature)
 
+    def typical(self, counts: np.ndarray) -> np.ndarray:
+        """Rows of bucket counts to the mean of each language's profile over them."""
+        return counts @ self.profiles.T / np.maximum(counts.sum(axis=1, keepdims=True), 1.0)
+
+    def rejects(self, counts: np.ndarray, best: np.ndarray, sure: np.ndarray) -> np.ndarray:
+        """Whether a text is told with too little confidence, or unlike what its language was learned from."""
+        unlike = self.typical(counts)[np.arange(len(best)), best] < self.lowest[best]
+        return (sure < self.limit) | unlike
+
 
 def fit_model(counts: list[np.ndarray], labels: list[str], seed: int = 7) -> LanguageModel:
     """Stochastic gradient descent on four fifths of the documents; the rest calibrate.
 
-    Calibration picks the temperature of least log loss, and as the limit of
-    rejection the confidence that all but REJECTED_SHARE of the calibration
-    documents reach, never above one half.
+    Calibration picks the temperature of least log loss and two limits of
+    rejection, each midway between what all but REJECTED_SHARE of the rightly
+    told calibration documents reach and what a text gets that tells nothing:
+    for the confidence an even chance, for the likeness to a language the mean
+    of its profile over all buckets. The second limit rejects scripts and
+    languages that were not learned, and letters in no order, of which a
+    softmax may be quite sure.
     """
     languages = sorted(set(labels))
     y = np.array([languages.index(x) for x in labels], dtype=np.int64)
@@ -100,11 +119,15 @@ def fit_model(counts: list[np.ndarray], labels: list[str], seed: int = 7) -> Lan
         np.zeros((DIMENSIONS, len(languages)), np.float32),
         np.zeros(len(languages), np.float32),
     )
+    order = rng.permutation(len(y))
+    held, train = order[: len(y) // 5], order[len(y) // 5 :]
+    shares = [x[train[y[train] == k]].mean(axis=0) if (y[train] == k).any() else np.zeros(BUCKETS) for k in range(len(languages))]
+    model.profiles = np.log((1 - STRAY) * BUCKETS * np.array(shares).reshape(-1, BUCKETS) + STRAY).astype(np.float32)
+    model.lowest = model.profiles.mean(axis=1)
     if len(languages) < 2:
+        _set_limits(model, x[held], y[held])
         return model
     model.weights[:] = rng.normal(0, 0.1, model.weights.shape)
-    order = rng.permutation(len(y))
-    held, train = order[: len(y) // 5], order[len(y) // 5 :]
     batch = 16
     for epoch in range(EPOCHS):
         rate = 2.0 * (1 - epoch / EPOCHS)
@@ -125,11 +148,24 @@ def fit_model(counts: list[np.ndarray], labels: list[str], seed: int = 7) -> Lan
         grid = np.geomspace(0.2, 5, 33)
         losses = [-np.log(_softmax(logits / t)[np.arange(len(held)), y[held]] + 1e-12).mean() for t in grid]
         model.temperature = float(grid[int(np.argmin(losses))])
-        sure = np.sort(model.probabilities(x[held]).max(axis=1))
-        model.limit = float(min(0.5, sure[int(REJECTED_SHARE * len(sure))]))
+        _set_limits(model, x[held], y[held])
     return model
 
 
+def _set_limits(model: LanguageModel, x: np.ndarray, y: np.ndarray) -> None:
+    if not len(y):
+        return
+    chances = model.probabilities(x)
+    right = np.flatnonzero(chances.argmax(axis=1) == y)
+    if not len(right):
+        return
+    reached = np.quantile(chances[right, y[right]], REJECTED_SHARE)
+    model.limit = float((reached + 1 / len(model.languages)) / 2)
+    typical, blind = model.typical(x[right])[np.arange(len(right)), y[right]], model.profiles.mean(axis=1)
+    for k in np.unique(y[right]):
+        model.lowest[k] = (np.quantile(typical[y[right] == k], REJECTED_SHARE) + blind[k]) / 2
+
+
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", **settings) -> LanguageModel:
     """Fit on at most PER_LANGUAGE documents of each language; their counts come to the driver, not their texts."""
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).alias("key"))
@@ -163,14 +199,14 @@ def identify(text: Column, model: LanguageModel) -> Column:
     """struct<lang, score, rejected> of whole texts.
 
     ``lang`` is ``und`` with score 0 for null texts and texts without a letter,
-    or if no language was learned; these are rejected, and so is a confidence
-    below the model's limit.
+    or if no language was learned; these are rejected, and so are texts below
+    the model's limit of confidence or of likeness to their language.
     """
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts(batches):
-            langs, scores = [], []
+            langs, scores, out = [], [], []
             whole = as_text(texts)
             for low in range(0, len(whole), 256):
                 part = whole[low : low + 256]
@@ -182,10 +218,11 @@ def identify(text: Column, model: LanguageModel) -> Column:
                     sure = chances[np.arange(len(part)), best]
                     langs += [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered)]
                     scores += [float(s) if ok else 0.0 for s, ok in zip(sure, lettered)]
+                    out += [bool(r) or not ok for r, ok in zip(model.rejects(counts, best, sure), lettered)]
                 else:
                     langs += [UNKNOWN] * len(part)
                     scores += [0.0] * len(part)
-            out = [l == UNKNOWN or s < model.limit for l, s in zip(langs, scores)]
+                    out += [True] * len(part)
             yield pa.StructArray.from_arrays(
                 [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())],
                 fields=list(kind),

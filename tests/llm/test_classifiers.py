@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fareloom.llm import language_id, quality, queries, sampling, toxicity
+from fareloom.llm.text import held_out
 
 SF = "/root/testdata/sf0.1"
 
@@ -103,3 +104,34 @@ def test_quality_labels_of_any_type(spark, documents, kind):
         labels = labels.union(spark.createDataFrame(other, "doc_id bigint, l string").select("doc_id", F.col("l").cast(kind)))
     rows = quality.quality_scores(docs, labels, F.lit(True)).collect()
     assert sum((r.score > 0.5) == bool(r.doc_id % 2) for r in rows) > 55
+
+
+#: Texts in languages and scripts that the model of the test below has not learned, and letters in no order.
+UNLEARNED = [
+    "\u8fd9\u662f\u4e00\u4e2a\u5173\u4e8e\u5929\u6c14\u548c\u57ce\u5e02\u751f\u6d3b\u7684\u77ed\u6587" * 4,
+    "\u042d\u0442\u043e \u043a\u043e\u0440\u043e\u0442\u043a\u0438\u0439 \u0442\u0435\u043a\u0441\u0442 \u043e \u043f\u043e\u0433\u043e\u0434\u0435 \u0438 \u0436\u0438\u0437\u043d\u0438 \u0432 \u0433\u043e\u0440\u043e\u0434\u0435 " * 4,
+    "xq zvkj wpqf hjkx bvcz qqwx zzkv jfqp xkwz vbqj " * 6,
+]
+
+
+@pytest.mark.parametrize("languages", [["en", "de"], ["de", "en", "es", "fr"]])
+def test_unlearned_scripts_and_gibberish_are_rejected(spark, documents, languages):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where(F.col("lang").isin(languages))
+    fold = held_out(F.col("doc_id"), 4, 2)
+    model = language_id.learn(docs.where(~fold))
+    strange = language_id.identify_languages(documents([(i, t, None) for i, t in enumerate(UNLEARNED)]), model).collect()
+    assert all(r.rejected for r in strange), strange
+    clean = language_id.identify_languages(docs.where(fold), model).where("score > 0").collect()
+    assert sum(r.rejected for r in clean) <= 0.001 * len(clean), [r for r in clean if r.rejected][:5]
+
+
+def test_model_by_plain_arithmetic():
+    rng = np.random.default_rng(1)
+    counts = rng.poisson(0.02, (3, language_id.BUCKETS)).astype(np.float32)
+    model = language_id.fit_model(list(rng.poisson(0.05, (30, language_id.BUCKETS)).astype(np.float32)), ["a", "b", "c"] * 10)
+    for row, chances in zip(counts, model.probabilities(counts)):
+        seen = [b for b in range(language_id.BUCKETS) for _ in range(int(row[b]))]
+        inside = sum(model.embedding[b].astype(float) for b in seen) / len(seen)
+        z = [(float(inside @ model.weights[:, k]) + float(model.bias[k])) / model.temperature for k in range(3)]
+        e = [np.exp(v - max(z)) for v in z]
+        assert np.allclose(chances, np.array(e) / sum(e), atol=1e-4)
