@@ -18,7 +18,7 @@ from fareloom.llm.language_id import drop_unidentified, learn
 from fareloom.llm.line_dedup import line_dedup
 from fareloom.llm.queries import TOKENIZER, tokenized
 from fareloom.llm.simhash_dedup import drop_near_duplicates
-from fareloom.llm.text import held_out
+from fareloom.llm.text import columns_of, held_out
 from fareloom.staging import stage
 
 
@@ -32,7 +32,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     done = line_dedup(docs)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return done.select(*docs.columns)
+    return done.select(*columns_of(docs))
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -116,6 +116,23 @@ class ItemIndex:
         return row[keep], mine[item[keep]], bits[keep]
 
 
+def _window_starts(places: np.ndarray, before: int, last: int) -> np.ndarray:
+    """Every window start from 0 to ``last`` at most ``before`` words ahead of one of the sorted ``places``, once."""
+    low, high = np.maximum(places - before, 0), np.minimum(places, last)
+    gaps = np.flatnonzero(low[1:] > high[:-1] + 1)
+    first, final = low[np.append(0, gaps + 1)], high[np.append(gaps, len(high) - 1)]
+    return np.concatenate([np.arange(a, b + 1) for a, b in zip(first.tolist(), final.tolist())])
+
+
+def _spans(starts: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """Sorted ``starts`` in parts that each reach over fewer than ``width`` words, however far apart they lie."""
+    at = 0
+    while at < len(starts):
+        end = int(np.searchsorted(starts, starts[at] + width))
+        yield starts[at:end]
+        at = end
+
+
 def _leaks_in(index: ItemIndex, words: np.ndarray, hits: dict[int, set], spell, threshold: float) -> list[tuple]:
     """Best window per item in one document. ``hits``: item length -> places of shingles that such items hold."""
     best: dict[int, tuple] = {}
@@ -125,11 +142,10 @@ def _leaks_in(index: ItemIndex, words: np.ndarray, hits: dict[int, set], spell,
         if len(words) < size:
             continue
         last = len(words) - width
-        reach = np.unique(np.concatenate([np.arange(p - (width - size), p + 1) for p in sorted(places)]))
-        starts = np.unique(np.clip(reach, 0, last))
+        starts = _window_starts(np.array(sorted(places), dtype=np.int64), width - size, last)
         low, per = int(starts[0]), width - size + 1
         grams = shingle_hashes(words[low : int(starts[-1]) + width], size)
-        for part in np.array_split(starts, -(-len(starts) // 4096)):
+        for part in _spans(starts, 4096):
             base = int(part[0]) - low
             votes = _votes(grams[base : int(part[-1]) - low + per])
             sums = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(votes, axis=0, dtype=np.int32)))

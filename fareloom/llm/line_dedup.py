@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fareloom.llm.text import BLANKS, as_bytes, parts
+from fareloom.llm.text import BLANKS, as_bytes, parts, whole_row
 from fareloom.staging import stage
 
 MIN_CHARS = 40
@@ -116,7 +116,7 @@ def line_dedup(
         F.col(doc_id).alias("_id"),
         F.xxhash64(text).alias("_digest"),
         F.col(text).alias("_text"),
-        F.struct(*docs.columns).alias("_row"),
+        whole_row(docs).alias("_row"),
     )
     joined = whole.join(
         lost.select(F.col("doc_id").alias("_lost_id"), F.col("digest").alias("_lost_digest"), F.col("keys").alias("_lost")),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fareloom.llm.components import components
-from fareloom.llm.text import as_bytes, parts
+from fareloom.llm.text import as_bytes, parts, whole_row
 from fareloom.staging import stage
 
 SHINGLE_WORDS = 4
@@ -284,25 +284,29 @@ def drop_near_duplicates(
     """``docs`` with one row of each component, whatever the ids: of those of the smallest id that of the smallest print.
 
     An id may repeat with other texts, whose rows are judged each by its own
-    component. Rows without an id are kept only where their whole component has
-    none, one for each.
+    component; of several rows with the id and print to keep, that of the
+    smallest text stays. Rows without an id are kept only where their whole
+    component has none, one for each. Extra columns may have any names.
     """
     found = stage(_rooted_rows(docs, text, doc_id, shingle_words, max_bits), "simhash-found")
     kept = (
         found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
         .groupBy("root")
-        .agg(F.min("component_id").alias("_kept"), F.min("print").alias("_kept_print"))
+        .agg(F.min("component_id").alias("kept"), F.min("print").alias("kept_print"))
         .drop("root")
     )
-    # Only where an id has several fingerprints, or is missing, the text is read again to tell its rows apart.
-    several = found.where("doc_id is not null").groupBy("doc_id").agg((F.min("print") != F.max("print")).alias("several"))
-    several = stage(several.where("several").select(F.col("doc_id").alias("_several")), "simhash-clashing-ids")
-    kept = stage(kept.join(several, F.col("_kept") == F.col("_several"), "left"), "simhash-kept")
-    plain = kept.where("_kept is not null and _several is null").select("_kept").distinct()
-    clear = docs.join(plain, F.col(doc_id) == F.col("_kept"), "left_semi").dropDuplicates([doc_id])
-    unclear = docs.where(F.col(doc_id).isNull()).unionByName(
-        docs.join(several, F.col(doc_id) == F.col("_several"), "left_semi")
-    ).withColumn("_print", simhash_column(F.col(text), shingle_words))
-    told = kept.where("_kept is null or _several is not null").select("_kept", "_kept_print")
-    same = F.col(doc_id).eqNullSafe(F.col("_kept")) & (F.col("_print") == F.col("_kept_print"))
-    return clear.unionByName(unclear.join(told, same, "left_semi").dropDuplicates([doc_id, "_print"]).drop("_print"))
+    # Only where an id repeats, or is missing, the text is read again to tell its rows apart.
+    repeated = found.where("doc_id is not null").groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("several"))
+    repeated = stage(repeated.where("several").select(F.col("doc_id").alias("repeated")), "simhash-repeated-ids")
+    kept = stage(kept.join(repeated, F.col("kept") == F.col("repeated"), "left"), "simhash-kept")
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), whole_row(docs).alias("row"))
+    plain = kept.where("kept is not null and repeated is null").select("kept")
+    clear = rows.join(plain, F.col("id") == F.col("kept"), "left_semi").select("row")
+    unclear = rows.where("id is null").unionByName(rows.join(repeated, F.col("id") == F.col("repeated"), "left_semi"))
+    unclear = unclear.withColumn("print", simhash_column(F.col("text"), shingle_words))
+    told = kept.where("kept is null or repeated is not null").select("kept", "kept_print")
+    same = F.col("id").eqNullSafe(F.col("kept")) & (F.col("print") == F.col("kept_print"))
+    # Rows that also share the text are told apart by all they hold.
+    first = F.min_by("row", F.struct("text", F.to_json("row")))
+    one = unclear.join(told, same, "left_semi").groupBy("id", "print").agg(first.alias("row")).select("row")
+    return clear.unionByName(one).select(*(F.col("row")[c].alias(c) for c in docs.columns))

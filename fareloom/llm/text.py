@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space of the line and word rules: space, tab, line feed, vertical tab, form feed, return.
@@ -20,6 +20,16 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns by name, whatever characters the names hold."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in df.columns]
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that helper columns beside it clash with none of them."""
+    return F.struct(*columns_of(df))
+
+
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """True where crc32 of the id as text falls into ``fold``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold

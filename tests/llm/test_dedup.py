@@ -183,3 +183,59 @@ def test_word_hashes_do_not_depend_on_place():
     assert h[1] == h[2] and len(set(h.tolist())) == 3 and first.first.tolist() == [0, 2, 2, 4]
     assert [len(t) for _, t in blocks([b"x" * 10] * 5, 22)] == [2, 2, 1]
     assert np.array_equal(hasher.read([b"beta"]).hashes(), h[1:2])
+
+
+def odd_columns(df):
+    """Columns that operators might call theirs, and names that need quoting."""
+    names = ["_print", "_kept", "_several", "_id", "_row", "id", "row", "kept", "repeated", "root", "a.b", "c`d", "e f"]
+    return df.select("*", *(F.lit(n).alias(n) for n in names)), names
+
+
+def test_extra_columns_of_any_name(documents):
+    rng = random.Random(4)
+    a, b = prose(rng, 300), prose(rng, 300)
+    docs, names = odd_columns(documents([(1, a, "en"), (2, a, "en"), (3, b, "en"), (3, a, "en"), (None, "alone", "en"), (4, None, "en")]))
+    kept = simhash_dedup.drop_near_duplicates(docs)
+    rows = kept.collect()
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0) for r in rows) == [0, 1, 3, 4]
+    lines = line_dedup.line_dedup(docs)
+    assert lines.columns == [*docs.columns, "line_counts"]
+    assert all(r[n] == n for r in rows + lines.collect() for n in names)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_of_rows_with_one_id_and_print_the_smallest_text_stays(documents, seed):
+    rng = random.Random(9)
+    text = prose(rng, 50)
+    rows = [(1, text + tail, "en") for tail in ("  ", "", "\n", " ", "\t")] * 2
+    got = simhash_dedup.drop_near_duplicates(documents(rows).repartition(seed)).collect()
+    assert [r.text for r in got] == [text]
+
+
+def test_window_starts_by_brute_force():
+    rng = random.Random(6)
+    for _ in range(200):
+        last, before = rng.randrange(60), rng.randrange(12)
+        places = sorted(rng.sample(range(last + before + 1), rng.randint(1, min(6, last + before + 1))))
+        want = {s for p in places for s in range(p - before, p + 1) if 0 <= s <= last}
+        starts = decontaminate._window_starts(np.array(places), before, last)
+        assert starts.tolist() == sorted(want)
+        spans = list(decontaminate._spans(starts, 5))
+        assert np.concatenate(spans).tolist() == starts.tolist() and all(s[-1] - s[0] < 5 for s in spans)
+
+
+def test_repetitive_text_takes_bounded_memory(documents, spark):
+    import tracemalloc
+
+    rng = random.Random(11)
+    item = prose(rng, 2000)
+    index = decontaminate.ItemIndex([(1, item)], 5)
+    run = " ".join(item.split()[40:60])
+    words = ((run + " ") * 3000).encode().split()
+    found = WordHasher().read([b" ".join(words)])
+    at, _ = index.found(decontaminate.shingle_hashes(found.hashes(), 5))
+    tracemalloc.start()
+    leaks = decontaminate._leaks_in(index, found.hashes(), {2000: set(at.tolist())}, lambda a, b: words[a:b], 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert leaks == [] and len(at) > 40_000 and peak < 100 << 20
