@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +13,10 @@ from fareloom.functions.numbers import fixed, from_fixed, mean_of, round2, total
 from fareloom.functions.times import day_of, year_of
 from fareloom.operators.corpus import TRIPS, rows
 from fareloom.operators.selection import percentile_of
+from fareloom.staging import stage
+
+# Helper columns of ``compare_rows``; the side is 1 for a row of the left copy, -1 for one of the right.
+SIDE, CELL, LEFT, RIGHT = "__side", "__cell", "__left", "__right"
 
 
 def table_fingerprint(trips: DataFrame, c: TripColumns = TRIPS) -> DataFrame:
@@ -121,6 +125,52 @@ def compare_tables(left: DataFrame, right: DataFrame, c: TripColumns = TRIPS) ->
     )
 
 
+def compare_rows(left: DataFrame, right: DataFrame, keys: Sequence[str], cells: int = 1 << 16) -> DataFrame:
+    """v_compare_rows: the keys under which two copies hold different rows, whatever their totals say.
+
+    Both copies are first summed up by cell, a hash of the key: row count and
+    the sum of a 64-bit digest of whole rows, which no order of rows changes.
+    Cells that agree are done, so equal copies cost one scan each and a shuffle
+    of at most ``cells`` sums a task. The rows of the others are cut into as
+    many cells once more, by another hash, and only those of differing cells
+    are compared as rows; repeated rows count as often as they occur.
+
+    (keys, status, left_rows, right_rows, columns): rows of the key that the
+    other side lacks, and, where each side has one of them, the names of the
+    columns that differ, in table order and separated by commas. ``status`` is
+    ``left``, ``right`` or ``changed``. Columns are matched by name.
+    """
+    names = left.columns
+    if sorted(names) != sorted(right.columns):
+        raise ValueError(f"columns differ: {sorted(set(names) ^ set(right.columns))}")
+    sides = left.select(*names, F.lit(1).alias(SIDE)).unionByName(right.select(*names, F.lit(-1).alias(SIDE)))
+    for level in ("compare-cells", "compare-inner-cells"):
+        cell = F.pmod(F.xxhash64(F.lit(level), *keys), F.lit(cells)).cast("int")
+        digest = F.xxhash64(*names)
+        # Halves of the digest: sums of whole numbers that cannot overflow below 2^31 rows in a cell.
+        high, low = F.shiftright(digest, 32), digest.bitwiseAND(F.lit(0xFFFFFFFF))
+        sums = sides.groupBy(cell.alias(CELL)).agg(
+            F.sum(SIDE).alias("n"), F.sum(F.col(SIDE) * high).alias("high"), F.sum(F.col(SIDE) * low).alias("low")
+        )
+        differing = stage(sums.where("n != 0 or high != 0 or low != 0").select(CELL), level)
+        # Staged, so its true (small) size lets Spark broadcast it.
+        sides = sides.join(differing, cell == F.col(CELL), "left_semi")
+    lone = sides.groupBy(*names).agg(F.sum(SIDE).alias(SIDE)).where(F.col(SIDE) != 0)
+    rest = [n for n in names if n not in keys]
+    values = F.struct(*rest) if rest else F.struct(F.lit(None).alias("none"))
+    found = lone.groupBy(*keys).agg(
+        F.sum(F.greatest(SIDE, F.lit(0))).alias("left_rows"),
+        F.sum(F.greatest(-F.col(SIDE), F.lit(0))).alias("right_rows"),
+        F.max(F.when(F.col(SIDE) > 0, values)).alias(LEFT),
+        F.max(F.when(F.col(SIDE) < 0, values)).alias(RIGHT),
+    )
+    status = F.when(F.col("right_rows") == 0, "left").when(F.col("left_rows") == 0, "right").otherwise("changed")
+    unlike = [F.when(~F.col(LEFT)[n].eqNullSafe(F.col(RIGHT)[n]), n) for n in rest]
+    both_one = (F.col("left_rows") == 1) & (F.col("right_rows") == 1)
+    changed = F.when(both_one, F.concat_ws(",", *unlike)).otherwise("")
+    return found.select(*keys, status.alias("status"), "left_rows", "right_rows", changed.alias("columns"))
+
+
 def group_key_diagnostics(left: DataFrame, right: DataFrame, c: TripColumns = TRIPS) -> DataFrame:
     """v_group_key_diagnostics: distinct grouping keys of two copies, to find where they differ."""
 

@@ -18,7 +18,7 @@ from fareloom.operators import analytics as a
 from fareloom.operators import quality as v
 from fareloom.operators.corpus import rows
 from fareloom.operators.dedup import drop_keyed_duplicates
-from fareloom.operators.versions import current_rows, open_version, rows_as_of, with_validity
+from fareloom.operators.versions import append_version, current_rows, open_version, read_version, rows_as_of, with_validity
 from fareloom.plans.bindings import EVENT_TRIPS_SQL, event_trips, lineitem_trips, table
 from fareloom.plans.corpus_queries import DAY, REVENUE
 from fareloom.plans.entry import Query, dec_avg, on_lineitem, r2, with_trips
@@ -465,6 +465,40 @@ TEMPORAL_SQL = f"""
     FROM v GROUP BY 1, 2, 3"""
 
 
+def logged_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``temporal``, but both writers open at the same time; the later load counts."""
+    base = scratch_path(spark, "version-log")
+    trips = lineitem_trips(spark, sf).select(PICKUP, "total_amount", year_of(PICKUP).alias("load_year"))
+    small = F.col("load_year").isin(1997, 1998) & (F.col("total_amount") >= 20000)
+    append_version(trips, base, ["load_year"], "2024-01-01", "worker_a")
+    append_version(trips.where(small), base, ["load_year"], "2024-01-01", "worker_b")
+    append_version(trips.where("load_year = 1996"), base, ["load_year"], "2024-03-01", "worker_c")
+
+    def count(df: DataFrame, view: str) -> DataFrame:
+        return df.groupBy("load_year", "writer_id").agg(
+            F.lit(view).alias("view"), rows().alias("trips"), total_of("total_amount").alias("revenue")
+        )
+
+    return union_by_name(
+        count(read_version(spark, base, ["load_year"]), "current"),
+        count(read_version(spark, base, ["load_year"], "2024-02-01"), "february"),
+    )
+
+
+LOGGED_SQL = f"""
+    , t AS (SELECT {YEAR_SQL} AS load_year, total_amount FROM trips)
+    , w AS (SELECT *, load_year IN (1997, 1998)
+                      AND max(total_amount) OVER (PARTITION BY load_year) >= 20000 AS again FROM t)
+    , k AS (SELECT load_year, total_amount, CASE WHEN again THEN 'worker_b' ELSE 'worker_a' END AS writer_id
+            FROM w WHERE NOT again OR total_amount >= 20000)
+    , v AS (SELECT 'february' AS view, * FROM k
+            UNION ALL
+            SELECT 'current', load_year, total_amount,
+                   CASE WHEN load_year = 1996 THEN 'worker_c' ELSE writer_id END FROM k)
+    SELECT load_year, writer_id, view, COUNT(*) AS trips, {REVENUE} AS revenue
+    FROM v GROUP BY 1, 2, 3"""
+
+
 def streamed_files(spark: SparkSession, sf: str) -> DataFrame:
     """Two rounds over a growing folder: the second takes only the files that are new."""
     base = scratch_path(spark, "stream-files")
@@ -507,6 +541,69 @@ def streamed_daily(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{base}/table").select("day", "trips", "avg_fare", "revenue")
 
 
+def _late_rounds(df: DataFrame, ts: str) -> list[DataFrame]:
+    """Newest rows first, then the oldest, far behind any delay, then all of them once more."""
+    return [df.where(F.col(ts) >= ntz("2024-01-20")), df.where(F.col(ts) < ntz("2024-01-10")), df]
+
+
+def streamed_late(spark: SparkSession, sf: str) -> DataFrame:
+    base = scratch_path(spark, "stream-late")
+    events = table(spark, sf, "events")
+    for part in _late_rounds(events, "ts"):
+        part.write.mode("append").parquet(f"{base}/landing")
+        stream = streams.file_stream(spark, f"{base}/landing", events.schema)
+        streams.publish_events(stream, ["event_id"], "ts", f"{base}/table", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/table").groupBy("event_type").agg(
+        rows().alias("n"), F.count_distinct("event_id").alias("ids"), total_of("value").alias("value")
+    )
+
+
+def streamed_late_daily(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row once, the oldest after the newest."""
+    base = scratch_path(spark, "stream-late-daily")
+    trips = event_trips(spark, sf).select(PICKUP, "total_amount")
+    newest, oldest, _ = _late_rounds(trips, PICKUP)
+    between = trips.where((F.col(PICKUP) >= ntz("2024-01-10")) & (F.col(PICKUP) < ntz("2024-01-20")))
+    for part in (newest, oldest, between.union(trips.where(F.col(PICKUP).isNull()))):
+        part.write.mode("append").parquet(f"{base}/landing")
+        stream = streams.file_stream(spark, f"{base}/landing", trips.schema)
+        streams.publish_daily_parts(stream, f"{base}/table", f"{base}/checkpoint")
+    return streams.daily_of_parts(spark.read.parquet(f"{base}/table"))
+
+
+LINE_COLUMNS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"]
+
+
+def compared_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """A copy in which the first two lines of some orders changed places: all totals agree."""
+    lines = table(spark, sf, "lineitem").select(*LINE_COLUMNS)
+    moved = (F.col("l_orderkey") % 100 == 0) & (F.col("l_linenumber") <= 2)
+    line = F.when(moved, 3 - F.col("l_linenumber")).otherwise(F.col("l_linenumber"))
+    copy = lines.withColumn("l_linenumber", line.cast(lines.schema["l_linenumber"].dataType))
+    return v.compare_rows(lines, copy, ["l_orderkey", "l_linenumber"])
+
+
+_COMPARED = ", ".join(LINE_COLUMNS)
+_UNLIKE = ", ".join(
+    f"CASE WHEN min({c}) FILTER (side > 0) IS DISTINCT FROM min({c}) FILTER (side < 0) THEN '{c}' END"
+    for c in LINE_COLUMNS[2:]
+)
+COMPARED_SQL = f"""
+    WITH a AS (SELECT {_COMPARED} FROM lineitem)
+    , b AS (SELECT * REPLACE (CASE WHEN l_orderkey % 100 = 0 AND l_linenumber <= 2
+                              THEN 3 - l_linenumber ELSE l_linenumber END AS l_linenumber) FROM a)
+    , d AS (SELECT *, 1 AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)
+            UNION ALL SELECT *, -1 FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a))
+    , g AS (SELECT l_orderkey, l_linenumber, COUNT(*) FILTER (side > 0) AS left_rows,
+                   COUNT(*) FILTER (side < 0) AS right_rows, concat_ws(',', {_UNLIKE}) AS names
+            FROM d GROUP BY 1, 2)
+    SELECT l_orderkey, CAST(l_linenumber AS INTEGER) AS l_linenumber,
+           CASE WHEN right_rows = 0 THEN 'left' WHEN left_rows = 0 THEN 'right' ELSE 'changed' END AS status,
+           left_rows, right_rows,
+           CASE WHEN left_rows = 1 AND right_rows = 1 THEN names ELSE '' END AS columns
+    FROM g"""
+
+
 FINGERPRINT = f"""
     SELECT COUNT(*) AS row_count, COUNT(DISTINCT VendorID) AS vendors,
            MIN(tpep_pickup_datetime) AS min_date, MAX(tpep_pickup_datetime) AS max_date,
@@ -654,4 +751,12 @@ def ingest_queries() -> dict[str, Query]:
         "r_stream_daily": Query(streamed_daily, with_trips(f"""
             SELECT {DAY} AS day, COUNT(*) AS trips, {dec_avg('total_amount')} AS avg_fare, {REVENUE} AS revenue
             FROM trips GROUP BY 1""", EVENT_TRIPS_SQL)),
+        "r_temporal_log": Query(logged_versions, with_trips(LOGGED_SQL)),
+        "r_stream_late": Query(streamed_late, """
+            SELECT event_type, COUNT(*) AS n, COUNT(DISTINCT event_id) AS ids,
+                   CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value FROM events GROUP BY 1"""),
+        "r_stream_late_daily": Query(streamed_late_daily, with_trips(f"""
+            SELECT {DAY} AS day, COUNT(*) AS trips, {dec_avg('total_amount')} AS avg_fare, {REVENUE} AS revenue
+            FROM trips GROUP BY 1""", EVENT_TRIPS_SQL)),
+        "v_compare_rows": Query(compared_rows, COMPARED_SQL),
     }
