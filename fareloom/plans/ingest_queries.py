@@ -29,7 +29,7 @@ from fareloom.sinks.writers import (
     write_parquet,
     write_table,
 )
-from fareloom.sources import files, ingest, layout, sync
+from fareloom.sources import daily, files, ingest, layout, sync
 from fareloom.sources.names import normalize_columns
 from fareloom.sources.schema import align_schema, default_fill, union_by_name
 from fareloom.staging import scratch_path
@@ -93,13 +93,15 @@ def _land_generations(spark: SparkSession, sf: str) -> str:
 def _land_years(spark: SparkSession, sf: str) -> str:
     """lineitem trips as one folder of files per year."""
     root = scratch_path(spark, "years")
-    trips = lineitem_trips(spark, sf)
-    trips.withColumn("load_year", F.year(PICKUP)).hint("rebalance", "load_year").write.partitionBy(
-        "load_year"
-    ).parquet(root)
+    _add_years(lineitem_trips(spark, sf), root)
     return root
 
 
+def _add_years(trips: DataFrame, root: str) -> None:
+    by_year = trips.withColumn("load_year", F.year(PICKUP)).hint("rebalance", "load_year")
+    by_year.write.mode("append").partitionBy("load_year").parquet(root)
+
+
 def _yearly(df: DataFrame) -> DataFrame:
     return df.groupBy(year_of(PICKUP).alias("year")).agg(
         rows().alias("trips"), total_of("total_amount").alias("revenue")
@@ -147,6 +149,31 @@ def hive_totals(spark: SparkSession, sf: str) -> DataFrame:
     ).agg(rows().alias("trips"), total_of("total_amount").alias("revenue"))
 
 
+def months_replaced(spark: SparkSession, sf: str) -> DataFrame:
+    """All months written, then the months of 1996 once more with fewer rows; per folder what it holds."""
+    root = _hive_copy(spark, sf)
+    trips = lineitem_trips(spark, sf)
+    longer = trips.where((F.year(PICKUP) == 1996) & (F.col("trip_distance") >= 25))
+    short = longer.withColumn("tip_amount", F.when(F.col("VendorID") > 1, F.col("tip_amount")))
+    write_hive_partitioned(short, root, PICKUP, codec="gzip", sort=["VendorID"])
+    kept = files.scan_hive(spark, root)
+    return kept.groupBy(F.col("year").cast("bigint").alias("year"), F.col("month").cast("bigint").alias("month")).agg(
+        rows().alias("trips"),
+        total_of("total_amount").alias("revenue"),
+        (rows() - F.count("tip_amount")).alias("nulls"),
+        F.min(PICKUP).alias("first_pickup"),
+        F.max(PICKUP).alias("last_pickup"),
+    )
+
+
+MONTHS_REPLACED_SQL = f"""
+    , kept AS (SELECT * REPLACE (CASE WHEN {YEAR_SQL} <> 1996 OR VendorID > 1 THEN tip_amount END AS tip_amount)
+               FROM trips WHERE {YEAR_SQL} <> 1996 OR trip_distance >= 25)
+    SELECT {YEAR_SQL} AS year, {MONTH_SQL} AS month, COUNT(*) AS trips, {REVENUE} AS revenue,
+           COUNT(*) - COUNT(tip_amount) AS nulls,
+           MIN(tpep_pickup_datetime) AS first_pickup, MAX(tpep_pickup_datetime) AS last_pickup
+    FROM kept GROUP BY 1, 2"""
+
 HIVE_SQL = f"""
     SELECT {YEAR_SQL} AS year, {MONTH_SQL} AS month, COUNT(*) AS trips, {REVENUE} AS revenue
     FROM trips GROUP BY 1, 2"""
@@ -299,6 +326,28 @@ def synced(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def summarised_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The years up to 1996 first, then the later ones, and 1996 reissued; a third run reads nothing."""
+    base = scratch_path(spark, "daily-files")
+    root, trips = f"{base}/files", lineitem_trips(spark, sf)
+    early = F.col(PICKUP) < ntz("1997-01-01")
+    place = (f"{base}/parts", f"{base}/log", trips.schema)
+    _add_years(trips.where(early), root)
+    daily.refresh_daily_parts(spark, root, *place)
+    _add_years(trips.where(~early), root)
+    for file in files.list_files(spark, f"{root}/load_year=1996").collect():
+        dearer = spark.read.parquet(file["path"]).withColumn("total_amount", F.col("total_amount") + 1)
+        _rewrite_in_place(spark, file["path"], dearer)
+    second = daily.refresh_daily_parts(spark, root, *place)
+    third = daily.refresh_daily_parts(spark, root, *place)
+    kinds = second.select("change").distinct().collect()
+    return daily.daily_of_files(daily.read_daily_parts(spark, place[0])).select(
+        "*",
+        F.lit(",".join(sorted(r["change"] for r in kinds))).alias("changes_in_second_run"),
+        F.lit(third.count()).cast("bigint").alias("files_in_third_run"),
+    )
+
+
 def reloaded(spark: SparkSession, sf: str) -> DataFrame:
     """All files, then some of them a second time: row counts stay."""
     root = _land_years(spark, sf)
@@ -645,7 +694,7 @@ def ingest_queries() -> dict[str, Query]:
             , n AS (SELECT 'yellow_tripdata_' || strftime(tpep_pickup_datetime, '%Y-%m') || '.parquet' AS name FROM trips)
             SELECT CAST(regexp_extract(name, '([0-9]{4}-[0-9]{2})', 1) || '-01' AS DATE) AS file_date,
                    COUNT(*) AS trips FROM n GROUP BY 1""")),
-        "e_write_hive_partitioned": Query(hive_totals, with_trips(HIVE_SQL)),
+        "e_write_hive_partitioned": Query(months_replaced, with_trips(MONTHS_REPLACED_SQL)),
         "e_manifest": Query(manifest_summary, with_trips("""
             SELECT 'success' AS status, COUNT(*) AS rows, CAST(0 AS BIGINT) AS null_count FROM trips""")),
         "e_incremental_load": Query(incremental, with_trips(f"""
@@ -655,6 +704,12 @@ def ingest_queries() -> dict[str, Query]:
                            FROM trips)
             SELECT *, 'changed' AS changes_in_second_run, CAST(0 AS BIGINT) AS files_in_third_run
             FROM ({YEARLY_SQL.replace("FROM trips", "FROM reissued")})""")),
+        "a_daily_summary_files": Query(summarised_files, with_trips(f"""
+            , reissued AS (SELECT * REPLACE (total_amount + CASE WHEN {YEAR_SQL} = 1996 THEN 1 ELSE 0 END AS total_amount)
+                           FROM trips)
+            SELECT {DAY} AS day, COUNT(*) AS trips, {dec_avg('fare_amount')} AS avg_fare, {REVENUE} AS revenue,
+                   'changed,new' AS changes_in_second_run, CAST(0 AS BIGINT) AS files_in_third_run
+            FROM reissued GROUP BY 1""")),
         "e_idempotent_reload": Query(reloaded, with_trips(YEARLY_SQL)),
         "e_partition_profile": Query(profiled, with_trips(f"""
             SELECT {YEAR_SQL} AS year, {MONTH_SQL} AS month, COUNT(*) AS rows, TRUE AS has_files,

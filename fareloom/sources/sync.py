@@ -88,9 +88,9 @@ def sync_folder(
     """
     earlier = read_manifest(spark, log)
     changes = folder_changes(spark, root, earlier, compare_footers)
-    run = 0 if earlier is None else (earlier.agg(F.max("run")).first()[0] or 0)
+    run = next_run(earlier)
     if changes.isEmpty():
-        return _entries(changes, run + 1)
+        return log_entries(changes, run)
     loaded = changes.where(F.col("change").isin(NEW, CHANGED))
     replaced = loaded.select(SOURCE_FILE)
     if remove_vanished:
@@ -98,12 +98,17 @@ def sync_folder(
     if not replaced.isEmpty():
         rows = read_drifting(loaded.drop("change", "footer"), target)
         reload_sources(rows, table, pickup, replaced)
-    entries = stage(_entries(changes, run + 1), "sync-entries")
+    entries = stage(log_entries(changes, run), "sync-entries")
     entries.write.mode("append").parquet(log)
     return entries
 
 
-def _entries(changes: DataFrame, run: int) -> DataFrame:
+def next_run(log: DataFrame | None) -> int:
+    return 1 if log is None else (log.agg(F.max("run")).first()[0] or 0) + 1
+
+
+def log_entries(changes: DataFrame, run: int) -> DataFrame:
+    """``changes`` as the entries of one run."""
     return changes.select(
         SOURCE_FILE,
         "change",

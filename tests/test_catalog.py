@@ -23,7 +23,7 @@ def test_inventory_is_complete():
     counts = {}
     for name in CATALOG:
         counts[name.split("_")[0][0]] = counts.get(name.split("_")[0][0], 0) + 1
-    assert counts == {"q": 22, "b": 11, "a": 24, "e": 18, "v": 11, "s": 1, "r": 10}
+    assert counts == {"q": 22, "b": 11, "a": 25, "e": 18, "v": 11, "s": 1, "r": 10}
 
 
 def test_every_query_has_sql():

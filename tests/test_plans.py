@@ -17,7 +17,7 @@ from fareloom.sources.files import scan_hive
 
 PICKUP = "tpep_pickup_datetime"
 BY_MONTH = TripColumns(pickup_year="year", pickup_month="month")
-PLAIN = [n for n in catalog() if n[0] in "qba" and n != "a_daily_summary_table"]
+PLAIN = [n for n in catalog() if n[0] in "qba" and not n.startswith("a_daily_summary_")]
 
 
 def plan_of(df) -> str:
