@@ -112,18 +112,16 @@ def line_dedup(
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     lost = dropped_lines(source, min_chars, min_docs)
+    # The text goes through the join once, inside its row.
     whole = docs.select(
-        F.col(doc_id).alias("_id"),
-        F.xxhash64(text).alias("_digest"),
-        F.col(text).alias("_text"),
-        whole_row(docs).alias("_row"),
+        F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_digest"), whole_row(docs).alias("_row")
     )
     joined = whole.join(
         lost.select(F.col("doc_id").alias("_lost_id"), F.col("digest").alias("_lost_digest"), F.col("keys").alias("_lost")),
         F.col("_id").eqNullSafe(F.col("_lost_id")) & (F.col("_digest") == F.col("_lost_digest")),
         "left",
     )
-    done = joined.select("_row", _rewritten(min_chars)(F.col("_text"), F.col("_lost")).alias("_new"))
+    done = joined.select("_row", _rewritten(min_chars)(F.col("_row")[text], F.col("_lost")).alias("_new"))
     columns = [
         (F.col("_new.text") if c == text else F.col("_row")[c]).alias(c) for c in docs.columns if c != "line_counts"
     ]
