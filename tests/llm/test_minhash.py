@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from fareloom.llm import minhash_dedup, queries, set_links
+from fareloom.llm import components, minhash_dedup, queries, set_links
 from fareloom.llm.set_links import Enough, linked_within, spanning
 from fareloom.staging import stage
 
@@ -135,3 +135,39 @@ def test_matches_sql(spark, sf_dir, duck):
 
     name = "op12_minhash_near_dedup"
     assert oracle.compare(queries.QUERIES[name](spark, sf_dir), duck, queries.ORACLE_SQL[name]) == []
+
+
+def test_components_of_few_links_take_few_tasks(spark, monkeypatch):
+    written = []
+
+    def recorded(df, label):
+        table = stage(df, label)
+        written.append((label, len(table.inputFiles())))
+        return table
+
+    monkeypatch.setattr(components, "stage", recorded)
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    rng = random.Random(3)
+    pairs = [(rng.randrange(3000), rng.randrange(3000)) for _ in range(1500)] + [(5000 + i, 5001 + i) for i in range(40)]
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        for most in (1 << 14, 100):  # all in one task, and many
+            monkeypatch.setattr(components, "TASK_LINKS", most)
+            links = spark.createDataFrame(pairs, "a bigint, b bigint")
+            got = {r.node: r.root for r in components.components(links).collect()}
+            nodes = sorted({n for p in pairs if p[0] != p[1] for n in p})
+            root = {n: n for n in nodes}
+            for _ in nodes:
+                changed = [(a, b) for a, b in pairs if a != b and root[a] != root[b]]
+                if not changed:
+                    break
+                for a, b in changed:
+                    root[a] = root[b] = min(root[a], root[b])
+            assert got == root
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    rounds = [n for label, n in written if label != "links"]
+    assert len(rounds) > 8 and min(rounds) == 1 and 1 < max(rounds) <= 16
