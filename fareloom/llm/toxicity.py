@@ -1,8 +1,9 @@
-"""Toxicity: a small convolutional network over hashed word embeddings, trained in numpy."""
+"""Toxicity: a small convolutional network over hashed word embeddings, trained in shards whose networks are averaged."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import deepcopy
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -10,7 +11,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fareloom.llm.sampling import bounded_sample
 from fareloom.llm.text import WordBlock, WordHasher, as_text, blocks, mixed, parts
 from fareloom.staging import stage
 
@@ -20,9 +20,19 @@ WIDTHS = (1, 2, 3)
 FILTERS = 8
 #: A word is the sum of the rows of the whole word and of its first bytes.
 BEGINNINGS = (4, 5)
-#: Labelled documents of each class that the fit uses at most.
-PER_CLASS = 3000
+#: Labelled documents that one shard has about, and the bytes of word rows at which it is cut.
+SHARD = 2000
+SHARD_BYTES = 1 << 23
 EPOCHS = 6
+#: One labelled document in so many sets the thresholds and trains nothing.
+HELD = 5
+#: Fixed-point steps of a parameter while shards are added up, so that the order of the additions changes nothing.
+FIXED = 1 << 32
+#: Cells per unit of a logit, in which the held documents are counted for the thresholds.
+CELLS = 64
+SEED = 11
+#: How a row of the embedding is stored.
+ROW = np.uint16
 #: The score at which a document counts as toxic; the calibration puts each language's threshold there.
 CUT = 0.7
 
@@ -126,9 +136,9 @@ class ConvNet:
         return 1 / (1 + np.exp(-z))
 
 
-def fit_network(texts: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> ConvNet:
-    """Adagrad on the logistic loss, classes weighted alike; the gradient runs through the windows of the maxima."""
-    rng = np.random.default_rng(seed)
+def start() -> tuple[ConvNet, ConvNet]:
+    """An untrained network, and Adagrad's sums of squares in the same shape."""
+    rng = np.random.default_rng(SEED)
     filters = FILTERS * len(WIDTHS)
     net = ConvNet(
         rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32),
@@ -137,80 +147,110 @@ def fit_network(texts: list[np.ndarray], labels: np.ndarray, seed: int = 11) ->
         rng.normal(0, 0.3, filters).astype(np.float32),
         0.0,
     )
-    positive = labels.mean() if len(labels) else 0.0
-    if not 0 < positive < 1:
-        net.weights[:] = 0
-        net.bias = 50.0 if positive else -50.0
-        return net
-    share = np.where(labels == 1, 0.5 / positive, 0.5 / (1 - positive))
-    params = [net.embedding, *net.kernels, *net.biases, net.weights]
-    memory = [np.full(p.shape, 1e-4, np.float32) for p in params]
-    bias_memory, rate = 1e-4, 0.05
+    squares = deepcopy(net)
+    for p in (squares.embedding, *squares.kernels, *squares.biases, squares.weights):
+        p[:] = 1e-4
+    squares.bias = 1e-4
+    return net, squares
 
-    def step(k: int, grad: np.ndarray, rows=slice(None)) -> None:
-        memory[k][rows] += grad**2
-        params[k][rows] -= rate * grad / np.sqrt(memory[k][rows])
-
-    batch = 16
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(texts))
-        for low in range(0, len(order), batch):
-            picked = order[low : low + batch]
-            rows = np.concatenate([texts[i] for i in picked])
-            first = np.cumsum([0] + [len(texts[i]) for i in picked])
-            top, where, x, at = net.pooled(rows, first, places=True)
-            hidden = np.maximum(top, 0)
-            z = hidden @ net.weights + net.bias
-            error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - labels[picked]) * share[picked] / len(picked)
-            back = (error[:, None] * net.weights[None, :] * (top > 0)).astype(np.float32)
-            grad_x = np.zeros_like(x)
-            grads = []
-            for k, (width, kernel) in enumerate(zip(WIDTHS, net.kernels)):
-                g = back[:, k * FILTERS : (k + 1) * FILTERS]
-                grad = np.zeros_like(kernel)
-                for j in range(width):
-                    places = np.minimum(where[k] + j, len(x) - 1)
-                    grad[j] = np.einsum("tfd,tf->df", x[places], g)
-                    np.add.at(grad_x, places.ravel(), (g[:, :, None] * kernel[j].T[None]).reshape(-1, DIMENSIONS))
-                grads.append((grad, g.sum(axis=0)))
-            for k, (grad, bias) in enumerate(grads):
-                step(1 + k, grad)
-                step(1 + len(WIDTHS) + k, bias)
-            step(1 + 2 * len(WIDTHS), (hidden.T @ error).astype(np.float32))
-            bias_memory += error.sum() ** 2
-            net.bias -= rate * error.sum() / bias_memory**0.5
-            words = np.flatnonzero(grad_x[at].any(axis=1))
-            seen, back_to = np.unique(rows[words], return_inverse=True)
-            total = np.zeros((len(seen), DIMENSIONS), np.float32)
-            np.add.at(total, back_to.ravel(), np.repeat(grad_x[at[words]], rows.shape[1], axis=0))
-            step(0, total, seen)
-    return net
 
+def dense(net: ConvNet) -> np.ndarray:
+    """All but the embedding in rows of its width, the last one filled up with zeros."""
+    flat = np.concatenate([*(k.ravel() for k in net.kernels), *net.biases, net.weights, [net.bias]])
+    return np.pad(flat, (0, -len(flat) % DIMENSIONS)).reshape(-1, DIMENSIONS)
+
+
+def set_rows(net: ConvNet, rows: np.ndarray, values: np.ndarray) -> None:
+    """Put ``values`` into the rows of the embedding, and of ``dense`` behind it."""
+    inside = rows < BUCKETS
+    net.embedding[rows[inside]] = values[inside]
+    table = dense(net)
+    table[rows[~inside] - BUCKETS] = values[~inside]
+    flat, at = table.ravel(), 0
+    for p in (*net.kernels, *net.biases, net.weights):
+        p[...] = flat[at : at + p.size].reshape(p.shape)
+        at += p.size
+    net.bias = float(flat[at])
+
+
+def train(net: ConvNet, squares: ConvNet, texts: list[np.ndarray], labels: np.ndarray, share: np.ndarray, seed: list[int]) -> np.ndarray:
+    """One pass of Adagrad on the logistic loss, in place; a document of label c weighs ``share[c]``.
+
+    The gradient runs through the windows of the maxima. Returns the embedding
+    rows that changed.
+    """
+    rate, batch = 0.05, 16
+    changed = np.zeros(BUCKETS, bool)
+    pairs = list(zip((net.embedding, *net.kernels, *net.biases, net.weights), (squares.embedding, *squares.kernels, *squares.biases, squares.weights)))
 
-def threshold(logits: np.ndarray, labels: np.ndarray, clean_weight: float) -> float:
-    """The logit of least error, clean documents weighted as in the table; the middle of the best gap."""
-    order = np.argsort(logits)
-    z, y = logits[order], labels[order]
-    missed = np.concatenate(([0], np.cumsum(y)))
-    wrong = clean_weight * ((1 - y).sum() - np.concatenate(([0], np.cumsum(1 - y))))
-    best = np.flatnonzero(missed + wrong <= (missed + wrong).min() + 1e-9)
-    edges = np.concatenate(([z[0] - 1], z, [z[-1] + 1]))
+    def step(k: int, grad: np.ndarray, rows=slice(None)) -> None:
+        param, memory = pairs[k]
+        memory[rows] += grad**2
+        param[rows] -= rate * grad / np.sqrt(memory[rows])
+
+    order = np.random.default_rng(seed).permutation(len(texts))
+    for low in range(0, len(order), batch):
+        picked = order[low : low + batch]
+        rows = np.concatenate([texts[i] for i in picked])
+        first = np.cumsum([0] + [len(texts[i]) for i in picked])
+        top, where, x, at = net.pooled(rows, first, places=True)
+        hidden = np.maximum(top, 0)
+        z = hidden @ net.weights + net.bias
+        error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - labels[picked]) * share[labels[picked]] / len(picked)
+        back = (error[:, None] * net.weights[None, :] * (top > 0)).astype(np.float32)
+        grad_x = np.zeros_like(x)
+        grads = []
+        for k, (width, kernel) in enumerate(zip(WIDTHS, net.kernels)):
+            g = back[:, k * FILTERS : (k + 1) * FILTERS]
+            grad = np.zeros_like(kernel)
+            for j in range(width):
+                places = np.minimum(where[k] + j, len(x) - 1)
+                grad[j] = np.einsum("tfd,tf->df", x[places], g)
+                np.add.at(grad_x, places.ravel(), (g[:, :, None] * kernel[j].T[None]).reshape(-1, DIMENSIONS))
+            grads.append((grad, g.sum(axis=0)))
+        for k, (grad, bias) in enumerate(grads):
+            step(1 + k, grad)
+            step(1 + len(WIDTHS) + k, bias)
+        step(1 + 2 * len(WIDTHS), (hidden.T @ error).astype(np.float32))
+        squares.bias += float(error.sum() ** 2)
+        net.bias -= float(rate * error.sum() / squares.bias**0.5)
+        words = np.flatnonzero(grad_x[at].any(axis=1))
+        seen, back_to = np.unique(rows[words], return_inverse=True)
+        total = np.zeros((len(seen), DIMENSIONS), np.float32)
+        np.add.at(total, back_to.ravel(), np.repeat(grad_x[at[words]], rows.shape[1], axis=0))
+        step(0, total, seen)
+        changed[seen] = True
+    return np.flatnonzero(changed)
+
+
+def threshold(cells: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
+    """The logit of least error, from the documents of each label in each cell in order; the middle of the best gap."""
+    missed = np.concatenate(([0], np.cumsum(toxic)))
+    wrong = clean.sum() - np.concatenate(([0], np.cumsum(clean)))
+    best = np.flatnonzero(missed + wrong == (missed + wrong).min())
     k = best[len(best) // 2]
-    return float((edges[k] + edges[k + 1]) / 2)
+    low = np.concatenate(([cells[0] - CELLS], cells + 1))
+    high = np.concatenate((cells, [cells[-1] + 1 + CELLS]))
+    return float(low[k] + high[k]) / 2 / CELLS
+
+
+def calibrate(net: ConvNet, counts: list[tuple[str, int, int, int]]) -> None:
+    """A threshold for each language with enough documents of both classes; the others take the common one.
+
+    ``counts`` are (language, cell, toxic documents, clean documents).
+    """
 
+    def of(rows: list) -> tuple[float, int, int]:
+        cells, place = np.unique([r[1] for r in rows], return_inverse=True)
+        toxic, clean = (np.bincount(place, [r[k] for r in rows], len(cells)).astype(np.int64) for k in (2, 3))
+        return threshold(cells, toxic, clean), int(toxic.sum()), int(clean.sum())
 
-def calibrate(net: ConvNet, texts: list[np.ndarray], labels: np.ndarray, languages: list[str], clean_weight: float) -> None:
-    """A threshold for each language with enough documents of both classes; the others take the common one."""
-    if not len(labels) or not 0 < labels.mean() < 1:
+    if not sum(r[2] for r in counts) or not sum(r[3] for r in counts):
         return
-    logits = np.concatenate([net.logits(t, np.array([0, len(t)])) for t in texts])
-    net.thresholds[OTHER] = common = threshold(logits, labels, clean_weight)
-    named = np.array(languages)
-    for language in sorted(set(languages) - {OTHER}):
-        mine = named == language
-        toxic = int(labels[mine].sum())
-        if toxic >= 20 and mine.sum() - toxic >= 20:
-            own = threshold(logits[mine], labels[mine], clean_weight)
+    net.thresholds[OTHER] = common = of(counts)[0]
+    for language in sorted({r[0] for r in counts} - {OTHER}):
+        own, toxic, clean = of([r for r in counts if r[0] == language])
+        if toxic >= 20 and clean >= 20:
             weight = toxic / (toxic + 20)  # few documents say little about where the threshold lies
             net.thresholds[language] = weight * own + (1 - weight) * common
 
@@ -227,7 +267,7 @@ def _word_rows(text: Column) -> Column:
                 block = reader.hasher.read(part)
                 rows = reader.rows(block)
                 languages += reader.language(block)
-                packed += [rows[a:b].tobytes() for a, b in zip(block.first, block.first[1:])]
+                packed += [rows[a:b].astype(ROW).tobytes() for a, b in zip(block.first, block.first[1:])]
             yield pa.StructArray.from_arrays(
                 [pa.array(packed, pa.binary()), pa.array(languages, pa.string())], fields=list(kind)
             )
@@ -235,26 +275,120 @@ def _word_rows(text: Column) -> Column:
     return F.arrow_udf(run, "struct<rows:binary,language:string>")(text)
 
 
-def learn(docs: DataFrame, marks: DataFrame, per_class: int = PER_CLASS) -> ConvNet:
-    """Fit on at most ``per_class`` documents of each label of ``marks`` (doc_id, label).
+PACKED = "held boolean, shard int, part int, labels array<int>, languages array<string>, texts array<binary>"
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (held, shard, label, language, rows) in order, as one row for each shard, or each ``SHARD_BYTES`` of it."""
+    kinds = [pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.binary())]
+    names = ["held", "shard", "part", "labels", "languages", "texts"]
+    now, part, size, found = None, 0, 0, []
+
+    def row() -> pa.RecordBatch:
+        values = [*now, part, *(list(c) for c in zip(*found))]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=names)
+
+    for batch in batches:
+        held, shard, *rest = (batch.column(c).to_pylist() for c in ("held", "shard", "label", "language", "rows"))
+        for key, document in zip(zip(held, shard), zip(*rest)):
+            if found and (key != now or size >= SHARD_BYTES):
+                yield row()
+                part, size, found = (part + 1 if key == now else 0), 0, []
+            now, size = key, size + len(document[2])
+            found.append(document)
+    if found:
+        yield row()
 
-    Four fifths train the network, the rest set the thresholds. The driver
-    gets the word rows of these documents, not their texts.
+
+def _shards(docs: DataFrame, marks: DataFrame, shards: int) -> DataFrame:
+    """All labelled documents as word rows, a row per shard; a written table with a file per row, so that shards spread over tasks."""
+    rows = marks.join(docs, "doc_id").select("doc_id", "label", _word_rows(F.col("text")).alias("w"))
+    rows = rows.select(
+        (F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) == 0).alias("held"),
+        F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(shards)).cast("int").alias("shard"),
+        F.xxhash64(F.lit(2), "doc_id").alias("place"),
+        "doc_id", "label", "w.language", "w.rows",
+    )
+    dealt = rows.repartition(2 * shards, "held", "shard").sortWithinPartitions("held", "shard", "place", "doc_id", "rows")
+    return stage(dealt.mapInArrow(_pack, PACKED), "toxicity-shards", maxRecordsPerFile=1)
+
+
+def _texts(packed: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(t, ROW).astype(np.int32).reshape(-1, 1 + len(BEGINNINGS)) for t in packed]
+
+
+def _sums() -> list[str]:
+    return [f"{kind}{i}" for kind in ("value", "square") for i in range(DIMENSIONS)]
+
+
+def _passed(net: ConvNet, squares: ConvNet, share: np.ndarray, epoch: int):
+    """The rows of the network that a pass over each shard changes, and their sums of squares, as fixed-point numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(len(batch)):
+                shard, part, labels, packed = (batch.column(c)[at].as_py() for c in ("shard", "part", "labels", "texts"))
+                mine, memory = deepcopy(net), deepcopy(squares)
+                rows = train(mine, memory, _texts(packed), np.array(labels), share, [SEED, epoch, shard, part])
+                values = [np.concatenate((n.embedding[rows], dense(n))) for n in (mine, memory)]
+                fixed = np.rint(np.concatenate(values, axis=1).astype(np.float64) * FIXED).astype(np.int64)
+                names = np.concatenate((rows, BUCKETS + np.arange(len(fixed) - len(rows)))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names), *(pa.array(np.ascontiguousarray(c)) for c in fixed.T)], names=["row", *_sums()]
+                )
+
+    return run
+
+
+def _cells(net: ConvNet):
+    """(language, label, cell) of every document of the shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(len(batch)):
+                labels, languages, packed = (batch.column(c)[at].as_py() for c in ("labels", "languages", "texts"))
+                logits = np.array([net.logits(t, np.array([0, len(t)]))[0] for t in _texts(packed)])
+                cells = np.floor(np.clip(logits, -100, 100) * CELLS).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(languages, pa.string()), pa.array(labels, pa.int32()), pa.array(cells)], names=["language", "label", "cell"]
+                )
+
+    return run
+
+
+def learn(docs: DataFrame, marks: DataFrame) -> ConvNet:
+    """Fit on all documents of ``marks`` (doc_id, label): four fifths train the network, the rest set the thresholds.
+
+    The documents are dealt into shards by a hash of their id. In each epoch
+    every shard trains a copy of the network on all its documents, and a
+    parameter becomes its mean over the shards that changed it. The driver
+    gets the parameters, and counts of the held documents by language, label
+    and cell of their logit; how many there are does not grow with the table.
+    The same table always gives the same network.
     """
-    count = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
-    sample = stage(bounded_sample(marks, "label", "doc_id", per_class), "toxicity-sample")
-    rows = sample.join(docs, "doc_id").select("doc_id", "label", _word_rows(F.col("text")).alias("w"))
-    found = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "w.rows").collect()
-    shape = (-1, 1 + len(BEGINNINGS))
-    texts = [np.frombuffer(r["w"]["rows"], np.int32).reshape(shape) for r in found]
-    labels = np.array([r["label"] for r in found], dtype=np.int64)
-    languages = [r["w"]["language"] for r in found]
-    held = np.arange(len(found)) % 5 == 0
-    pick = lambda mask: [t for t, m in zip(texts, mask) if m]
-    net = fit_network(pick(~held), labels[~held])
-    taken = {c: max(1, int((labels == c).sum())) for c in (0, 1)}
-    weight = (count.get(0, 0) / taken[0]) / max(1e-9, count.get(1, 0) / taken[1])
-    calibrate(net, pick(held), labels[held], [x for x, m in zip(languages, held) if m], weight)
+    packed = _shards(docs, marks, max(1, -(-marks.count() // SHARD)))
+    trainers = packed.where("not held")
+    toxic = F.expr("aggregate(labels, 0L, (n, label) -> n + label)")
+    found = trainers.agg(F.sum(F.size("labels").cast("bigint")).alias("n"), F.sum(toxic).alias("toxic")).first()
+    net, squares = start()
+    n, toxic = found["n"] or 0, found["toxic"] or 0
+    if not 0 < toxic < n:
+        net.weights[:] = 0
+        net.bias = 50.0 if toxic else -50.0
+        return net
+    share = np.array([0.5 * n / (n - toxic), 0.5 * n / toxic])
+    schema = "row int, " + ", ".join(f"{c} bigint" for c in _sums())
+    for epoch in range(EPOCHS):
+        changes = trainers.select("shard", "part", "labels", "texts").mapInArrow(_passed(net, squares, share, epoch), schema)
+        means = changes.groupBy("row").agg(F.count("*").alias("shards"), *(F.sum(c).alias(c) for c in _sums())).toArrow()
+        rows, counts = (means.column(c).to_numpy() for c in ("row", "shards"))
+        values = np.stack([means.column(c).to_numpy() for c in _sums()], axis=1) / FIXED / counts[:, None]
+        set_rows(net, rows, values[:, :DIMENSIONS])
+        set_rows(squares, rows, values[:, DIMENSIONS:])
+    held = packed.where("held").select("labels", "languages", "texts")
+    cells = held.mapInArrow(_cells(net), "language string, label int, cell int").groupBy("language", "cell")
+    counts = cells.agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("clean"))
+    calibrate(net, [tuple(r) for r in counts.collect()])
     return net
 
 
@@ -288,8 +422,8 @@ def toxicity_scores(
 ) -> DataFrame:
     """(doc_id, score, language), a row per row of ``docs``; at CUT and above a text counts as toxic.
 
-    The network learns from a bounded sample of the labelled documents for
-    which ``learn_from``, a condition on ``doc_id``, holds. The language is read
+    The network learns from all labelled documents for which ``learn_from``, a
+    condition on ``doc_id``, holds. The language is read
     off the text's common words and chooses the threshold. A document with
     several labels counts with the largest; null ids and labels other than 0
     and 1 teach nothing. Null and empty texts are scored like others. If a

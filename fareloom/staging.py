@@ -42,11 +42,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to scratch once and return the table read back."""
+def stage(df: DataFrame, label: str, **options) -> DataFrame:
+    """Write ``df`` to scratch once, with the writer's ``options``, and return the table read back."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -135,3 +135,42 @@ def test_model_by_plain_arithmetic():
         z = [(float(inside @ model.weights[:, k]) + float(model.bias[k])) / model.temperature for k in range(3)]
         e = [np.exp(v - max(z)) for v in z]
         assert np.allclose(chances, np.array(e) / sum(e), atol=1e-4)
+
+
+def test_toxicity_learns_from_every_labelled_document(spark, documents):
+    rng = np.random.default_rng(4)
+    words = [a + b + c for a in "bdfglmnprst" for b in "aeiou" for c in ("n", "r", "st", "l")]
+    n = 3400
+    marks = spark.range(2 * n).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    # toxic documents behind the first 3000 by hash have a word of their own
+    sample = {r.doc_id for r in sampling.bounded_sample(marks, "toxic", "doc_id", 3000).collect()}
+    texts = []
+    for i in range(2 * n):
+        found = list(rng.choice(words, 12))
+        if i % 2:
+            found[rng.integers(12)] = "vexat" if i in sample else "grumlo"
+        texts.append(" ".join(found))
+    fresh = [(10**6 + i, " ".join([*rng.choice(words, 6), *mark, *rng.choice(words, 5)]), None) for i, mark in enumerate([["grumlo"], ["vexat"], []] * 40)]
+    docs = documents([(i, t, None) for i, t in enumerate(texts)] + fresh)
+    rows = toxicity.toxicity_scores(docs, marks, F.lit(True)).where("doc_id >= 1000000").collect()
+    right = [(r.score >= toxicity.CUT) == ((r.doc_id - 10**6) % 3 != 2) for r in rows]
+    assert len(rows) == 120 and sum(right) >= 118
+
+
+def test_toxicity_shards_do_not_depend_on_partitions(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(toxicity, "EPOCHS", 2)
+    monkeypatch.setattr(toxicity, "SHARD", 60)
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    marks = labels.selectExpr("doc_id", "toxic as label")
+    nets = [toxicity.learn(docs.repartition(k).select("doc_id", "text"), marks) for k in (2, 7)]
+    assert np.array_equal(nets[0].embedding, nets[1].embedding) and nets[0].bias == nets[1].bias
+    assert nets[0].thresholds == nets[1].thresholds and toxicity.OTHER in nets[0].thresholds
+
+
+def test_toxicity_threshold_has_least_error():
+    rng = np.random.default_rng(6)
+    cells = np.unique(rng.integers(-300, 300, 80))
+    toxic, clean = rng.poisson(2 + cells / 150, len(cells)), rng.poisson(2 - cells / 150, len(cells))
+    errors = lambda cut: int(toxic[cells < cut].sum() + clean[cells >= cut].sum())
+    at = toxicity.threshold(cells, toxic, clean) * toxicity.CELLS
+    assert errors(at) == min(errors(c) for c in range(-400, 400))
