@@ -120,7 +120,7 @@ class Encoder:
         self.capitals = {c: chr(c + by) for low, high, by in NEWER_CAPITALS for c in range(low, high + 1)}
         self.new_capital = regex.compile("[" + "".join(map(chr, self.capitals)) + "]")
         self.memo: dict[str, bytes] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, bytes] = {}
 
     def fragments(self, word: str) -> list[str]:
         """One word's byte letters, cut wherever a neighbouring pair is in no token; the last ends on the end mark."""
@@ -185,7 +185,8 @@ class Encoder:
         return [i for i in held if i >= 0]
 
     def _learn(self, piece: str) -> bytes:
-        ids: list[int] = []
+        """Packed ids of a piece; one of a single fragment shares the bytes with it."""
+        ids: list[bytes] = []
         parts = self.parts
         for word in self.words.findall(piece):
             for part in self.fragments(word):
@@ -193,11 +194,11 @@ class Encoder:
                 if found is None:
                     if len(parts) >= REMEMBERED:
                         parts.clear()
-                    parts[part] = found = self.fragment_ids(part)
-                ids += found
+                    parts[part] = found = array("i", self.fragment_ids(part)).tobytes()
+                ids.append(found)
         if len(self.memo) >= REMEMBERED:
             self.memo.clear()
-        self.memo[piece] = packed = array("i", ids).tobytes()
+        self.memo[piece] = packed = ids[0] if len(ids) == 1 else b"".join(ids)
         return packed
 
     def _plain(self, text: str) -> list[bytes]:

@@ -40,8 +40,11 @@ def parts(batches: Iterator, size: int = 2 * BLOCK) -> Iterator:
 
     A batch is an array of texts, or a tuple whose first array is. What a task
     makes of a slice, and not of a whole batch of long texts, is what it holds.
+    A worker outlives its tasks, so Arrow memory that earlier batches and tasks
+    have freed goes back to the system here.
     """
     for batch in batches:
+        pa.default_memory_pool().release_unused()
         texts = batch[0] if isinstance(batch, tuple) else batch
         if not len(texts):
             yield batch
@@ -57,6 +60,7 @@ def parts(batches: Iterator, size: int = 2 * BLOCK) -> Iterator:
             else:
                 yield batch.slice(low, high - low)
             low = high
+    pa.default_memory_pool().release_unused()
 
 
 def as_bytes(texts: pa.Array) -> list[bytes]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -30,6 +31,19 @@ def test_encoder_equals_library(library):
         assert encoder.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_remembered_words_are_held_once():
+    encoder, rng = bpe.Encoder(bpe.Vocabulary(PATH)), random.Random(3)
+    words = {"".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(4, 9))) for _ in range(20_000)}
+    text = " ".join(sorted(words))
+    tracemalloc.start()
+    try:
+        encoder.encode(text)
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held < 250 * len(words)  # bytes; 301 with a list of numbers beside the packed ids, 205 without
+
+
 def test_both_merges_agree():
     encoder, rng = bpe.Encoder(bpe.Vocabulary(PATH)), random.Random(2)
     for _ in range(200):
