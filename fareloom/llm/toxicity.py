@@ -33,6 +33,8 @@ CELLS = 64
 SEED = 11
 #: How a row of the embedding is stored.
 ROW = np.uint16
+#: Bits of the bitmap of labelled ids; fixed, whatever the input.
+LISTED_BITS = 1 << 26
 #: The score at which a document counts as toxic; the calibration puts each language's threshold there.
 CUT = 0.7
 
@@ -255,60 +257,92 @@ def calibrate(net: ConvNet, counts: list[tuple[str, int, int, int]]) -> None:
             net.thresholds[language] = weight * own + (1 - weight) * common
 
 
-def _word_rows(text: Column) -> Column:
-    """Embedding rows of all words as packed numbers, and the language."""
-    kind = pa.struct([("rows", pa.binary()), ("language", pa.string())])
+def _listed(marks: DataFrame) -> np.ndarray:
+    """A bitmap of the hashes of labelled ids; no more rows than it has 64-bit words reach the driver."""
+    slot = F.xxhash64("doc_id").bitwiseAND(F.lit(LISTED_BITS - 1))
+    bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
+    words = marks.select(slot.alias("slot")).select(F.shiftright("slot", 6).alias("word"), bit.alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    bits = np.zeros(LISTED_BITS // 64, np.int64)
+    bits[found.column("word").to_numpy()] = found.column("bit").to_numpy()
+    return bits.view(np.uint8)
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        reader = Reader()
-        for texts in parts(batches):
+
+def _word_rows(listed):
+    """(doc_id, language, rows) of (text, key, doc_id) whose ``key``, the hash of the id, is in the bitmap; rows are packed numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, bits = Reader(), listed.value
+        for texts, keys, ids in parts(tuple(batch.columns) for batch in batches):
+            slot = keys.to_numpy(zero_copy_only=False) & (len(bits) * 8 - 1)
+            held = pa.array((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1)
             packed, languages = [], []
-            for _, part in blocks([t.lower().encode("utf-8", "surrogatepass") for t in as_text(texts)]):
+            for _, part in blocks([t.lower().encode("utf-8", "surrogatepass") for t in as_text(texts.filter(held))]):
                 block = reader.hasher.read(part)
                 rows = reader.rows(block)
                 languages += reader.language(block)
                 packed += [rows[a:b].astype(ROW).tobytes() for a, b in zip(block.first, block.first[1:])]
-            yield pa.StructArray.from_arrays(
-                [pa.array(packed, pa.binary()), pa.array(languages, pa.string())], fields=list(kind)
+            yield pa.RecordBatch.from_arrays(
+                [ids.filter(held), pa.array(languages, pa.string()), pa.array(packed, pa.binary())], names=["doc_id", "language", "rows"]
             )
 
-    return F.arrow_udf(run, "struct<rows:binary,language:string>")(text)
+    return run
 
 
 PACKED = "held boolean, shard int, part int, labels array<int>, languages array<string>, texts array<binary>"
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (held, shard, label, language, rows) in order, as one row for each shard, or each ``SHARD_BYTES`` of it."""
+    """Rows of (held, shard, doc_id, label, language, rows) in order, as one row for each shard, or each ``SHARD_BYTES`` of it.
+
+    A row without ``rows`` brings the label of its id; the documents of that id
+    follow it. Documents without such a row are left out.
+    """
     kinds = [pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.binary())]
     names = ["held", "shard", "part", "labels", "languages", "texts"]
-    now, part, size, found = None, 0, 0, []
+    now, part, size, found, marked, mark = None, 0, 0, [], None, None
 
     def row() -> pa.RecordBatch:
         values = [*now, part, *(list(c) for c in zip(*found))]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=names)
 
     for batch in batches:
-        held, shard, *rest = (batch.column(c).to_pylist() for c in ("held", "shard", "label", "language", "rows"))
-        for key, document in zip(zip(held, shard), zip(*rest)):
+        held, shard, ids, labels, *rest = (batch.column(c).to_pylist() for c in ("held", "shard", "doc_id", "label", "language", "rows"))
+        for key, doc_id, label, (language, rows) in zip(zip(held, shard), ids, labels, zip(*rest)):
+            if rows is None:
+                marked, mark = doc_id, label
+                continue
+            if doc_id != marked:
+                continue
             if found and (key != now or size >= SHARD_BYTES):
                 yield row()
                 part, size, found = (part + 1 if key == now else 0), 0, []
-            now, size = key, size + len(document[2])
-            found.append(document)
+            now, size = key, size + len(rows)
+            found.append((mark, language, rows))
     if found:
         yield row()
 
 
 def _shards(docs: DataFrame, marks: DataFrame, shards: int) -> DataFrame:
-    """All labelled documents as word rows, a row per shard; a written table with a file per row, so that shards spread over tasks."""
-    rows = marks.join(docs, "doc_id").select("doc_id", "label", _word_rows(F.col("text")).alias("w"))
-    rows = rows.select(
+    """All labelled documents as word rows, a row per shard; a written table with a file per row, so that shards spread over tasks.
+
+    Labels and documents meet in the exchange that deals them into shards, so
+    a text goes through none but that. The bitmap keeps most documents
+    without a label out of it; on far larger input it fills and lets more
+    pass, and the rows themselves decide.
+    """
+    kind = docs.select("doc_id").union(marks.select("doc_id")).schema["doc_id"].dataType
+    docs, marks = (d.withColumn("doc_id", F.col("doc_id").cast(kind)) for d in (docs.where("doc_id is not null"), marks))
+    listed = docs.sparkSession.sparkContext.broadcast(_listed(marks))
+    keyed = docs.select("text", F.xxhash64("doc_id").alias("key"), "doc_id")
+    rows = keyed.mapInArrow(_word_rows(listed), f"doc_id {kind.simpleString()}, language string, rows binary")
+    rows = rows.unionByName(marks.select("doc_id", F.col("label").cast("int")), allowMissingColumns=True).select(
         (F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) == 0).alias("held"),
         F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(shards)).cast("int").alias("shard"),
         F.xxhash64(F.lit(2), "doc_id").alias("place"),
-        "doc_id", "label", "w.language", "w.rows",
+        "doc_id", "label", "language", "rows",
     )
+    # nulls come first, so the label stands before the documents of its id
     dealt = rows.repartition(2 * shards, "held", "shard").sortWithinPartitions("held", "shard", "place", "doc_id", "rows")
     return stage(dealt.mapInArrow(_pack, PACKED), "toxicity-shards", maxRecordsPerFile=1)
 

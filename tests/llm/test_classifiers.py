@@ -167,6 +167,22 @@ def test_toxicity_shards_do_not_depend_on_partitions(spark, sf_dir, monkeypatch)
     assert nets[0].thresholds == nets[1].thresholds and toxicity.OTHER in nets[0].thresholds
 
 
+def test_toxicity_texts_go_through_one_exchange_only(spark, documents, monkeypatch):
+    rng = np.random.default_rng(7)
+    docs = documents([(i, " ".join(rng.choice(list("abcdefgh"), 5)) + f" w{i}", None) for i in (*range(60), 7, 7, None)])
+    marks = spark.range(0, 90, 3).selectExpr("id as doc_id", "cast(id % 2 as int) as label")
+    marks = marks.union(spark.sql("select 7L, 1"))
+    plans = []
+    write = toxicity.stage
+    monkeypatch.setattr(toxicity, "stage", lambda df, *a, **k: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, *a, **k))
+    wanted = sorted([i % 2 for i in range(0, 60, 3)] + [1, 1, 1])
+    for bits in (1 << 26, 64):  # a full bitmap lets other documents pass, which have no label
+        monkeypatch.setattr(toxicity, "LISTED_BITS", bits)
+        rows = toxicity._shards(docs.select("doc_id", "text"), marks, 4).collect()
+        assert sorted(x for r in rows for x in r.labels) == wanted and sum(len(r.texts) for r in rows) == len(wanted)
+    assert len(plans) == 2 and all("Join" not in p and p.count("RepartitionByExpression") == 1 for p in plans)
+
+
 def test_toxicity_threshold_has_least_error():
     rng = np.random.default_rng(6)
     cells = np.unique(rng.integers(-300, 300, 80))
